@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 from rollsmith.llm.common import id_remainder, table
 from rollsmith.llm.language import fit_language_model, predict_language
+from rollsmith.llm.mixing import mix_report
+from rollsmith.llm.packing import pack_documents
 from rollsmith.llm.quality import fit_quality_model, predict_quality
+from rollsmith.llm.simhash import near_duplicates
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file lies on this machine (the same place on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +33,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
@@ -27,7 +49,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
     "op10_language_id": op10_language_id,
 }
 
