@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollsmith.llm.additive import nearest
 from rollsmith.llm.chat import digests, format_chat
 from rollsmith.llm.common import id_remainder, table
+from rollsmith.llm.html import extract_text
 from rollsmith.llm.language import fit_language_model, predict_language
 from rollsmith.llm.licenses import scan_licenses
+from rollsmith.llm.maxscore import exact_search
 from rollsmith.llm.mixing import mix_report
 from rollsmith.llm.packing import pack_documents
 from rollsmith.llm.quality import fit_quality_model, predict_quality
 from rollsmith.llm.simhash import near_duplicates
+from rollsmith.llm.vectors import every
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,6 +56,23 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search(table(spark, sf_dir, "embeddings"), every("id", 100))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -63,6 +84,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,6 +96,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every("id", 20))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
@@ -81,13 +110,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scan": op2_license_scan,
+    "op3_exact_search": op3_exact_search,
     "op4_mixing": op4_mixing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_html_extraction": op6_html_extraction,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_additive_quantisation": op9_additive_quantisation,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
+    "op3_exact_search": OP3_SQL,
 }
