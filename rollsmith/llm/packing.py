@@ -14,67 +14,225 @@ is; repeated rows are packed each for itself; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import TextBuffer, materialize, slices
+from rollsmith.llm.common import LOWER, TextBuffer, materialize, slices
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 #: Pieces that one packing task takes, bins of earlier tasks that a merging task takes, and words whose ids a worker remembers.
-PIECES_PER_TASK, BINS_PER_TASK, REMEMBERED = 400_000, 131_072, 400_000
+PIECES_PER_TASK, BINS_PER_TASK, REMEMBERED = 400_000, 131_072, 300_000
 #: Bytes of a text that are tokenized at once.
-RUN, SLICE = 1 << 20, 2 << 20
-_MARKS = frozenset(".,;:!?")
+SLICE = 8 << 20
+#: Runs that one call of the tokenizer takes.
+CALL = 16_384
+
+
+class Memory:
+    """A bounded table of what was seen lately: two generations, the older one dropped when the newer is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
+        """Distinct keys that are not known; known ones are in ``new`` afterwards."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for key in keys:
+            if key not in new:
+                if key in old:
+                    new[key] = old[key]
+                else:
+                    out.append(key)
+        return out
 
 
-class Encoder:
-    """Token ids of whole texts, with the ids of each white-space-delimited run remembered.
+#: The longest run of letters or marks that is told apart in numbers, and the kinds of bytes: white
+#: space, letters of Latin-1 in lower case, ASCII marks but the apostrophe, and all else.
+LONGEST = 32
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[[*range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = _MARK
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capital letters of Latin-1 in lower case, as the vocabulary itself folds them."""
+    out = LOWER[data]
+    capital = np.flatnonzero((out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)) + 1
+    out[capital] += 32
+    return out
+
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its runs in order (tests hold this against whole texts). A run of
-    letters and one closing mark is two tokens' worth of runs in the same way.
+#: Byte-level vocabularies spell the bytes that are no printable character of Latin-1 by characters from U+0100 on, in order.
+_SPELLED = {byte: 256 + 33 + k for k, byte in enumerate([*range(0x7F, 0xA1)])} | {0xAD: 256 + 67}
+
+
+class Encoder:
+    """Token ids of whole texts.
+
+    The tokenizer drops white space and never joins across it, nor across a letter and
+    a mark, so a text's ids are those of its runs in order, and a run's those of its
+    letters and of its marks (tests hold this against whole texts). Runs are found and
+    told apart in numbers; only what differs reaches the tokenizer, and what was seen
+    lately is remembered. New runs of letters are encoded many at a time, and split
+    again by the tokens that end a word.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = [w for w in words if w not in self.known]
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        for w, e in zip(missing, encoded):
-            self.known[w] = array("I", e.ids).tobytes()
+        self.runs, self.letters = Memory(REMEMBERED), Memory(REMEMBERED)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            # The same model without normalizer and pattern, for letters that are lower case already.
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def learn_letters(self, keys: list[bytes]) -> dict[bytes, bytes]:
+        new = self.letters.missing(keys)
+        new.sort(key=bytes.isascii)  # what needs no other spelling comes together
+        for a in range(0, len(new), CALL):
+            part = new[a : a + CALL]
+            spelled = [b" ".join(part[i : i + 64]) for i in range(0, len(part), 64)]
+            spelled = [x.decode("ascii") if x.isascii() else x.decode("latin-1").translate(_SPELLED) for x in spelled]
+            ids = np.array([i for e in self.plain.encode_batch_fast(spelled, add_special_tokens=False) for i in e.ids], np.uint32)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                whole, ends = ids.tobytes(), ends.tolist()
+                self.letters.new.update(zip(part, [whole[x:y] for x, y in zip([0, *ends], ends)]))
+            else:
+                self.letters.new.update(zip(part, self.encode(part)))
+        return self.letters.new
+
+    def learn_runs(self, keys: list[bytes]) -> dict[bytes, bytes]:
+        new = self.runs.missing(set(keys))
+        self.runs.new.update(zip(new, self.encode(new)))
+        return self.runs.new
+
+    def batch(self, buffer: TextBuffer) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a buffer end to end, and where each text's begin (and the last ends)."""
+        data = np.concatenate((folded(buffer.data), np.zeros(LONGEST + 8, np.uint8)))
+        inside = data[: len(buffer.data)]
+        kind = _KIND[inside]
+        lead = np.flatnonzero(inside == 0xC3)
+        after = data[lead + 1]
+        kind[lead[(after == 0x97) | (after == 0xB7)]] = _OTHER
+        if self.ends is None:
+            kind[kind != _SPACE] = _OTHER
+        change = np.empty(len(inside), bool)
+        change[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=change[1:])
+        change[buffer.offsets[:-1][np.diff(buffer.offsets) > 0]] = True
+        starts = np.flatnonzero(change)
+        kinds, sizes = kind[starts], np.diff(starts, append=len(inside))
+        # A run of non-space with a byte of another kind, or with a piece that is too long, is encoded as a whole.
+        odd = (kinds == _OTHER) | (sizes > LONGEST) & (kinds != _SPACE)
+        text = inside.tobytes()
+        units = [b""]
+        places, numbers = [], []
+        if odd.any():
+            new_run = kinds == _SPACE
+            new_run[np.searchsorted(starts, buffer.offsets[:-1][np.diff(buffer.offsets) > 0])] = True
+            run = np.cumsum(new_run)
+            bad = np.unique(run[odd])
+            within = np.isin(run, bad) & (kinds != _SPACE)
+            first = np.flatnonzero(within & np.concatenate(([True], (run[1:] != run[:-1]) | (kinds[:-1] == _SPACE))))
+            ends = np.concatenate((starts, [len(inside)]))
+            stop = np.searchsorted(run, run[first], side="right")
+            words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[stop].tolist())]
+            known = self.learn_runs(words)
+            number = {w: len(units) + i for i, w in enumerate(dict.fromkeys(words))}
+            units += map(known.__getitem__, number)
+            places.append(starts[first])
+            numbers.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            kinds = np.where(within, _OTHER, kinds)
+        for which, learn in ((_LETTER, self.learn_letters), (_MARK, self.learn_runs)):
+            some = np.flatnonzero(kinds == which)
+            at, n = starts[some], sizes[some]
+            pick, owner, loose = _distinct(data, at, n)
+            words = [text[a : a + k] for a, k in zip(at[pick].tolist(), n[pick].tolist())]
+            alone = [text[a : a + k] for a, k in zip(at[loose].tolist(), n[loose].tolist())]
+            owner = owner + len(units)
+            owner[loose] = len(units) + len(words) + np.arange(len(alone))
+            words += alone
+            known = learn(words)
+            units += map(known.__getitem__, words)
+            places.append(at)
+            numbers.append(owner)
+        values = np.frombuffer(b"".join(units), "<u4")
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units))))) // 4
+        place, unit = np.concatenate(places), np.concatenate(numbers)
+        order = np.argsort(place, kind="stable")
+        place, unit = place[order], unit[order]
+        lengths = bounds[unit + 1] - bounds[unit]
+        reached = np.concatenate(([0], np.cumsum(lengths)))
+        index = np.repeat((bounds[unit] - reached[:-1]).astype(np.int32), lengths)
+        index += np.arange(len(index), dtype=np.int32)
+        return values[index], reached[np.searchsorted(place, buffer.offsets)]
 
     def ids(self, text: bytes) -> Iterator[bytes]:
-        """The ids as little-endian unsigned 32-bit numbers, in runs."""
+        """The ids of one text, in runs, so that a very long one needs little memory."""
         rest = b""
-        for at in range(0, len(text) or 1, RUN):
-            piece = rest + text[at : at + RUN]
-            words = piece.split()
-            rest = words.pop() if at + RUN < len(text) and words and not piece[-1:].isspace() else b""
-            yield self.joined(words)
+        for at in range(0, len(text) or 1, SLICE):
+            piece = rest + text[at : at + SLICE]
+            rest = b""
+            if at + SLICE < len(text):
+                cut = max(piece.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+                piece, rest = piece[:cut], piece[cut:]
+            yield self.batch(TextBuffer(pa.array([piece], pa.large_binary())))[0].tobytes()
 
-    def joined(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        self.learn(set(words))
-        return b"".join(map(self.known.__getitem__, words))
 
+def _distinct(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One of each distinct byte range, which of them each range is, and ranges left over by a hash collision.
 
-_ENCODERS: dict[str, Encoder] = {}
+    Ranges are up to ``LONGEST`` bytes; their content is compared exactly.
+    """
+    view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    key, chunks = n.astype(np.uint64), []
+    with np.errstate(over="ignore"):
+        for k in range(0, int(n.max(initial=0)), 8):
+            some = np.flatnonzero(n > k) if k else slice(None)
+            rest = np.minimum(n[some] - k, 8).astype(np.uint64)
+            chunk = view[at[some] + k] & (full >> (np.uint64(8) * (np.uint64(8) - rest)))
+            chunks.append((some, chunk))
+            mixed = (key[some] ^ chunk) * np.uint64(0x9E3779B97F4A7C15)
+            key[some] = mixed ^ (mixed >> np.uint64(29))
+    _, pick, owner = np.unique(key, return_index=True, return_inverse=True)
+    differs = n != n[pick][owner] if len(n) else np.zeros(0, bool)
+    for k, (some, chunk) in enumerate(chunks):
+        whole = np.zeros(len(n), np.uint64)
+        whole[some] = chunk
+        differs[some] |= chunk != whole[pick][owner[some]]
+    return pick, owner, np.flatnonzero(differs)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """This worker's encoder; what it remembers serves all tasks that the worker runs."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -87,19 +245,17 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _ENCODERS[tokenizer] = encoder
+        coder = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 buffer = TextBuffer(part.column("text"))
-                data, at = buffer.data.tobytes(), buffer.offsets.tolist()
-                texts = [data[a:b] for a, b in zip(at, at[1:])]
-                if len(data) <= SLICE:  # the tokenizer works on all that is new in one call
-                    words = [text.split() for text in texts]
-                    encoder.learn(set().union(*words))
-                    encoded = ([encoder.joined(x)] for x in words)
+                if len(buffer.data) <= SLICE:
+                    ids, bounds = coder.batch(buffer)
+                    whole, bounds = ids.tobytes(), (4 * bounds).tolist()
+                    encoded = ([whole[a:b]] for a, b in zip(bounds, bounds[1:]))
                 else:
-                    encoded = map(encoder.ids, texts)
+                    data, at = buffer.data.tobytes(), buffer.offsets.tolist()
+                    encoded = (coder.ids(data[a:b]) for a, b in zip(at, at[1:]))
                 row, number, start, length, crc = array("q"), array("q"), array("q"), array("q"), array("q")
                 for i, runs in enumerate(encoded):
                     kept_ids, done = b"", 0
