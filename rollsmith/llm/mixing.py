@@ -28,7 +28,7 @@ from rollsmith.llm.common import TextBuffer, materialize, slices
 
 WEIGHTS, MOST_COPIES = (1.0, 2.0, 3.0), 3.0
 #: Documents of a chunk, and residuals of chunks that meet in one chunk of the next level.
-CHUNK, FAN_IN = 16_384, 16_384
+CHUNK, FAN_IN = 1024, 16_384
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
