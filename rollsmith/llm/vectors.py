@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rollsmith.llm.common import materialize
 
-SHARD, BLOCK = 2048, 512
+SHARD, BLOCK, HELD = 2048, 512, 1_000_000
 _PACKED = "shard int, ids binary, vectors binary, width int"
 
 
@@ -103,6 +103,15 @@ def sharded(vectors: DataFrame, id_col: str, vec_col: str, drop_zero: bool = Fal
     return packed(rows, shards, 2 * SHARD), shards, rows
 
 
+def best_of(parts: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query ids, vec ids, scores) the ``k`` best of each query, ties to the smaller id."""
+    order = np.lexsort((parts[1], -parts[2] if parts[2].dtype.kind == "f" else ~parts[2], parts[0]))
+    query = parts[0][order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return [x[order[place < k]] for x in parts]
+
+
 def search(index: DataFrame, shards: int, queries: DataFrame, run: Callable, k: int, score: str) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` over all shards, ties to the smaller id.
 
@@ -112,13 +121,30 @@ def search(index: DataFrame, shards: int, queries: DataFrame, run: Callable, k:
     sent = blocks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("q_shard"))
     met = index.join(sent, index["shard"] == sent["q_shard"])
 
+    kind = pa.int64() if score == "long" else pa.float64()
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What shards of this task found for a block of queries is merged here; beyond HELD rows it is sent on.
+        held: dict[bytes, list[np.ndarray]] = {}
+        rows = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for parts in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], kind)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 q_ids, q = unpack(row["q_ids"], row["q_vectors"], row["q_width"])
-                for a, b, c in run(row, q_ids, q):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64() if score == "long" else pa.float64())], names=["query_id", "vec_id", "score"])
+                for found in run(row, q_ids, q):
+                    before = held.get(row["q_ids"])
+                    parts = [np.asarray(x) for x in found] if before is None else best_of([np.concatenate(x) for x in zip(before, found)], k)
+                    rows += len(parts[0]) - (0 if before is None else len(before[0]))
+                    held[row["q_ids"]] = parts
+                if rows > HELD:
+                    yield from out()
+                    held, rows = {}, 0
+        yield from out()
 
     found = met.mapInArrow(each, f"query_id long, vec_id long, score {score}")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
