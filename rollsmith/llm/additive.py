@@ -113,12 +113,9 @@ def _indexed(books: np.ndarray):
     return run
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, added up in the order of the dimensions, so equal rows give equal sums."""
-    total = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
-    for d in range(a.shape[-1]):
-        total += a[..., d] * b[..., d]
-    return total
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of rows with one query; each row's sum is formed alike, so equal rows give equal sums."""
+    return np.einsum("rd,d->r", np.ascontiguousarray(rows), query)
 
 
 def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, rerank: int = RERANK) -> DataFrame:
@@ -143,11 +140,11 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
         estimate *= np.frombuffer(row["ratio"], np.float64).astype(np.float32)
         wanted = min(max(rerank, k + 1), len(x))
         picked = np.argpartition(estimate, len(x) - wanted, axis=1)[:, len(x) - wanted :]
-        score = products(x[picked], q[:, None, :])
         begins = np.concatenate(([0], ends[:-1]))
         counts = np.minimum(ends - begins, k + 1)  # of equal vectors only the smallest ids can be among the first k
         out: list[list] = [[], [], []]
-        for number, rows_, s in zip(q_ids, picked, score):
+        for number, rows_, vector in zip(q_ids, picked, q):
+            s = products(x[rows_], vector)
             if len(s) > k + 1:
                 near = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
                 rows_, s = rows_[near], s[near]
