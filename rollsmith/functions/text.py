@@ -30,6 +30,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
 def words(text: Column | str) -> Column:
     """Runs without white space; an empty or blank text has none."""
     return F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda w: w != "")
@@ -51,14 +56,14 @@ def question_kind(text: Column | str) -> Column:
 def public_text(message: Column | str) -> Column:
     """What follows the first action tag, without thoughts; a thought that does not close stays."""
     after = F.regexp_extract(_c(message), r"(?s)\[(?:" + "|".join(ACTIONS) + r")\](.*)", 1)
-    return F.trim(F.regexp_replace(after, r"(?is)<think>.*?</think>", ""))
+    return stripped(F.regexp_replace(after, r"(?is)<think>.*?</think>", ""))
 
 
 def questions(text: Column | str, most: int = 500) -> Column:
     """The last sentence before each question mark."""
     parts = F.split(_c(text), r"\?")
     ended = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) > 0)
-    line = lambda p: F.element_at(F.split(F.regexp_replace(p, r"^\s+|\s+$", ""), "\n"), -1)
+    line = lambda p: F.element_at(F.split(stripped(p), "\n"), -1)
     sentence = lambda p: F.element_at(F.split(line(p), r"[.!] "), -1)
     return F.transform(ended, lambda p: F.substring(F.concat(F.trim(sentence(p)), F.lit("?")), 1, most))
 
@@ -129,7 +134,7 @@ def normalized_answer(text: Column | str) -> Column:
 
 def last_tagged(text: Column | str, tag: str = "answer") -> Column:
     found = F.regexp_extract_all(_c(text), F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
-    return F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"^\s+|\s+$", "")
+    return stripped(F.try_element_at(found, F.lit(-1)))
 
 
 def count_of(text: Column | str, needle: str) -> Column:
