@@ -15,7 +15,7 @@ from rollsmith.plans.registry import Tables, query
 
 E = F.expr
 #: Word boundaries of SQL engines differ on letters outside ASCII; these two queries put x for them.
-PLAIN = F.regexp_replace("text", "[^\\x00-\\x7F]", "x")
+PLAIN = lambda: F.regexp_replace("text", "[^\\x00-\\x7F]", "x")
 PLAIN_SQL = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
 
 
@@ -73,7 +73,7 @@ def x8(t: Tables) -> DataFrame:
 @query("x9_entities", f"""SELECT doc_id, len(p)::INT AS people, len(list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z]*)', 1)), lambda x: NOT list_contains(list_transform(p, lambda y: split_part(y, ' ', 1)), x) AND length(x) > 2))::INT AS titles
 FROM (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]+ [A-Z][a-z]+)\\b', 1)) AS p FROM (SELECT doc_id, {PLAIN_SQL} AS text FROM documents))""")
 def x9(t: Tables) -> DataFrame:
-    people, titles = X.people_and_titles(PLAIN)
+    people, titles = X.people_and_titles(PLAIN())
     return t.documents.select("doc_id", F.size(people).alias("people"), F.size(titles).alias("titles"))
 
 
@@ -102,7 +102,7 @@ NORMAL_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-
 
 @query("x13_normalized_answer", f"SELECT conv_id, turn, {NORMAL_SQL.format(PLAIN_SQL)} AS answer FROM conversations")
 def x13(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", X.normalized_answer(PLAIN).alias("answer"))
+    return t.conversations.select("conv_id", "turn", X.normalized_answer(PLAIN()).alias("answer"))
 
 
 @query("x14_last_tagged", "SELECT conv_id, turn, trim(regexp_extract('<answer>' || role || '</answer> then <answer> ' || text || ' </answer>', '.*<answer>(.*?)</answer>', 1, 's')) AS answer, 2::BIGINT AS opened FROM conversations")
