@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rollsmith.functions import text as X
+from rollsmith.functions.tokens import let
 
 Score = Callable[[Column, Column], Column]
 
@@ -43,14 +44,14 @@ def named_answer(solution: Column, truth: Column) -> Column:
 def exact_match(solution: Column, golds: Column, score: float = 1.0, format_score: float = 0.0, most_tags: int = 10) -> Column:
     """Equal to any gold after normalisation; an answer full of tags earns a quarter."""
     answer = X.last_tagged(solution)
-    right = F.exists(golds, lambda g: X.normalized_answer(g) == X.normalized_answer(answer))
+    right = let(X.normalized_answer(answer), lambda said: F.exists(golds, lambda g: X.normalized_answer(g) == said))
     crowded = (X.count_of(solution, "<answer>") > most_tags) | (X.count_of(solution, "</answer>") > most_tags)
     return F.when(answer.isNull(), 0.0).when(right & crowded, score / 4).when(right, score).otherwise(format_score)
 
 
 def contains_match(solution: Column, golds: Column, score: float = 1.0, format_score: float = 0.0) -> Column:
     answer = X.last_tagged(solution)
-    return _points(answer, F.exists(golds, lambda g: F.contains(X.normalized_answer(answer), X.normalized_answer(g))), score, format_score)
+    return _points(answer, let(X.normalized_answer(answer), lambda said: F.exists(golds, lambda g: F.contains(said, X.normalized_answer(g)))), score, format_score)
 
 
 def thought_format(solution: Column) -> Column:

@@ -37,7 +37,8 @@ def stripped(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Runs without white space; an empty or blank text has none."""
-    return F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda w: w != "")
+    bare = F.btrim(_c(text), F.lit(" \t\n\r\f\x0b"))
+    return F.when(bare == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(bare, r"\s+"))
 
 
 def is_question(text: Column | str) -> Column:

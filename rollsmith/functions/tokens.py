@@ -16,6 +16,15 @@ def _c(x: Name) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    Inside a lambda an outer expression is evaluated for every element; bound as a lambda's
+    own argument it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Name) -> Column:
     return F.aggregate(_c(values), F.lit(0.0), lambda a, x: a + x)
 
@@ -34,14 +43,14 @@ def masked_mean(values: Name, mask: Name) -> Column:
 
 def masked_var(values: Name, mask: Name) -> Column:
     """Variance with Bessel's correction; null when fewer than two tokens count."""
-    n, mean = mask_count(mask), masked_mean(values, mask)
-    centred = masked_sum(F.transform(_c(values), lambda x: (x - mean) * (x - mean)), mask) / (n + 1e-8)
-    return F.when(n > 1, centred * n / (n - 1))
+    n = mask_count(mask)
+    squares = lambda mean: masked_sum(F.transform(_c(values), lambda x: (x - mean) * (x - mean)), mask)
+    return F.when(n > 1, let(masked_mean(values, mask), squares) / (n + 1e-8) * n / (n - 1))
 
 
 def masked_whiten(values: Name, mask: Name, shift_mean: bool = True) -> Column:
-    mean, var = masked_mean(values, mask), masked_var(values, mask)
-    return F.transform(_c(values), lambda x: (x - mean) / F.sqrt(var + 1e-8) + (F.lit(0.0) if shift_mean else mean))
+    stats = F.struct(masked_mean(values, mask).alias("mean"), F.sqrt(masked_var(values, mask) + 1e-8).alias("std"))
+    return let(stats, lambda s: F.transform(_c(values), lambda x: (x - s["mean"]) / s["std"] + (F.lit(0.0) if shift_mean else s["mean"])))
 
 
 def whiten_rows(tokens: DataFrame, value: str, mask: str = "mask") -> DataFrame:
@@ -83,7 +92,7 @@ def clip(x: Column, low: Column | float, high: Column | float) -> Column:
 def first_eos_mask(ids: Name, eos: list[int]) -> Column:
     """1 up to and including the first end token."""
     place = F.least(*[F.when(F.array_position(_c(ids), e) > 0, F.array_position(_c(ids), e)).otherwise(F.lit(1 << 40)) for e in eos]) if len(eos) > 1 else F.when(F.array_position(_c(ids), eos[0]) > 0, F.array_position(_c(ids), eos[0])).otherwise(F.lit(1 << 40))
-    return F.transform(_c(ids), lambda _, i: (i < place).cast("int"))
+    return let(place, lambda p: F.transform(_c(ids), lambda _, i: (i < p).cast("int")))
 
 
 def tail_mask(mask: Name, n: int) -> Column:
@@ -128,7 +137,7 @@ def position_ids(mask: Name) -> Column:
 def place_terminal(reward: Name, mask: Name) -> Column:
     """Zeros but for the reward at the last counted token (index of the mask's sum less one)."""
     n = F.aggregate(_c(mask), F.lit(0), lambda a, m: a + m.cast("int"))
-    return F.transform(_c(mask), lambda _, i: F.when(i == n - 1, _c(reward).cast("double")).otherwise(0.0))
+    return let(n, lambda k: F.transform(_c(mask), lambda _, i: F.when(i == k - 1, _c(reward).cast("double")).otherwise(0.0)))
 
 
 def reverse_scan(values: Name, mask: Name, gamma: float, reset: bool) -> Column:
@@ -158,14 +167,12 @@ def gae(rewards: Name, values: Name, mask: Name, gamma: float, lam: float) -> Co
 
 
 def logsumexp(logits: Name) -> Column:
-    top = F.array_max(_c(logits)).cast("double")
-    return top + F.log(F.aggregate(_c(logits), F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top)))
+    return let(F.array_max(_c(logits)).cast("double"), lambda top: top + F.log(F.aggregate(_c(logits), F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))))
 
 
 def entropy(logits: Name) -> Column:
     """Entropy of the softmax of a row of logits."""
-    z = logsumexp(logits)
-    return z - F.aggregate(_c(logits), F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - z) * x.cast("double"))
+    return let(logsumexp(logits), lambda z: z - F.aggregate(_c(logits), F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - z) * x.cast("double")))
 
 
 def log_prob(logits: Name, index: Name) -> Column:

@@ -10,10 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollsmith.functions.text import words
 
-def tokens_of(text: Column) -> Column:
-    """The default tokenizer: runs without white space, none for a blank text."""
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
+
+#: The default tokenizer: runs without white space, none for a blank text.
+tokens_of = words
 
 
 def within_length(df: DataFrame, text: str, most: int, tokenizer=tokens_of) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollsmith.functions.tokens import let
+
 
 def reward_summary(df: DataFrame, reward: str, by: list[str] = ()) -> DataFrame:
     """Count, mean, population deviation, ends, deciles of interest, and the zeros and perfect ones."""
@@ -239,8 +241,16 @@ def probability_gap(tokens: DataFrame, a: str, b: str, mask: str) -> DataFrame:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """The runs of ``n`` words of an array, joined by blanks."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+    """The runs of ``n`` words of an array, joined by blanks: the array against itself, shifted."""
+
+    def shifted(w: Column) -> Column:
+        tails = [F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - n + 1, F.lit(0))) for k in range(n)]
+        out = tails[0]
+        for tail in tails[1:]:
+            out = F.zip_with(out, tail, lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
+
+    return let(words, lambda w: F.when(F.size(w) >= n, shifted(w)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def distinct_n(df: DataFrame, by: list[str], words: str, n: int) -> DataFrame:
@@ -252,16 +262,13 @@ def distinct_n(df: DataFrame, by: list[str], words: str, n: int) -> DataFrame:
 def self_bleu(df: DataFrame, by: list[str], key: str, words: str, n: int = 2) -> DataFrame:
     """Mean over texts of their n-gram precision, each gram clipped by its most frequent use in another text.
 
-    The most frequent use elsewhere is the largest or, for the text that holds it, the
-    second largest count of the gram: two numbers a gram replace comparing texts.
+    Only the text that uses a gram most is clipped, to the second most frequent use: two
+    numbers a gram, side by side in one ordering, replace comparing texts.
     """
     grams = df.select(*by, key, F.explode(ngrams(F.col(words), n)).alias("g")).groupBy(*by, key, "g").agg(F.count("*").alias("c"))
-    top = grams.groupBy(*by, "g").agg(F.max(F.struct("c", key)).alias("_top"))
-    first = grams.join(top, [*by, "g"])
-    mine = F.col(f"_top.{key}") == F.col(key)
-    second = first.where(~mine).groupBy(*by, "g").agg(F.max("c").alias("_second"))
-    clipped = first.join(second, [*by, "g"], "left").withColumn("m", F.least("c", F.when(mine, F.coalesce("_second", F.lit(0))).otherwise(F.col("_top.c"))))
-    per = clipped.groupBy(*by, key).agg((F.sum("m") / F.sum("c")).alias("p"))
+    use = Window.partitionBy(*by, "g").orderBy(F.col("c").desc(), key)
+    clipped = F.when(F.row_number().over(use) == 1, F.least("c", F.coalesce(F.lead("c").over(use), F.lit(0)))).otherwise(F.col("c"))
+    per = grams.withColumn("m", clipped).groupBy(*by, key).agg((F.sum("m") / F.sum("c")).alias("p"))
     return per.groupBy(*by).agg(F.avg("p").alias("self_bleu"), F.count("*").alias("texts"))
 
 
