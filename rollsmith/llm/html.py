@@ -309,6 +309,11 @@ class TreeBuilder:
             for i in range(len(self.open) - 1, -1, -1):
                 now = self.open[i]["name"]
                 if now == name:
+                    if name not in BLOCK and "hidden" not in self.open[i] and any(x["name"] in BLOCK for x in self.open[i + 1 :]):
+                        # An inline element that ends inside a block it began before: the block goes on.
+                        self.count[name] -= 1
+                        self.renderer.leave(self.open.pop(i))
+                        return
                     while len(self.open) > i:
                         self.pop()
                     return

@@ -2,9 +2,9 @@
 
 Templates are word sequences with a label and mandatory key phrases. Their words are
 indexed by template and position; how rare each word is (IDF) is counted over all
-documents. In each file the rarest word of every template is looked up: each of its
-places proposes where the template would start, the template's other words are
-intersected by their relative positions, and a proposal stands if its key phrases
+documents. In each file the rarest word of every template's key phrases is looked up:
+each of its places proposes where the template would start, the template's other words
+are intersected by their relative positions, and a proposal stands if its key phrases
 are all in place and the words in place hold at least ``ACCEPT`` of the template's
 IDF. A base phrase is a template whose key phrase is the whole of it, so every place
 of it is found. Work is done on the bytes of a batch, without an object for a word.
@@ -176,7 +176,8 @@ def _scan(words: Words, templates: tuple[Template, ...], number: dict[str, int],
     bound = np.concatenate(([0], np.cumsum(np.bincount(words.ids[place], minlength=len(number)))))
     padded = np.concatenate((np.full(SLACK, -1, np.int32), words.ids, np.full(SLACK, -1, np.int32)))
     for t in templates:
-        rare = max(range(len(t.words)), key=lambda j: (idf[t.words[j]], -j))
+        # What stands holds the key phrases, so their rarest word leads to every proposal that can stand.
+        rare = max((j for a, b in t.keys for j in range(a, b)), key=lambda j: (idf[t.words[j]], -j))
         w = number[t.words[rare]]
         at = by_word[bound[w] : bound[w + 1]] - rare
         owner = np.searchsorted(words.first, at + rare, side="right") - 1
