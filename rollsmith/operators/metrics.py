@@ -255,8 +255,8 @@ def ngrams(words: Column, n: int) -> Column:
 
 def distinct_n(df: DataFrame, by: list[str], words: str, n: int) -> DataFrame:
     """Distinct runs of ``n`` words over all runs."""
-    grams = df.select(*by, F.explode(ngrams(F.col(words), n)).alias("g")).groupBy(*by, "g").agg(F.count("*").alias("c"))
-    return grams.groupBy(*by).agg(F.count("*").alias("unique"), F.sum("c").alias("total")).withColumn("distinct_n", F.col("unique") / F.col("total"))
+    grams = df.select(*by, F.explode(ngrams(F.col(words), n)).alias("_gram")).groupBy(*by, "_gram").agg(F.count("*").alias("_uses"))
+    return grams.groupBy(*by).agg(F.count("*").alias("unique"), F.sum("_uses").alias("total")).withColumn("distinct_n", F.col("unique") / F.col("total"))
 
 
 def self_bleu(df: DataFrame, by: list[str], key: str, words: str, n: int = 2) -> DataFrame:
@@ -265,17 +265,17 @@ def self_bleu(df: DataFrame, by: list[str], key: str, words: str, n: int = 2) ->
     Only the text that uses a gram most is clipped, to the second most frequent use: two
     numbers a gram, side by side in one ordering, replace comparing texts.
     """
-    grams = df.select(*by, key, F.explode(ngrams(F.col(words), n)).alias("g")).groupBy(*by, key, "g").agg(F.count("*").alias("c"))
-    use = Window.partitionBy(*by, "g").orderBy(F.col("c").desc(), key)
-    clipped = F.when(F.row_number().over(use) == 1, F.least("c", F.coalesce(F.lead("c").over(use), F.lit(0)))).otherwise(F.col("c"))
-    per = grams.withColumn("m", clipped).groupBy(*by, key).agg((F.sum("m") / F.sum("c")).alias("p"))
-    return per.groupBy(*by).agg(F.avg("p").alias("self_bleu"), F.count("*").alias("texts"))
+    grams = df.select(*by, key, F.explode(ngrams(F.col(words), n)).alias("_gram")).groupBy(*by, key, "_gram").agg(F.count("*").alias("_uses"))
+    use = Window.partitionBy(*by, "_gram").orderBy(F.col("_uses").desc(), key)
+    clipped = F.when(F.row_number().over(use) == 1, F.least("_uses", F.coalesce(F.lead("_uses").over(use), F.lit(0)))).otherwise(F.col("_uses"))
+    per = grams.withColumn("_kept", clipped).groupBy(*by, key).agg((F.sum("_kept") / F.sum("_uses")).alias("_p"))
+    return per.groupBy(*by).agg(F.avg("_p").alias("self_bleu"), F.count("*").alias("texts"))
 
 
 def vocabulary(df: DataFrame, by: list[str], words: str) -> DataFrame:
     """Type-token ratio and vocabulary size, and mean and population deviation of lengths."""
     lengths = df.groupBy(*by).agg(F.avg(F.size(words)).alias("length_mean"), F.stddev_pop(F.size(words)).alias("length_std"))
-    types = df.select(*by, F.explode(words).alias("w")).groupBy(*by, "w").agg(F.count("*").alias("c")).groupBy(*by).agg(F.count("*").alias("vocabulary"), F.sum("c").alias("tokens"))
+    types = df.select(*by, F.explode(words).alias("_word")).groupBy(*by, "_word").agg(F.count("*").alias("_uses")).groupBy(*by).agg(F.count("*").alias("vocabulary"), F.sum("_uses").alias("tokens"))
     return lengths.join(types, by).withColumn("type_token_ratio", F.col("vocabulary") / F.col("tokens"))
 
 
