@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from rollsmith.llm.common import TextBuffer, slices
 
 #: Bound of the training sample, documents of each class, and the longest text in it.
-SAMPLE, TRAIN_CHARS = 1500, 8000
+SAMPLE, TRAIN_CHARS = 3000, 8000
 EMBED, STRIDE, FILTERS, UNIT, HIDDEN = 8, 4, 32, 128, 16
-EPOCHS, TRAIN_BATCH, RATE, SEED = 10, 32, 0.01, 5
+STEPS, TRAIN_BATCH, RATE, SEED = 800, 32, 0.01, 5
 BLOCK = EMBED * STRIDE
 #: Bytes of texts worked on at once.
 PIECE = 1 << 20
@@ -121,21 +121,24 @@ class QualityModel:
         if not len(y) or y.min() == y.max():
             return
         rng = np.random.default_rng(seed)
-        balance = np.where(y == 1, 1.0, np.sqrt((y == 1).sum() / max(1, (y == 0).sum()))).astype(np.float32)
         first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
-        step, total = 0, EPOCHS * max(1, len(y) // TRAIN_BATCH)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(y))
-            for a in range(0, len(order) - TRAIN_BATCH + 1 if len(order) >= TRAIN_BATCH else 1, TRAIN_BATCH):
-                step += 1
-                rows = order[a : a + TRAIN_BATCH]
-                _, grads = self.gradients(Layout(TextBuffer(pa.array([texts[i] for i in rows], pa.large_binary()))), y[rows], balance[rows])
-                rate = RATE * min(1.0, step / 20) * (1 - step / (total + 1))
-                for name, g in grads.items():
-                    first[name] += 0.1 * (g - first[name])
-                    second[name] += 0.005 * (g * g - second[name])
-                    size = rate * np.sqrt(1 - 0.995**step) / (1 - 0.9**step)
-                    self.weights[name] -= (size * first[name] / (np.sqrt(second[name]) + 1e-7)).astype(np.float32)
+        kinds = [np.flatnonzero(y == k) for k in (0, 1)]
+        orders: list[list[int]] = [[], []]
+        weight = np.ones(TRAIN_BATCH, np.float32)
+        for step in range(1, STEPS + 1):
+            rows: list[int] = []
+            for k, members in enumerate(kinds):  # both classes alike, each text once before any comes again
+                while len(orders[k]) < TRAIN_BATCH // 2:
+                    orders[k] += rng.permutation(members).tolist()
+                rows += orders[k][: TRAIN_BATCH // 2]
+                del orders[k][: TRAIN_BATCH // 2]
+            _, grads = self.gradients(Layout(TextBuffer(pa.array([texts[i] for i in rows], pa.large_binary()))), y[rows], weight)
+            rate = RATE * min(1.0, step / 20) * (1 - step / (STEPS + 1))
+            for name, g in grads.items():
+                first[name] += 0.1 * (g - first[name])
+                second[name] += 0.005 * (g * g - second[name])
+                size = rate * np.sqrt(1 - 0.995**step) / (1 - 0.9**step)
+                self.weights[name] -= (size * first[name] / (np.sqrt(second[name]) + 1e-7)).astype(np.float32)
         self.fitted = True
 
     def score(self, texts: pa.Array) -> np.ndarray:

@@ -79,7 +79,7 @@ def _pack(limit: int) -> Callable:
 def packed(rows: DataFrame, shards: int, limit: int) -> DataFrame:
     """Rows ``id, vector`` as packed shards of at most ``limit`` rows, written once."""
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id", "vector")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "id", "vector")
     return materialize(dealt.mapInArrow(_pack(limit), _PACKED))
 
 
