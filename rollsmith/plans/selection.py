@@ -91,9 +91,9 @@ def f14(t: Tables) -> DataFrame:
     return turns.select("conv_id", F.size(P.without_errors(F.col("turns"), marker="system")).cast("long").alias("n"))
 
 
-@query("f15_fill_groups", "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 20)")
+@query("f15_fill_groups", "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 5)")
 def f15(t: Tables) -> DataFrame:
-    return P.fill_groups(t.events.select("event_id", "user_id"), "user_id", 20)
+    return P.fill_groups(t.events.select("event_id", "user_id"), "user_id", 5)
 
 
 @query("f16_require_positive", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 0")
