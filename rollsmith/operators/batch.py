@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollsmith.operators.ranking import indexed
+
 
 def select_keys(df: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
     """The named columns with the position."""
@@ -40,6 +42,8 @@ def slice_rows(df: DataFrame, start: int, stop: int, step: int = 1, position: st
 
 def numbered(df: DataFrame, order: list, position: str = "pos", partition: list[str] = ()) -> DataFrame:
     """Add positions from 0 in an explicit order, within partitions if given."""
+    if not partition:
+        return indexed(df, order, position)
     return df.withColumn(position, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1)
 
 

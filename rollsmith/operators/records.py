@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollsmith import schemas
 from rollsmith.functions import text as X
+from rollsmith.operators.ranking import indexed
 
 
 def message(role: str | Column, content: Column) -> Column:
@@ -15,11 +16,10 @@ def message(role: str | Column, content: Column) -> Column:
 
 def prompt_records(df: DataFrame, *, source: str, question: Column, answer: Column, order: list[str], split: str, instruction: str = "", ability: str = "math", style: str = "rule") -> DataFrame:
     """Prompt records; their index follows a stable key."""
-    index = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.select(
+    return indexed(df, order, "_index").select(
         F.lit(source).alias("data_source"), F.array(message("user", F.concat(question, F.lit(instruction)))).alias("prompt"), F.lit(ability).alias("ability"),
         F.struct(F.lit(style).alias("style"), answer.alias("ground_truth")).alias("reward_model"),
-        F.struct(F.lit(split).alias("split"), index.cast("long").alias("index"), answer.alias("answer"), question.alias("question")).alias("extra_info"),
+        F.struct(F.lit(split).alias("split"), F.col("_index").alias("index"), answer.alias("answer"), question.alias("question")).alias("extra_info"),
     )
 
 

@@ -2,49 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollsmith.operators.ranking import BUCKETS, hash_ranked
 from rollsmith.operators.windows import hashed_order
 
 
-def _ranked(df: DataFrame, order: list, buckets: int = 64) -> DataFrame:
-    """Exact ranks from 0 over a whole table without one task for all rows.
-
-    Rows are ranked within buckets of a hash's high bits, which are in order among
-    themselves; the driver adds up one count for each bucket.
-    """
-    top = F.pmod(F.shiftright(order[0], 48), F.lit(1 << 16))
-    bucket = F.floor(top * buckets / (1 << 16))
-    tagged = df.withColumn("_b", bucket)
-    counts = {r["_b"]: r["count"] for r in tagged.groupBy("_b").count().collect()}
-    starts, total = [], 0
-    for b in sorted(counts):
-        starts += [F.lit(b), F.lit(total)]
-        total += counts[b]
-    before = F.element_at(F.create_map(*starts), F.col("_b")) if starts else F.lit(0)
-    within = F.row_number().over(Window.partitionBy("_b").orderBy(top, *order)) - 1
-    return tagged.withColumn("_rank", (before + within).cast("long")).withColumn("_total", F.lit(total)).drop("_b")
-
-
 def split_exact(df: DataFrame, fraction: float, key: list[str], seed: int = 42, rounding: str = "floor") -> DataFrame:
     """Tag rows ``train`` or ``val`` with an exact count, in an order fixed by seeded hash.
 
     ``floor``: int(n * fraction) rows train; ``ceil``: the rest is rounded up.
     """
-    ranked = _ranked(df, [hashed_order(key, seed), *map(F.col, key)])
-    n = F.col("_total")
-    cut = F.floor(n * fraction + 1e-9) if rounding == "floor" else n - F.ceil(n * (1 - fraction) - 1e-9)
-    return ranked.withColumn("split", F.when(F.col("_rank") < cut, "train").otherwise("val")).drop("_rank", "_total")
+    ranked, n = hash_ranked(df, hashed_order(key, seed), key)
+    cut = math.floor(n * fraction + 1e-9) if rounding == "floor" else n - math.ceil(n * (1 - fraction) - 1e-9)
+    return ranked.withColumn("split", F.when(F.col("_rank") < cut, "train").otherwise("val")).drop("_rank")
 
 
 def split_three(df: DataFrame, fractions: tuple[float, float, float], key: list[str], seed: int = 42) -> DataFrame:
     """Tag rows train, val or test; the counts of the first two are rounded half to even."""
     if abs(sum(fractions) - 1) > 1e-6:
         raise ValueError("the fractions must add up to 1")
-    ranked = _ranked(df, [hashed_order(key, seed), *map(F.col, key)])
-    a, b = (F.bround(F.col("_total") * f, 0) for f in fractions[:2])
-    return ranked.withColumn("split", F.when(F.col("_rank") < a, "train").when(F.col("_rank") < a + b, "val").otherwise("test")).drop("_rank", "_total")
+    ranked, n = hash_ranked(df, hashed_order(key, seed), key)
+    a, b = (round(n * f) for f in fractions[:2])
+    return ranked.withColumn("split", F.when(F.col("_rank") < a, "train").when(F.col("_rank") < a + b, "val").otherwise("test")).drop("_rank")
 
 
 def resample_weights(score: Column, method: str, power: float, top: Column, low: Column) -> Column:
@@ -74,16 +57,17 @@ def resample(df: DataFrame, score: str, key: str, *, method: str = "pow", power:
     grid of n points, so no draw is joined to a range: one pass of cumulative sums over
     buckets of the key's hash.
     """
-    drawn = weighted(df, score, method, power).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(64)))
-    sums = {r["_b"]: (r["s"], r["n"]) for r in drawn.groupBy("_b").agg(F.sum("probability").alias("s"), F.count("*").alias("n")).collect()}
-    n, starts, at = sum(x[1] for x in sums.values()), [], 0.0
-    for b in sorted(sums):
-        starts += [F.lit(b), F.lit(at)]
-        at += sums[b][0]
+    drawn = weighted(df, score, method, power).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BUCKETS)))
+    starts, n, at = [], 0, 0.0
+    for b, total, count in sorted(map(tuple, drawn.groupBy("_b").agg(F.sum("probability"), F.count("*")).collect())):
+        starts.append((b, at))
+        at += total
+        n += count
     offset = ((seed * 2654435761) % 1000003) / 1000003
-    end = F.element_at(F.create_map(*starts), F.col("_b")) + F.sum("probability").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    placed = drawn.join(F.broadcast(df.sparkSession.createDataFrame(starts, "_bucket bigint, _start double")), F.col("_b") == F.col("_bucket"))
+    end = F.col("_start") + F.sum("probability").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     copies = F.floor(end * n + offset) - F.floor((end - F.col("probability")) * n + offset)
-    return drawn.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("_b", "copies")
+    return placed.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("_b", "_bucket", "_start", "copies")
 
 
 def sampler_order(df: DataFrame, kind: str, key: list[str], *, seed: int = 0, difficulty: str | None = None) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollsmith.operators.ranking import indexed
+
 
 def rolling_mean(df: DataFrame, value: str, width: int, order: list, *, partition: list[str] = (), full_only: bool = True, out: str = "rolling") -> DataFrame:
-    """Mean of the last ``width`` rows; with ``full_only`` rows without a full window are left out."""
+    """Mean of the last ``width`` rows; with ``full_only`` rows without a full window are left out.
+
+    One order over a whole table is one task's work; large tables take a partition.
+    """
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(width - 1), 0)
     found = df.withColumn(out, F.avg(value).over(w)).withColumn("_n", F.count(value).over(w))
     return (found.where(F.col("_n") == width) if full_only else found).drop("_n")
@@ -68,17 +73,17 @@ def zero_sums(df: DataFrame, group: str, weight: str, tolerance: float = 1e-6) -
 
 def best_median_worst(df: DataFrame, score: str, tie: list[str], n: int) -> DataFrame:
     """The ``n`` worst, middle and best rows, tagged by ``place``; the middle is centred on half the count."""
-    ends = df.orderBy(F.col(score), *tie).limit(n).withColumn("place", F.lit("worst")).union(df.orderBy(F.col(score).desc(), *[F.col(c).desc() for c in tie]).limit(n).withColumn("place", F.lit("best")))
     total = df.count()
     start = max(0, total // 2 - n // 2)
-    # Only the lower part up to the middle is ordered; the limit makes it a distributed sort.
-    middle = df.orderBy(F.col(score), *tie).offset(start).limit(n).withColumn("place", F.lit("median"))
-    return ends.unionByName(middle)
+    ends = df.orderBy(F.col(score), *tie).limit(n).withColumn("place", F.lit("worst")).union(df.orderBy(F.col(score).desc(), *[F.col(c).desc() for c in tie]).limit(n).withColumn("place", F.lit("best")))
+    middle = indexed(df, [score, *tie], "_i").where((F.col("_i") >= start) & (F.col("_i") < start + n)).drop("_i")
+    return ends.unionByName(middle.withColumn("place", F.lit("median")))
 
 
 def top_fraction(df: DataFrame, value: str, fraction: float, tie: list[str]) -> DataFrame:
     """The ``max(1, int(n * fraction))`` rows of the highest value."""
-    return df.orderBy(F.col(value).desc(), *tie).limit(max(1, int(df.count() * fraction)))
+    wanted = max(1, int(df.count() * fraction))
+    return indexed(df, [F.col(value).desc(), *tie], "_i").where(F.col("_i") < wanted).drop("_i")
 
 
 def hashed_order(key: list[str], seed: int) -> Column:

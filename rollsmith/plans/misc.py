@@ -151,11 +151,11 @@ def e5(t: Tables) -> DataFrame:
     return t.events.select("event_id", G.batched(lambda a, b: [float(len(x)) for x in a])(F.col("event_type"), F.lit("")).alias("score"))
 
 
-@query("t3_sorted_steps", "SELECT n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey)::INT AS place FROM nation")
+@query("t3_sorted_steps", "SELECT n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS place FROM nation")
 def t3(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+    from rollsmith.operators.ranking import indexed
 
-    return t.nation.select("n_regionkey", "n_nationkey", F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")).alias("place"))
+    return indexed(t.nation.select("n_regionkey", "n_nationkey"), ["n_regionkey", "n_nationkey"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("k7_example_report", "SELECT place, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM (SELECT doc_id, CASE WHEN rn <= 2 THEN 'worst' WHEN rn > n - 2 THEN 'best' WHEN rn > n // 2 - 1 AND rn <= n // 2 + 1 THEN 'median' END AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rn, count(*) OVER () AS n FROM documents)) WHERE place IS NOT NULL GROUP BY place")

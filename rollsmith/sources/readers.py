@@ -6,7 +6,7 @@ file system, which also tells which files exist.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollsmith import schemas
@@ -69,15 +69,11 @@ def first_existing(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def split_slice(df: DataFrame, order: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """The rows from one share to another of a table in an explicit order.
+    """The rows from one share to another of a table in an explicit order."""
+    from rollsmith.operators.ranking import indexed
 
-    The bounding key is found by two ordered limits' worth of sorting; rows are then
-    kept by a comparison with it, so no task sees all rows.
-    """
     n = df.count()
-    a, b = int(n * low), int(n * high)
-    ranked = df.orderBy(*order)
-    return ranked.offset(a).limit(b - a)
+    return indexed(df, order, "_i").where((F.col("_i") >= int(n * low)) & (F.col("_i") < int(n * high))).drop("_i")
 
 
 def losses_from_log(spark: SparkSession, path: str, key: str = "val/loss") -> DataFrame:
@@ -92,7 +88,3 @@ def appended(base: DataFrame, batch: DataFrame, text: str, most: int) -> DataFra
     from rollsmith.operators.filters import within_length
 
     return base.unionByName(within_length(batch, text, most))
-
-
-def numbered_lines(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.withColumn("line", F.row_number().over(Window.orderBy(*order)) - 1)
