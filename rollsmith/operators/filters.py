@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollsmith.functions.text import words
+from rollsmith.operators.ranking import quantiles
 
 
 #: The default tokenizer: runs without white space, none for a blank text.
@@ -67,8 +68,8 @@ def positive(df: DataFrame, weight: str) -> DataFrame:
 
 def weight_percentile(df: DataFrame, weight: str, percentile: float) -> DataFrame:
     """Rows of at least the weight percentile of the rows given."""
-    cut = df.agg(F.percentile(weight, percentile).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col(weight) >= F.col("_cut")).drop("_cut")
+    cut = quantiles(df, weight, [percentile])[0]
+    return df.where(F.lit(False)) if cut is None else df.where(F.col(weight) >= cut)
 
 
 def varied_groups(df: DataFrame, score: str, uid: str) -> DataFrame:

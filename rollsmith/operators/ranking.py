@@ -48,3 +48,31 @@ def hash_ranked(df: DataFrame, order: Column, key: list[str], out: str = "_rank"
     within = F.row_number().over(Window.partitionBy("_cut").orderBy(F.pmod(F.shiftright("_hash", 48), F.lit(1 << 16)), "_hash", *key)) - 1
     placed = tagged.withColumn("_within", within).join(F.broadcast(starts), F.col("_cut") == F.col("_bucket"))
     return placed.withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_hash", "_cut", "_bucket", "_start", "_within"), total
+
+
+def quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:
+    """Exact quantiles of a whole column, linearly interpolated; null where there is no value.
+
+    The built-in exact percentile holds all distinct values of a group in one task, which
+    suits lengths and counts but not a large column of doubles. Here values are dealt by
+    ranges and written once; the ranges' counts tell which two rows each quantile needs.
+    """
+    path = scratch(df.sparkSession, "quantiles")
+    value = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    value.repartitionByRange("v").withColumn("_range", F.spark_partition_id().cast("long")).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    counts = sorted((r[0], r[1]) for r in dealt.groupBy("_range").count().collect())
+    n = sum(c for _, c in counts)
+    if not n:
+        return [None] * len(probabilities)
+    places = [p * (n - 1) for p in probabilities]
+    wanted = sorted({int(x) for x in places} | {min(int(x) + 1, n - 1) for x in places})
+    inside, at = [], 0
+    for part, count in counts:
+        inside += [(part, rank - at + 1, rank) for rank in wanted if at <= rank < at + count]
+        at += count
+    targets = df.sparkSession.createDataFrame(inside, "_part bigint, _row bigint, rank bigint")
+    numbered = dealt.where(F.col("_range").isin([p for p, _, _ in inside])).withColumn("_row_of", F.row_number().over(Window.partitionBy("_range").orderBy("v")))
+    found = numbered.join(F.broadcast(targets), (F.col("_range") == F.col("_part")) & (F.col("_row_of") == F.col("_row"))).select("rank", "v").collect()
+    values = {r["rank"]: r["v"] for r in found}
+    return [values[int(x)] + (values[min(int(x) + 1, n - 1)] - values[int(x)]) * (x - int(x)) for x in places]

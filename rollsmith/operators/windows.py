@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollsmith.operators.ranking import indexed
+from rollsmith.operators.ranking import indexed, quantiles
 
 
 def rolling_mean(df: DataFrame, value: str, width: int, order: list, *, partition: list[str] = (), full_only: bool = True, out: str = "rolling") -> DataFrame:
@@ -34,12 +34,15 @@ def regressions(df: DataFrame, mean: str, order: list, k: int, *, partition: lis
 def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
     """Right-closed bins at the quantiles, from 0; equal values share a bin and equal edges raise.
 
-    The edges are one row, computed in one aggregation and broadcast.
+    The edges are exact quantiles of the whole column.
     """
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("_edges"))
-    checked = edges.select(F.when(F.size(F.array_distinct("_edges")) < bins + 1, F.raise_error(F.lit("bin edges are not unique"))).otherwise(F.col("_edges")).alias("_edges"))
-    place = F.size(F.filter(F.slice("_edges", 2, bins), lambda e: F.col(value) > e))
-    return df.crossJoin(F.broadcast(checked)).withColumn(out, F.when(F.col(value).isNotNull(), F.least(place, F.lit(bins - 1)))).drop("_edges")
+    edges = quantiles(df, value, [k / bins for k in range(bins + 1)])
+    if None in edges:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    if len(set(edges)) < bins + 1:
+        raise ValueError("bin edges are not unique")
+    place = sum(((F.col(value) > e).cast("int") for e in edges[1:-1]), F.lit(0))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), place))
 
 
 def fixed_bins(value: Column, edges: list[float], labels: list[str] | None = None) -> Column:

@@ -168,7 +168,7 @@ def test_splits_are_exact_and_seeded(spark):
 def test_bins_and_prefixes(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 3, 4, 5, 6, 7)], "v double")
     assert sorted(r["bin"] for r in W.quantile_bins(df, "v", 4).collect()) == [0, 0, 0, 1, 2, 2, 3, 3]
-    with pytest.raises(Exception, match="not unique"):
+    with pytest.raises(ValueError, match="not unique"):
         W.quantile_bins(spark.createDataFrame([(1.0,)] * 5, "v double"), "v", 4).collect()
     toks = spark.createDataFrame([(1, s, t, x) for s, ids in ((1, [5, 6, 7]), (2, [5, 6, 8]), (3, [5, 6])) for t, x in enumerate(ids)], "g int, s int, t int, x int")
     assert W.common_prefix(toks, "g", "s", "t", "x").first()["prefix"] == 2
@@ -276,3 +276,18 @@ def test_registries(spark):
         r.register("x", lambda a: a)
     with pytest.raises(ValueError, match="known: x"):
         r.get("y")
+
+
+def test_ranks_and_quantiles_of_whole_tables(spark):
+    from rollsmith.operators.ranking import hash_ranked, indexed, quantiles
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, rng.random(), 0.5])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert {r["k"]: r["index"] for r in indexed(df, ["v", "k"]).collect()} == {k: i for i, (k, _) in enumerate(order)}
+    ranked, n = hash_ranked(df, F.xxhash64("k"), ["k"])
+    assert n == 500 and sorted(r["_rank"] for r in ranked.collect()) == list(range(500))
+    known = [v for _, v in rows if v is not None]
+    assert quantiles(df, "v", [0.0, 0.1, 0.5, 0.99, 1.0]) == pytest.approx(np.quantile(known, [0.0, 0.1, 0.5, 0.99, 1.0]).tolist())
+    assert quantiles(df.where("k < 0"), "v", [0.5]) == [None] and indexed(df.where("k < 0"), ["k"]).count() == 0
