@@ -119,7 +119,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Add ``blocks`` (the text after each turn mark), and ``roles``, ``texts`` and ``loss_text`` read from them."""
     blocks = formatted.withColumn("blocks", F.expr("slice(split(formatted, '<\\\\|turn\\\\|>'), 2, 2147483647)"))
     cut = lambda b: F.substring_index(b, SAYS, 1)
-    rest = lambda b: F.expr("x") if b is None else F.substring(b, F.length(cut(b)) + len(SAYS) + 1, F.length(b) - F.length(cut(b)) - len(SAYS) - len(END))
+    rest = lambda b: F.substring(b, F.length(cut(b)) + len(SAYS) + 1, F.length(b) - F.length(cut(b)) - len(SAYS) - len(END))
     loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.get(F.col("blocks"), s["turn"]), s["offset"] - len(TURN) + 1, s["length"])))
     return blocks.withColumns({"roles": F.transform("blocks", lambda b: unescape(cut(b))), "texts": F.transform("blocks", lambda b: unescape(rest(b))), "loss_text": F.array_join(loss, "")})
 

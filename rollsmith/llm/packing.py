@@ -15,6 +15,7 @@ is; repeated rows are packed each for itself; an empty table gives an empty resu
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from array import array
@@ -258,20 +259,17 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
                     encoded = (coder.ids(data[a:b]) for a, b in zip(at, at[1:]))
                 row, number, start, length, crc = array("q"), array("q"), array("q"), array("q"), array("q")
                 for i, runs in enumerate(encoded):
-                    kept_ids, done = b"", 0
-                    for ids in runs:
-                        kept_ids += ids
-                        while len(kept_ids) > 4 * capacity:
-                            head, kept_ids = kept_ids[: 4 * capacity], kept_ids[4 * capacity :]
-                            for column, value in ((row, i), (number, done), (start, done * capacity), (length, capacity), (crc, zlib.crc32(head))):
+                    held, done = b"", 0
+                    for ids in itertools.chain(runs, (None,)):
+                        held += end if ids is None else ids
+                        # Full pieces go out; what may still grow is held back, unless the text has ended.
+                        ready = len(held) if ids is None else (len(held) - 1) // (4 * capacity) * 4 * capacity
+                        for k in range(0, max(ready, 0), 4 * capacity):
+                            head = held[k : k + 4 * capacity]
+                            for column, value in ((row, i), (number, done), (start, done * capacity), (length, len(head) // 4), (crc, zlib.crc32(head))):
                                 column.append(value)
                             done += 1
-                    kept_ids += end
-                    for k in range(0, len(kept_ids), 4 * capacity):
-                        head = kept_ids[k : k + 4 * capacity]
-                        for column, value in ((row, i), (number, done), (start, done * capacity), (length, len(head) // 4), (crc, zlib.crc32(head))):
-                            column.append(value)
-                        done += 1
+                        held = held[max(ready, 0) :]
                 ids = part.column("id").take(pa.array(np.frombuffer(row, np.int64)))
                 columns = [np.frombuffer(x, np.int64) for x in (number, start, length, crc)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], names=names)
