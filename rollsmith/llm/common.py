@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,22 @@ class TextBuffer:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with what a task leaves free given back to the system: a worker serves many tasks and stages."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return trimmed
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Cut a batch so that each piece holds about ``limit`` bytes of text, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, held = 0, 0

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import TextBuffer, slices
+from rollsmith.llm.common import TextBuffer, frugal, slices
 
 UNDETERMINED = "und"
 #: Bound of the training sample: documents of each language, windows of each document, characters of a window.
@@ -229,7 +229,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([part.column("id"), lang, score], names=["id", "lang_pred", "score"])
 
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(frugal(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
@@ -242,4 +242,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "t
                 keep = pc.and_(pc.not_equal(lang, UNDETERMINED), pc.greater_equal(score, min_score))
                 yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

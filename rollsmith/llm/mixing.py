@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import TextBuffer, materialize, slices
+from rollsmith.llm.common import TextBuffer, frugal, materialize, slices
 
 WEIGHTS, MOST_COPIES = (1.0, 2.0, 3.0), 3.0
 #: Documents of a chunk, and residuals of chunks that meet in one chunk of the next level.
@@ -53,7 +53,7 @@ def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
                 size = pa.array(count_words(TextBuffer(part.column("text"))), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("source"), size, part.column("text_hash")], names=["id", "source", "size", "text_hash"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, source {kept.schema['source'].dataType.simpleString()}, size long, text_hash long")
+    return kept.mapInArrow(frugal(run), f"id {kept.schema['id'].dataType.simpleString()}, source {kept.schema['source'].dataType.simpleString()}, size long, text_hash long")
 
 
 def ranked(keys: DataFrame, column: str) -> DataFrame:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import LOWER, TextBuffer, materialize, slices
+from rollsmith.llm.common import LOWER, TextBuffer, frugal, materialize, slices
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 #: Pieces that one packing task takes, bins of earlier tasks that a merging task takes, and words whose ids a worker remembers.
-PIECES_PER_TASK, BINS_PER_TASK, REMEMBERED = 400_000, 131_072, 300_000
+PIECES_PER_TASK, BINS_PER_TASK, REMEMBERED = 400_000, 131_072, 200_000
 #: Bytes of a text that are tokenized at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Runs that one call of the tokenizer takes.
 CALL = 16_384
 
@@ -274,7 +274,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
                 columns = [np.frombuffer(x, np.int64) for x in (number, start, length, crc)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], names=names)
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return kept.mapInArrow(frugal(run), f"id {kept.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

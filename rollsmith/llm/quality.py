@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import TextBuffer, slices
+from rollsmith.llm.common import TextBuffer, frugal, slices
 
 #: Bound of the training sample, documents of each class, and the longest text in it.
 SAMPLE, TRAIN_CHARS = 3000, 8000
@@ -175,7 +175,7 @@ def predict_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())], names=["id", "score", "predicted"])
 
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(frugal(run), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -186,4 +186,4 @@ def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text"
             for part in slices(batch, text_col, PIECE):
                 yield part.filter(pa.array(model.score(part.column(text_col)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

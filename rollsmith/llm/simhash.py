@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import LOWER, TextBuffer, materialize, slices
+from rollsmith.llm.common import LOWER, TextBuffer, frugal, materialize, slices
 from rollsmith.llm.components import connected_components
 
 MAX_BITS, SEED = 3, 42
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 found = np.array([fingerprint(data[a:b], width) for a, b in zip(at, at[1:])], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(found)], names=["id", "text_hash", "fp"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, text_hash long, fp long")
+    return kept.mapInArrow(frugal(run), f"id {kept.schema['id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def _forest(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,7 +167,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """A spanning set of the links ``a, b`` between distinct fingerprints (column ``fp``)."""
     variant = "transform(sequence(0, 63), i -> shiftleft(cast(i as bigint), 32) + ((shiftright(fp, 32 * (i div 32)) & 4294967295L) & ~shiftleft(1L, i % 32)))"
     keyed = distinct.select("fp", F.explode(F.expr(variant)).alias("key"))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_linked), "a long, b long")
 
 
 def components(rows: DataFrame) -> DataFrame:
