@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its place in a sequence."""
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), added_tokens=True)
 
 
 STAGES = [("language_id", identify), ("quality", grade), ("near_dedup", deduplicate), ("mixing", mix_sources), ("packing", pack_sequences)]

@@ -88,14 +88,20 @@ class Encoder:
     told apart in numbers; only what differs reaches the tokenizer, and what was seen
     lately is remembered. New runs of letters are encoded many at a time, and split
     again by the tokens that end a word.
+
+    With ``added_tokens`` the ids are those of the tokenizer as its file has it: a text
+    that holds an added token such as ``<|endoftext|>``, in whatever case, is encoded
+    whole. Without, what spells such a token is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.added = [x for x in dict.fromkeys(folded(np.frombuffer(t.encode(), np.uint8)).tobytes() for t in added) if x]
         self.runs, self.letters = Memory(REMEMBERED), Memory(REMEMBERED)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
@@ -132,8 +138,34 @@ class Encoder:
         self.runs.new.update(zip(new, self.encode(new)))
         return self.runs.new
 
+    def marked(self, buffer: TextBuffer) -> list[int]:
+        """The texts that hold an added token, told in lower case."""
+        text, starts = folded(buffer.data).tobytes(), buffer.offsets[:-1]
+        found = set()
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(starts, at, side="right")) - 1
+                if at + len(token) <= buffer.offsets[row + 1]:
+                    found.add(row)
+                    at = int(buffer.offsets[row + 1]) - 1
+                at = text.find(token, at + 1)
+        return sorted(found)
+
     def batch(self, buffer: TextBuffer) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a buffer end to end, and where each text's begin (and the last ends)."""
+        marked = self.marked(buffer) if len(buffer.data) else []
+        if not marked:
+            return self.by_runs(buffer)
+        data, at = buffer.data.tobytes(), buffer.offsets.tolist()
+        whole = dict(zip(marked, self.encode([data[at[i] : at[i + 1]] for i in marked])))
+        texts = [b"" if i in whole else data[a:b] for i, (a, b) in enumerate(zip(at, at[1:]))]
+        ids, bounds = self.by_runs(TextBuffer(pa.array(texts, pa.large_binary())))
+        parts = [np.frombuffer(whole[i], "<u4") if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum(list(map(len, parts)))))
+
+    def by_runs(self, buffer: TextBuffer) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without an added token."""
         data = np.concatenate((folded(buffer.data), np.zeros(LONGEST + 8, np.uint8)))
         inside = data[: len(buffer.data)]
         kind = _KIND[inside]
@@ -231,12 +263,12 @@ def _distinct(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """This worker's encoder; what it remembers serves all tasks that the worker runs."""
-    return Encoder(path)
+    return Encoder(path, added_tokens)
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
     """``id, piece, start, length, ids_crc32`` for each piece of each document.
 
     ``tokenizer`` is the path of the vocabulary file, present on every machine.
@@ -246,7 +278,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, added_tokens)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 buffer = TextBuffer(part.column("text"))
@@ -366,7 +398,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
     return found.withColumnRenamed("bin", "sequence_id")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, added_tokens: bool = False) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
-    found = materialize(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity))
+    found = materialize(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, added_tokens=added_tokens))
     return pack(found, capacity=capacity, open_bins=open_bins).withColumnRenamed("id", id_col)

@@ -93,7 +93,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -490,6 +490,27 @@ def test_encoder_equals_the_tokenizer(tokenizer, docs):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_file_has_them(spark, tokenizer, monkeypatch, tmp_path):
+    from rollsmith.llm.queries import op8_packing
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    end = t.encode("a b <|endoftext|> c", add_special_tokens=False).ids
+    assert end == [320, 321, 49407, 322]
+    texts = ["a b <|endoftext|> c", "plain words", "", "x<|startoftext|><|endoftext|>9 É", "<|ENDOFTEXT|>", "7<|ENDOFTEXT|>7", "cut <|endof", "text|> here", "<|endoftext|>", "it's <|endoftext| > 5"]
+    wanted = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    coder = packing.Encoder(tokenizer, added_tokens=True)
+    for part in (texts, texts[:1], texts[6:8], texts[::-1]):
+        ids, bounds = coder.batch(TextBuffer(pa.array([x.encode() for x in part], pa.large_binary())))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [wanted[texts.index(x)] for x in part]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op8_packing(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in enumerate(wanted)}
+    monkeypatch.setattr(packing, "SLICE", 16)
+    long = "words before <|endoftext|> and after <|endoftext|>" * 5
+    assert b"".join(coder.ids(long.encode())) == np.array(t.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_long_texts_in_pieces(tokenizer, docs, monkeypatch):
     coder = packing.Encoder(tokenizer)
     text = max((r["text"] or "" for r in docs.collect()), key=len).encode()
