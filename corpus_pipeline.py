@@ -17,7 +17,7 @@ from rollsmith.llm.mixing import mixed_rows
 from rollsmith.llm.packing import pack_documents
 from rollsmith.llm.quality import fit_quality_model, keep_quality
 from rollsmith.llm.queries import tokenizer_path
-from rollsmith.llm.simhash import keep_one
+from rollsmith.llm.resemblance import keep_one_alike
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return keep_one(docs)
+    """One document of each group of near-duplicates: five-word similarity of 0.8 or more."""
+    return keep_one_alike(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,9 +55,9 @@ def _word_lists(text: bytes, width: int) -> Iterator[list[bytes]]:
             kept = run
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The fingerprint of UTF-8 bytes, unsigned."""
-    counts, n = np.zeros(64, np.int64), 0
+def digests(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """The XXH64 values of the shingles of UTF-8 bytes, in runs."""
+    n = 0
     digest = xxhash.xxh64_intdigest
     for words in _word_lists(text.translate(LOWER.tobytes()), width):
         if not words:
@@ -72,7 +72,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
             values = [digest(joined, SEED)]
         else:
             values = list(map(digest, [joined[a : b - 1] for a, b in zip(starts, ends[width - 1 :])], repeat(SEED)))
-        hashes = np.array(values, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        n += len(values)
+        yield np.array(values, dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The fingerprint of UTF-8 bytes, unsigned."""
+    counts, n = np.zeros(64, np.int64), 0
+    for values in digests(text, width):
+        hashes = values.view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(values)
     bits = np.packbits(2 * counts > n, bitorder="little") if n else np.zeros(8, np.uint8)
@@ -192,7 +200,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows, with all their columns, of one document a component: the smallest id (known ids first)."""
     rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash")).alias("first"))
-    kept = first.join(components(rows), "fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    kept = first.join(components(rows), "fp").groupBy("label").agg(F.min("first").alias("first"))
+    return first_rows(docs, kept, id_col=id_col, text_col=text_col)
+
+
+def first_rows(docs: DataFrame, kept: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The rows that column ``first`` of ``kept`` names by ``id`` and ``text_hash``, each once."""
+    kept = kept.select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     hashed = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("row_hash"), F.col(id_col).alias("row_id"))
     stays = hashed.join(kept, hashed["row_id"].eqNullSafe(kept["kept_id"]) & (hashed["row_hash"] == kept["kept_hash"]), "left_semi")
     return stays.dropDuplicates(["row_id", "row_hash"]).select("row.*")
