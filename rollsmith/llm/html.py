@@ -11,7 +11,7 @@ the like are set apart by an empty line; list items carry bullets or numbers and
 indented by depth; table cells are aligned in columns, with spans.
 
 Style sheets and scripts are not evaluated. Nesting of any depth is handled without
-recursion; beyond ``DEEPEST`` open elements a start tag counts as text flow only.
+recursion and without a limit: open elements are found by their names' own places.
 
 Defined results: null or empty HTML gives an empty text; a null id is kept as it is;
 repeated rows are each rendered; text without markup is rendered as one block.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from rollsmith.llm.common import slices
 
-DEEPEST = 512
 _TOKEN = re.compile(
     r"""<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/)?(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z/][^>]*+\Z""",
     re.DOTALL,
@@ -255,70 +255,76 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class TreeBuilder:
-    """Opens and closes elements by the rules for implied tags."""
+    """Opens and closes elements by the rules for implied tags.
+
+    Open elements have rising numbers; ``places`` has those of each name, so that a
+    search costs by the names it asks for and not by the depth.
+    """
 
     def __init__(self, renderer: Renderer):
         self.renderer = renderer
-        self.open: list[dict] = []
-        self.count: dict[str, int] = {}
+        self.open: list[dict | None] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
     def push(self, name: str, attributes: dict[str, str]) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        if name in BLOCK:
+            self.blocks.append(len(self.open))
         self.open.append(self.renderer.enter(name, attributes))
-        self.count[name] = self.count.get(name, 0) + 1
 
     def pop(self) -> None:
         state = self.open.pop()
-        self.count[state["name"]] -= 1
-        self.renderer.leave(state)
+        if state is not None:
+            self.places[state["name"]].pop()
+            if state["name"] in BLOCK:
+                self.blocks.pop()
+            self.renderer.leave(state)
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name; -1 if there is none."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
 
     def close(self, names: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
         """End every open element down to the outermost of ``names`` that is above any of ``bounds``."""
-        if not any(self.count.get(n) for n in names):
-            return
-        place = None
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i]["name"]
-            if name in names:
-                place = i
-            elif name in bounds:
-                break
-        if place is not None:
-            while len(self.open) > place:
+        bound = max((self.last(n) for n in bounds - names), default=-1)
+        found = [p[bisect_right(p, bound)] for n in names if (p := self.places.get(n)) and p[-1] > bound]
+        if found:
+            while len(self.open) > min(found):
                 self.pop()
 
     def start(self, name: str, attributes: dict[str, str]) -> None:
-        if self.count.get("head") and name not in _HEAD_PARTS:
+        if self.places.get("head") and name not in _HEAD_PARTS:
             self.close({"head"}, frozenset())
         if name in SIBLINGS:
             self.close(*SIBLINGS[name])
-        if name in ENDS_PARAGRAPH and self.count.get("p"):
+        if name in ENDS_PARAGRAPH and self.places.get("p"):
             self.close({"p"}, {"td", "th", "table", "button", "caption"})
-        if name in VOID or len(self.open) >= DEEPEST:
-            self.renderer.leave(self.renderer.enter(name, attributes)) if name in VOID else None
+        if name in VOID:
+            self.renderer.leave(self.renderer.enter(name, attributes))
             return
         self.push(name, attributes)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", {})
-        elif name == "p" and not self.count.get("p"):
+        elif name == "p" and not self.places.get("p"):
             self.start("p", {})
             self.pop()
-        elif self.count.get(name):
+        elif self.places.get(name):
             bounds = frozenset() if name in ("table", "body", "html") else {"table"} if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else {"td", "th", "caption", "table"}
-            for i in range(len(self.open) - 1, -1, -1):
-                now = self.open[i]["name"]
-                if now == name:
-                    if name not in BLOCK and "hidden" not in self.open[i] and any(x["name"] in BLOCK for x in self.open[i + 1 :]):
-                        # An inline element that ends inside a block it began before: the block goes on.
-                        self.count[name] -= 1
-                        self.renderer.leave(self.open.pop(i))
-                        return
-                    while len(self.open) > i:
-                        self.pop()
-                    return
-                if now in bounds:
-                    return
+            place = self.last(name)
+            if any(self.last(n) > place for n in bounds):
+                return
+            if name not in BLOCK and "hidden" not in self.open[place] and self.blocks and self.blocks[-1] > place:
+                # An inline element that ends inside a block it began before: the block goes on.
+                self.places[name].pop()
+                self.renderer.leave(self.open[place])
+                self.open[place] = None
+                return
+            while len(self.open) > place:
+                self.pop()
 
     def finish(self) -> None:
         while self.open:

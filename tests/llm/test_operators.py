@@ -468,6 +468,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_html_of_any_depth():
+    from rollsmith.llm.html import render
+
+    deep = "<font>" * 3000
+    assert render(f"<body>{deep}<p>one</p><p>two</p><div hidden>secret</div><ul><li>a<li>b</ul>") == "one\n\ntwo\n\n- a\n- b"
+    assert render(f"<body><div hidden>{deep}<div>x</div>secret</div>shown") == "shown"
+    assert render("<div>" * 3000 + "a<div>b</div>c" + "</div>" * 3000 + "d") == "a\nb\nc\nd"
+
+
 # --- packing
 
 
