@@ -326,6 +326,14 @@ class TreeBuilder:
             while len(self.open) > place:
                 self.pop()
 
+    def text(self, data: str) -> None:
+        if self.places.get("head") and data.strip(" \t\n\r\f"):
+            while self.open[-1] is None:
+                self.open.pop()
+            if self.open[-1]["name"] == "head":  # text directly in a head ends it
+                self.pop()
+        self.renderer.text(data)
+
     def finish(self) -> None:
         while self.open:
             self.pop()
@@ -344,7 +352,7 @@ def render(page: str | None) -> str:
         stop = m.start() if m else size
         if stop > at:
             data = page[at:stop]
-            renderer.text(html.unescape(data) if "&" in data else data)
+            builder.text(html.unescape(data) if "&" in data else data)
         if not m:
             break
         at = m.end()

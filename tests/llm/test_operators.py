@@ -477,6 +477,14 @@ def test_html_of_any_depth():
     assert render("<div>" * 3000 + "a<div>b</div>c" + "</div>" * 3000 + "d") == "a\nb\nc\nd"
 
 
+def test_text_ends_a_head():
+    from rollsmith.llm.html import render
+
+    assert render("<html><head><title>T</title> \n Visible text <p>next</p>") == "Visible text\n\nnext"
+    assert render("<head> <title>T</title><style>x</style> </head>\n<body>shown") == "shown"
+    assert render("<div hidden><head>in</div>out") == "out"
+
+
 # --- packing
 
 
