@@ -66,10 +66,10 @@ def concat(batches: list[DataFrame], position: str = "pos", fill: bool = False)
     Each batch's size is one number on the driver.
     """
     out, start = None, 0
-    for batch in batches:
+    for i, batch in enumerate(batches):
         moved = batch.withColumn(position, F.col(position) + start)
         out = moved if out is None else out.unionByName(moved, allowMissingColumns=fill)
-        start += batch.count() if batch is not batches[-1] else 0
+        start += batch.count() if i < len(batches) - 1 else 0
     return out
 
 

@@ -60,6 +60,12 @@ def u1(t: Tables) -> DataFrame:
     return B.concat([rows.where("pos < 300"), rows.where("pos >= 500 and pos < 700").withColumn("pos", F.col("pos") - 500)])
 
 
+@query("u1_concat_whole", "SELECT event_id AS pos, value FROM events UNION ALL SELECT (SELECT count(*) FROM events) + event_id, value FROM events")
+def u1_whole(t: Tables) -> DataFrame:
+    rows = t.events.select(F.col("event_id").alias("pos"), "value")
+    return B.concat([rows, rows])
+
+
 @query("u2_concat_fill", "SELECT r_regionkey AS pos, r_name, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT n_nationkey + 5, NULL, n_name FROM nation")
 def u2(t: Tables) -> DataFrame:
     return B.concat([t.region.select(F.col("r_regionkey").alias("pos"), "r_name"), t.nation.select(F.col("n_nationkey").alias("pos"), "n_name")], fill=True)
@@ -128,6 +134,11 @@ def u10(t: Tables) -> DataFrame:
     return B.mini_batches(_batch(t).where("pos < 1000"), 50, 3).groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("u10_mini_batches_whole", "SELECT epoch::INT AS epoch, event_id // 50 AS batch, count(*) AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest(range(3)) AS epoch) GROUP BY ALL")
+def u10_whole(t: Tables) -> DataFrame:
+    return B.mini_batches(_batch(t), 50, 3).groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("t2_reorder", "SELECT n - 1 - event_id AS pos, value FROM events, (SELECT count(*) AS n FROM events)")
 def t2(t: Tables) -> DataFrame:
     n = t.events.count()
@@ -189,6 +200,13 @@ def t7(t: Tables) -> DataFrame:
     return S.top_up(rows.where("event_id < 40"), rows.where("event_id >= 40"), 100, [F.col("value").desc(), "event_id"])
 
 
+@query("t7_top_up_whole", """SELECT event_id, value FROM events WHERE event_id % 3 = 0 UNION ALL (SELECT event_id, value FROM events WHERE event_id % 3 <> 0
+QUALIFY row_number() OVER (ORDER BY value DESC, event_id) <= (SELECT count(*) // 2 - count(*) FILTER (event_id % 3 = 0) FROM events))""")
+def t7_whole(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", "value")
+    return S.top_up(rows.where("event_id % 3 = 0"), rows.where("event_id % 3 <> 0"), rows.count() // 2, [F.col("value").desc(), "event_id"])
+
+
 def _lengths(t: Tables) -> DataFrame:
     return t.orders.select(F.expr("o_orderkey div 512").alias("batch"), F.col("o_orderkey").alias("pos"), F.floor(F.col("o_totalprice") / 100).alias("length"))
 
