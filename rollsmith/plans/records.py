@@ -48,11 +48,23 @@ def p9(t: Tables) -> DataFrame:
     return found.select("data_source", F.col("prompt")[1]["content"].alias("content"), F.col("extra_info.index").alias("index"), F.col("extra_info.tools_kwargs.search.create_kwargs.ground_truth")[0].alias("truth"))
 
 
+@query("p9_search_records_whole", "SELECT 'searchR1_' || source AS data_source, 'Q: ' || text AS content, doc_id AS index, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS truth FROM documents")
+def p9_whole(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "source", F.col("text").alias("q"), F.when(F.col("doc_id") % 2 == 0, F.array("lang")).alias("truth"), F.array("source").alias("golds"))
+    found = R.search_records(rows, question="q", truth=F.col("truth"), golds=F.col("golds"), source="source", index="doc_id", split="test", system="s", prefix="Q: ")
+    return found.select("data_source", F.col("prompt")[1]["content"].alias("content"), F.col("extra_info.index").alias("index"), F.col("extra_info.tools_kwargs.search.create_kwargs.ground_truth")[0].alias("truth"))
+
+
 @query("p10_cleaned", "SELECT item_id, replace(regexp_replace(replace(trim('  ' || left(text, 30) || ' [title] x [note] y  z '), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS text FROM benchmark")
 def p10(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.cleaned(F.concat(F.lit("  "), F.left("text", F.lit(30)), F.lit(" [title] x [note] y  z "))).alias("text"))
 
 
+@query("p10_cleaned_whole", "SELECT item_id, replace(regexp_replace(replace(trim('  ' || text || ' [title] x [note] y  z '), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS text FROM benchmark")
+def p10_whole(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", X.cleaned(F.concat(F.lit("  "), "text", F.lit(" [title] x [note] y  z "))).alias("text"))
+
+
 @query("p11_unrolled_preferences", "SELECT n_name AS prompt, 'chosen' AS kind, n_nationkey::VARCHAR AS response FROM nation UNION ALL SELECT n_name, 'rejected', n_regionkey::VARCHAR FROM nation")
 def p11(t: Tables) -> DataFrame:
     rows = t.nation.select(F.col("n_name").alias("prompt"), F.col("n_nationkey").cast("string").alias("chosen"), F.col("n_regionkey").cast("string").alias("rejected"))
