@@ -6,7 +6,8 @@ are max-pooled, a small layer reads every chunk, and the mean and the maximum of
 the chunks give the document's probability. Nothing of a text is left out.
 
 Training takes a bounded sample: at most ``SAMPLE`` labelled documents of each
-class of up to ``TRAIN_CHARS`` characters, chosen by hash of the id.
+class, chosen by hash of the id; of a longer text than ``TRAIN_CHARS`` characters
+so many from a hashed place on. A null text trains as an empty one.
 
 Defined results: a null text counts as empty, and an empty one is scored like any
 other (on one chunk of padding); a null id is neither held out nor learned from;
@@ -159,7 +160,9 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train: Column, *, id_c
     part = {k: int(min(1.0, sample / n) * (1 << 20)) for k, n in counts.items()}
     # The ids are a bounded sample by construction; the limit states the bound.
     ids = known.where(draw < F.when(F.col(label_col) == 1, part.get(1, 0)).otherwise(part.get(0, 0))).groupBy(id_col).agg(F.min(label_col).alias("label")).orderBy(F.xxhash64(F.col(id_col), F.lit(32)), id_col).limit(3 * sample)
-    rows = docs.select(id_col, F.col(text_col).alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), id_col).select("text", "label", F.xxhash64(F.col(id_col), F.lit(33)).alias("at")).orderBy("at", "text").limit(3 * sample).collect()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(34)), F.greatest(F.length(text) - TRAIN_CHARS, F.lit(0)) + 1)
+    rows = docs.select(id_col, F.substring(text, start.cast("int"), F.lit(TRAIN_CHARS)).alias("text")).join(F.broadcast(ids), id_col).select("text", "label", F.xxhash64(F.col(id_col), F.lit(33)).alias("at")).orderBy("at", "text").limit(3 * sample).collect()
     model.fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
     return model
 

@@ -485,6 +485,18 @@ def test_text_ends_a_head():
     assert render("<div hidden><head>in</div>out") == "out"
 
 
+def test_long_and_null_labelled_texts_train(spark, monkeypatch):
+    from rollsmith.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality.QualityModel, "fit", lambda self, texts, labels, **k: seen.extend(zip(texts, labels)))
+    docs = spark.createDataFrame([(1, "long words " * 2000), (2, "short"), (3, None), (4, "é" * quality.TRAIN_CHARS)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    quality.fit_quality_model(docs, marks, F.lit(True))
+    assert sorted((len(t.decode()), k) for t, k in seen) == [(0, 0), (5, 1), (quality.TRAIN_CHARS, 0), (quality.TRAIN_CHARS, 1)]
+    assert all(t in b"long words " * 2000 for t, k in seen if k == 0)
+
+
 # --- packing
 
 
