@@ -20,6 +20,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,33 @@ def expanded_tokens(part: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often a lambda in it asks for it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def flatten(parts: Column) -> Column:
-    """The visitor: parts in order as escaped text and placeholders, each numbered within its turn."""
-    before = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda p: ~_is_text(p)))
-    one = lambda p, i: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.regexp_replace(F.coalesce(p["type"], F.lit("")), r"[<|>\[\]\\]", ""), F.lit(":"), before(i).cast("string"), F.lit("|>")))
-    return F.array_join(F.transform(parts, one), "")
+    """The visitor: parts in order as escaped text and placeholders, each numbered within its turn.
+
+    Text parts that follow one another are joined before they are escaped, so no control
+    string can arise where one ends and the next begins; a placeholder holds none either
+    way, as no control string goes on after ``<`` or ``[`` with ``<`` or holds ``|>`` inside.
+    """
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+    mark = lambda p, number: F.concat(F.lit("<|"), F.regexp_replace(F.coalesce(p["type"], F.lit("")), r"[<|>\[\]\\]", ""), F.lit(":"), number.cast("string"), F.lit("|>"))
+
+    def segments(ps: Column, ends: Column) -> Column:
+        # Between two placeholders (or the ends) lies one run of text parts.
+        run = lambda j: F.slice(ps, ends[j] + 1, ends[j + 1] - ends[j] - 1)
+        said = lambda j: escape(F.array_join(F.transform(run(j), text), ""))
+        last = F.size(ends) - 2
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda j: F.when(j < last, F.concat(said(j), mark(F.get(ps, ends[j + 1] - 1), j + 1))).otherwise(said(j))), "")
+
+    def ends(ps: Column) -> Column:
+        places = F.filter(F.transform(ps, lambda p, i: F.when(~_is_text(p), i + 1)), lambda i: i.isNotNull())
+        return F.concat(F.array(F.lit(0)), places, F.array(F.size(ps) + 1))
+
+    return _let(parts, lambda ps: _let(ends(ps), lambda e: segments(ps, e)))
 
 
 def attachments(parts: Column, turn: Column) -> Column:

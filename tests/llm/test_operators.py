@@ -92,9 +92,41 @@ def test_chat_parts_become_placeholders(spark):
     assert r["expanded_tokens"] == 1066
 
 
+CONTROLS = ["<|turn|>", "<|says|>", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]", "<\\|turn|>", "[\\\\INST]", "<|image:1|>"]
+
+
+def test_no_control_string_arises_across_parts(spark):
+    """Every control string, cut at every place into two text parts, alone and beside placeholders, reads back as it was."""
+    blank = (None,) * 5
+    image, said = ("image", None, "a.png", None, None, None, None), lambda t: ("text", t, *blank)
+    rows, wanted = [], {}
+    for control in CONTROLS:
+        for cut in range(len(control) + 1):
+            a, b = control[:cut], control[cut:]
+            for parts in ([said("x" + a), said(b + ">x")], [said(a), (None, b, *blank)], [said(a), said(""), said(b)], [*map(said, control)], [image, said(a), said(b), image, said(b)], [said(a), image, said(b)], [said("<"), said(a), said(b)], [said("["), image, image, said(a), said(b)]):
+                number, text = 0, ""
+                for kind, t, *_ in parts:
+                    number += kind == "image"
+                    text += f"<|image:{number}|>" if kind == "image" else t
+                c = len(wanted)
+                turns = [("user", text), (control, text), ("assistant", text), (a, "ok")]
+                rows += [(c, i, role, parts if i < 3 else [said("ok")]) for i, (role, _) in enumerate(turns)]
+                wanted[c] = (turns, text)
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = chat.read_back(chat.format_chat(df, parts_col="parts")).collect()
+    assert len(got) == len(wanted)
+    for r in got:
+        turns, text = wanted[r["conv_id"]]
+        assert list(zip(r["roles"], r["texts"])) == turns and r["loss_text"] == text
+        assert [r["formatted"].count(m) for m in (chat.TURN, chat.SAYS, chat.END)] == [len(turns)] * 3
+        assert not re.search(r"\[/?INST\]|</?s>", r["formatted"])
+
+
 def test_chat_main_path_is_native(spark):
-    plan = chat.digests(chat.format_chat(messages(spark, [(1, 0, "user", "x", "f", 1)])))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    typed = spark.createDataFrame([(1, 0, "user", [])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    for formatted in (chat.format_chat(messages(spark, [(1, 0, "user", "x", "f", 1)])), chat.format_chat(typed, parts_col="parts")):
+        plan = chat.digests(formatted)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
 
 
 # --- licenses
