@@ -14,7 +14,9 @@ Style sheets and scripts are not evaluated. Nesting of any depth is handled with
 recursion and without a limit: open elements are found by their names' own places.
 
 Defined results: null or empty HTML gives an empty text; a null id is kept as it is;
-repeated rows are each rendered; text without markup is rendered as one block.
+repeated rows are each rendered; text without markup is rendered as one block; an
+empty table gives an empty result; very long pages are rendered whole, one at a time;
+other columns of the table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from rollsmith.llm.common import slices
 
 _TOKEN = re.compile(
-    r"""<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/)?(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z/][^>]*+\Z""",
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/)?(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z/][^>]*+\Z""",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
@@ -199,8 +201,8 @@ class Renderer:
         elif name == "tr" and self.tables:
             self.tables[-1].row()
         elif name in ("td", "th") and self.tables:
-            span = lambda k: max(1, min(1000, int(v) if (v := attributes.get(k, "1").strip()).isdigit() and len(v) < 6 else 1))
-            self.cells.append((self.out, span("colspan"), span("rowspan")))
+            span = lambda k, most: max(1, min(most, int(v[:9]))) if (v := attributes.get(k, "1").strip()).isascii() and v.isdigit() else 1
+            self.cells.append((self.out, span("colspan", 1000), span("rowspan", 65534)))  # HTML's own limits
             self.out = Output()
         elif name == "br":
             out.new_line(True)
