@@ -12,7 +12,9 @@ so many from a hashed place on. A null text trains as an empty one.
 Defined results: a null text counts as empty, and an empty one is scored like any
 other (on one chunk of padding); a null id is neither held out nor learned from;
 without labelled rows of both classes every score is the known share of label 1
-(0.5 if there is none); an empty table gives an empty result.
+(0.5 if there is none); an empty table gives an empty result; repeated rows are each
+scored, and count once for each row in training; a text of any length is scored whole
+in bounded memory; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ SAMPLE, TRAIN_CHARS = 3000, 8000
 EMBED, STRIDE, FILTERS, UNIT, HIDDEN = 8, 4, 32, 128, 16
 STEPS, TRAIN_BATCH, RATE, SEED = 800, 32, 0.01, 5
 BLOCK = EMBED * STRIDE
-#: Bytes of texts worked on at once.
-PIECE = 1 << 20
+#: Bytes of texts worked on at once, and units of a longer text.
+PIECE, RUN = 1 << 20, 4096
 
 
 class Layout:
@@ -142,11 +144,46 @@ class QualityModel:
                 self.weights[name] -= (size * first[name] / (np.sqrt(second[name]) + 1e-7)).astype(np.float32)
         self.fitted = True
 
+    def forward_long(self, data: np.ndarray) -> float:
+        """The probability of one text of any length: runs of units, and what its chunks add up to so far."""
+        w = self.weights
+        units = -(-(len(data) + STRIDE) // UNIT)
+        before, total, top = None, np.zeros(HIDDEN), np.full(HIDDEN, -np.inf, np.float32)
+        for u in range(0, units, RUN):
+            here = min(RUN, units - u)
+            piece = data[u * UNIT : (u + here) * UNIT + STRIDE]
+            ahead = STRIDE if u + here < units else 0  # the last window of a run reads the next run's first block
+            piece = np.concatenate((piece, np.zeros(here * UNIT + ahead - len(piece), np.uint8)))
+            blocks = w["embed"][piece].reshape(-1, BLOCK)
+            conv = blocks[: here * UNIT // STRIDE] @ w["near"]
+            far = blocks[1:] @ w["far"]
+            conv[: len(far)] += far
+            unit = conv.reshape(here, UNIT // STRIDE, FILTERS).max(axis=1)
+            joined = unit if before is None else np.concatenate((before, unit))
+            before = unit[-1:]
+            pooled = np.maximum(joined[:-1], joined[1:]) if units > 1 else joined
+            if len(pooled):
+                hidden = np.maximum(pooled @ w["hidden"] + w["hidden_bias"], 0)
+                total += hidden.sum(axis=0, dtype=float)
+                top = np.maximum(top, hidden.max(axis=0))
+        both = np.concatenate(((total / max(units - 1, 1)).astype(np.float32), top))
+        logit = float((both @ w["out"] + w["out_bias"])[0])
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
     def score(self, texts: pa.Array) -> np.ndarray:
+        """The probabilities of texts; a text longer than ``PIECE`` bytes is worked on in runs, so memory does not grow with it."""
         if not self.fitted:
             return np.full(len(texts), self.share)
         buffer = TextBuffer(texts)
-        return self.forward(Layout(buffer)).astype(float) if len(buffer) else np.zeros(0)
+        long = np.diff(buffer.offsets) > PIECE
+        if not long.any():
+            return self.forward(Layout(buffer)).astype(float) if len(buffer) else np.zeros(0)
+        out = np.zeros(len(buffer))
+        for i in np.flatnonzero(long):
+            out[i] = self.forward_long(buffer.data[buffer.offsets[i] : buffer.offsets[i + 1]])
+        if not long.all():
+            out[~long] = self.score(texts.filter(pa.array(~long)))
+        return out
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -299,6 +301,48 @@ def test_quality_score_does_not_depend_on_neighbours():
     assert together == pytest.approx([float(model.score(pa.array([t]))[0]) for t in texts], abs=1e-5)
 
 
+def plain_quality(model, text):
+    """The network on one text, window by window."""
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    units = -(-(len(text) + quality.STRIDE) // quality.UNIT)
+    data = text + b"\0" * (units * quality.UNIT - len(text))
+    block = lambda i: w["embed"][list(data[i : i + quality.STRIDE])].ravel()
+    pooled = []
+    for u in range(units):
+        windows = []
+        for i in range(u * quality.UNIT, (u + 1) * quality.UNIT, quality.STRIDE):
+            far = block(i + quality.STRIDE) @ w["far"] if i + quality.STRIDE < len(data) else 0
+            windows.append(block(i) @ w["near"] + far)
+        pooled.append(np.max(windows, axis=0))
+    chunks = [np.maximum(a, b) for a, b in zip(pooled, pooled[1:])] or pooled
+    hidden = np.maximum(np.array(chunks) @ w["hidden"] + w["hidden_bias"], 0)
+    logit = np.concatenate((hidden.mean(axis=0), hidden.max(axis=0))) @ w["out"] + w["out_bias"]
+    return float(1 / (1 + np.exp(-logit[0])))
+
+
+def test_quality_scores_as_the_plain_network(monkeypatch):
+    model, rng = quality.QualityModel(seed=4), random.Random(1)
+    model.fitted = True
+    sizes = [0, 1, *(quality.UNIT * k + d for k in (1, 2, 3, 4, 6) for d in (-5, -4, -3, -1, 0, 1)), 3000]
+    texts = ["".join(rng.choices("ab c\n\0", k=n)) for n in sizes]
+    wanted = [plain_quality(model, t.encode()) for t in texts]
+    assert model.score(pa.array(texts)) == pytest.approx(wanted, abs=1e-5)
+    for run in (1, 2, 3, 64):  # the same in runs of units, long and short texts mixed
+        monkeypatch.setattr(quality, "RUN", run)
+        monkeypatch.setattr(quality, "PIECE", 200)
+        assert model.score(pa.array([*texts, None])) == pytest.approx([*wanted, wanted[0]], abs=1e-5)
+
+
+def test_quality_of_a_very_long_text_in_bounded_memory():
+    code = (
+        "import resource, numpy as np, pyarrow as pa; from rollsmith.llm.quality import QualityModel; m = QualityModel(seed=4); m.fitted = True; "
+        "t = pa.array([b'some words. ' * ((64 << 20) // 12)], pa.large_binary()); "
+        "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; s = m.score(t); print(s[0], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) / 1024)"
+    )
+    score, more = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert 0 <= score <= 1 and more < 500
+
+
 def test_quality_gradients():
     model = quality.QualityModel(seed=1)
     layout = quality.Layout(TextBuffer(pa.array(["the cat sat " * 40, "dog!! " * 7, ""])))
@@ -368,7 +412,7 @@ def test_language_gradients_through_time():
         ("<ul><li>a<li>b<ol start=4><li>c<li value=9>d</ol></ul>", "- a\n- b\n  4. c\n  9. d"), ("<table><tr><td>aa<td>b<tr><td>c<td>dd</table>", "aa  b\nc   dd"),
         ("<table><tr><td rowspan=2>x<td>1<tr><td>2</table>", "x  1\n   2"), ("<p hidden>a</p><p style='display: none'>b</p>c<script>d</script><style>e</style><!-- f -->", "c"),
         ("<title>t</title><body>b", "b"), ("<pre> a\n  b</pre>", " a\n  b"), ("1 < 2 > 0 &lt;b&gt;", "1 < 2 > 0 <b>"), ("<a href='x>y'>z</a></b></p>", "z"), ("<b>x<p>y</b>z", "x\n\nyz"),
-        ("<dl><dt>a<dd>b</dl>", "a\n  b"), ("<script>if (a<b) '</p>'</SCRIPT>x", "x"), ("<!-- open", ""), ("a <img src=x> b <unknown>c</unknown>", "a b c"), ("<p>a  \n b\tc</p>", "a b c"),
+        ("<dl><dt>a<dd>b</dl>", "a\n  b"), ("<script>if (a<b) '</p>'</SCRIPT>x", "x"), ("<!-- open", ""), ("a<!-->b<p>c", "ab\n\nc"), ("a<!--->b<!---->c<!-- x --!>d<!--> -->e", "abcd -->e"), ("a <img src=x> b <unknown>c</unknown>", "a b c"), ("<p>a  \n b\tc</p>", "a b c"),
     ],
 )
 def test_rendering(page, text):
@@ -391,6 +435,46 @@ def test_rendering_keeps_all_visible_text():
         assert sorted(re.findall(r"w\d+x", text)) == sorted(f"w{i}x" for i in range(n))
 
 
+def random_markup(rng, depth, words, shown):
+    """Markup, with end tags left out where HTML implies them, and in ``words`` the visible ones by a plain walk."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.35 or depth > 6:
+            word = f"w{rng.randrange(10**9)}x"
+            out.append(f" {word} ")
+            words += [word] * shown
+        elif kind < 0.45:
+            out.append(rng.choice(["<!-- w0x -->", "<!-->", "<!--->", "<script>'w1x<p>'</script>", "<style>w2x</style>", "<br>", "<img alt='w3x' src=a>", "<template><p>w4x</template>", "<input value=w5x>", "<?w6x>", "<!doctype w7x>"]))
+        else:
+            name = rng.choice(["div", "section", "ul", "table", "span", "b", "blockquote", "p", "dl"])
+            hides = rng.random() < 0.15
+            attributes = rng.choice([" hidden", " style='color:red; display : NONE'", ' style="visibility:hidden"', " HIDDEN=''"]) if hides else rng.choice(["", " class=a", " title='a > b'", ' style="display:block"'])
+            inside = lambda: random_markup(rng, depth + 1, words, shown and not hides)  # noqa: E731, B023
+            if name == "ul":
+                body = "".join(f"<li>{inside()}" + rng.choice(["", "</li>"]) for _ in range(rng.randint(1, 3)))
+            elif name == "dl":
+                body = "".join(f"<dt>{inside()}<dd>{inside()}" + rng.choice(["", "</dd>"]) for _ in range(rng.randint(1, 2)))
+            elif name == "table":
+                body = "".join("<tr>" + "".join(f"<td>{inside()}" + rng.choice(["", "</td>"]) for _ in range(rng.randint(1, 3))) + rng.choice(["", "</tr>"]) for _ in range(rng.randint(1, 3)))
+            elif name in ("p", "span", "b"):
+                word = f"w{rng.randrange(10**9)}x"
+                words += [word] * (shown and not hides)
+                body = f"a{word}".replace("a", " ", 1)
+            else:
+                body = inside()
+            out.append(f"<{name}{attributes}>{body}</{name}>")
+    return "".join(out)
+
+
+def test_rendering_shows_what_a_plain_walk_shows():
+    rng = random.Random(8)
+    for _ in range(300):
+        words: list[str] = []
+        page = random_markup(rng, 0, words, True)
+        assert re.findall(r"w\d+x", html.render(page)) == words or sorted(re.findall(r"w\d+x", html.render(page))) == sorted(words), page
+
+
 def test_deep_nesting_and_table(spark):
     assert html.render("<div>" * 20000 + "x" + "</div>" * 20000) == "x"
     df = spark.createDataFrame([(1, "<p>a", 3), (1, "<p>a", 3), (None, None, 4)], "page_id long, html string, text int")
