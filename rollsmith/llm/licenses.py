@@ -1,24 +1,33 @@
 """License scans by a positional rare-token index.
 
-Templates are word sequences with a label and mandatory key phrases. Their words are
-indexed by template and position; how rare each word is (IDF) is counted over all
-documents. In each file the rarest word of every template's key phrases is looked up:
-each of its places proposes where the template would start, the template's other words
-are intersected by their relative positions, and a proposal stands if its key phrases
-are all in place and the words in place hold at least ``ACCEPT`` of the template's
-IDF. A base phrase is a template whose key phrase is the whole of it, so every place
-of it is found. Work is done on the bytes of a batch, without an object for a word.
+Templates are word sequences with a label and mandatory key phrases. How rare a word
+is (IDF) is counted over all documents. The index holds, for each licence word, the
+templates and positions where it is the rarest word of the template's key phrases.
+A file's licence words of highest IDF are looked up in it: every place of one proposes,
+by its postings, where templates would start; proposals are intersected with the places
+of the templates' next rarest key words by relative position, rarest first, so that few
+are left when the key phrases are wholly verified. A proposal stands if all its key
+phrases are in place and the words in place (or ``SLACK`` words beside it, within the
+same text) hold at least ``ACCEPT`` of the template's IDF. As whatever stands holds all
+its key words, no template is missed; a base phrase is a template whose key phrase is
+the whole of it, so every place of it is found. Cost goes by the places of rare words,
+not by templates times texts. Work is done on the bytes of a batch, without an object
+for a word.
 
 Words are runs of characters other than ASCII non-alphanumerics, after lower-casing A-Z.
 
 Defined results: a null text is empty: no words, no labels, score 0, null first and
-last word; a null id is kept as it is; repeated rows are each reported; an empty table
-gives an empty result. ``score`` is the largest IDF share of a standing proposal.
+last word; a null id is kept as it is; repeated rows are each reported, and a row's
+result does not depend on others but through the IDF; of equally rare key words the
+first leads; an empty table gives an empty result; texts of any length are scanned
+whole; other columns are not read, whatever their names. ``score`` is the largest IDF
+share of a standing proposal.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,6 +39,9 @@ from pyspark.sql import functions as F
 from rollsmith.llm.common import LOWER, TextBuffer, slices
 
 ACCEPT, SLACK, SLICE = 0.75, 1, 8 << 20
+#: Proposals that are worked on at once.
+AT_ONCE = 1 << 20
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 class Template(NamedTuple):
@@ -41,10 +53,10 @@ class Template(NamedTuple):
 
 def template(label: str, text: str, *keys: str, base: bool = False) -> Template:
     """A template from its text; ``keys`` are phrases of it (none: the whole text)."""
-    words = tuple(text.split())
+    words = tuple(_WORD.findall(text.lower()))
     spans = []
     for key in keys or (text,):
-        part = tuple(key.split())
+        part = tuple(_WORD.findall(key.lower()))
         spans.append(next((i, i + len(part)) for i in range(len(words)) if words[i : i + len(part)] == part))
     return Template(label, words, tuple(spans), base)
 
@@ -78,6 +90,47 @@ OWN = (
     template("epl", "eclipse public license"),
     template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     template("all-rights-reserved", "all rights reserved"),
+    template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "merge publish distribute sublicense", "above copyright notice and this permission notice",
+    ),
+    template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "appear in all copies",
+    ),
+    template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "redistributions of source code must retain", "redistributions in binary form must reproduce",
+    ),
+    template(
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "except in compliance with the license",
+    ),
+    template(
+        "gpl",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "terms of the gnu general public license",
+    ),
+    template(
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        "alter it and redistribute it freely",
+    ),
 )
 
 
@@ -87,14 +140,16 @@ class Vocabulary:
     def __init__(self, templates: tuple[Template, ...]):
         self.words = sorted({w for t in templates for w in t.words})
         self.number = {w: i for i, w in enumerate(self.words)}
-        padded = [w.encode().ljust(16, b"\0") for w in self.words]
-        if any(len(p) > 16 for p in padded):
-            raise ValueError("a template word is longer than 16 bytes")
-        pairs = np.frombuffer(b"".join(padded), "<u8").reshape(-1, 2)
-        length = np.array([len(w.encode()) for w in self.words], np.uint64)
+        spelled = [w.encode() for w in self.words]
+        self.long = {w: i for i, w in enumerate(spelled) if len(w) > 16}
+        self.long_sizes = np.array(sorted(set(map(len, self.long))), np.int64)
+        short = np.array([i for i, w in enumerate(spelled) if len(w) <= 16], np.int64)
+        pairs = np.frombuffer(b"".join(spelled[i].ljust(16, b"\0") for i in short), "<u8").reshape(-1, 2)
+        length = np.array([len(spelled[i]) for i in short], np.uint64)
         keys = self.key(pairs[:, 0], pairs[:, 1], length)
-        self.order = np.argsort(keys)
-        self.keys, self.low, self.high, self.length = keys[self.order], pairs[self.order, 0], pairs[self.order, 1], length[self.order]
+        order = np.argsort(keys)
+        self.order = short[order]
+        self.keys, self.low, self.high, self.length = keys[order], pairs[order, 0], pairs[order, 1], length[order]
 
     @staticmethod
     def key(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -104,6 +159,10 @@ class Vocabulary:
     def find(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The number of each word, or -1. ``data`` is followed by 16 spare bytes."""
         found = np.full(len(starts), -1, np.int32)
+        for i in np.flatnonzero(np.isin(lengths, self.long_sizes)):
+            found[i] = self.long.get(data[starts[i] : starts[i] + lengths[i]].tobytes(), -1)
+        if not len(self.keys):
+            return found
         short = np.flatnonzero(lengths <= 16)
         view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
         at, n = starts[short], lengths[short].astype(np.uint64)
@@ -165,44 +224,85 @@ def document_frequencies(docs: DataFrame, text_col: str, templates: tuple[Templa
     return found.pop(None, 0), found
 
 
-def _scan(words: Words, templates: tuple[Template, ...], number: dict[str, int], idf: dict[str, float]) -> dict[str, list]:
+class Index:
+    """Postings of the templates' rarest key words, and each template's key words by falling IDF."""
+
+    def __init__(self, templates: tuple[Template, ...], vocabulary: Vocabulary, idf: dict[str, float]):
+        self.templates = templates
+        self.numbers = [np.array([vocabulary.number[w] for w in t.words], np.int32) for t in templates]
+        self.weights = [np.array([idf[w] for w in t.words]) for t in templates]
+        self.sizes = np.array([len(t.words) for t in templates], np.int64)
+        keys = [sorted({j for a, b in t.keys for j in range(a, b)}, key=lambda j, t=t: (-idf[t.words[j]], j)) for t in templates]
+        self.n_keys = np.array([len(k) for k in keys], np.int64)
+        most = int(self.n_keys.max(initial=1))
+        self.key_place = np.array([k + [0] * (most - len(k)) for k in keys], np.int64).reshape(len(templates), most)
+        self.key_word = np.array([[n[j] for j in k] + [0] * (most - len(k)) for n, k in zip(self.numbers, keys)], np.int32).reshape(len(templates), most)
+        rarest = self.key_word[:, 0]
+        self.postings = np.argsort(rarest, kind="stable")
+        self.counts = np.bincount(rarest, minlength=len(vocabulary.words) + 1)  # the last place stands for no licence word
+        self.begin = np.cumsum(self.counts) - self.counts
+
+    def proposals(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Template, start and text of each proposal whose key phrases are all in place."""
+        places = np.flatnonzero(self.counts[words.ids])
+        if not len(places):
+            return
+        made = np.cumsum(self.counts[words.ids[places]])
+        cuts = np.searchsorted(made, np.arange(AT_ONCE, made[-1] + AT_ONCE, AT_ONCE), side="right")
+        for rare in np.split(places, cuts[:-1]):
+            word = words.ids[rare]
+            n = self.counts[word]
+            t = self.postings[np.repeat(self.begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            at = np.repeat(rare, n) - self.key_place[t, 0]
+            owner = np.repeat(np.searchsorted(words.first, rare, side="right") - 1, n)
+            fits = (at >= words.first[owner]) & (at + self.sizes[t] <= words.first[owner + 1])
+            t, at, owner = t[fits], at[fits], owner[fits]
+            for r in range(1, self.key_place.shape[1]):
+                if not len(t):
+                    break
+                place = np.minimum(at + self.key_place[t, r], len(words.ids) - 1)
+                met = (r >= self.n_keys[t]) | (words.ids[place] == self.key_word[t, r])
+                t, at, owner = t[met], at[met], owner[met]
+            if len(t):
+                yield t, at, owner
+
+    def share(self, t: int, words: Words, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """What of a template's IDF is in place, or ``SLACK`` words beside it in the same text."""
+        if self.templates[t].base:
+            return np.ones(len(at))
+        total = np.zeros(len(at))
+        low, high = words.first[owner], words.first[owner + 1]
+        for j, (number, weight) in enumerate(zip(self.numbers[t], self.weights[t])):
+            near = np.zeros(len(at), bool)
+            for d in range(-SLACK, SLACK + 1):
+                place = at + (j + d)
+                inside = (place >= low) & (place < high)
+                near |= inside & (words.ids[np.where(inside, place, at)] == number)
+            total += weight * near
+        return np.minimum(total / self.weights[t].sum(), 1.0)
+
+
+def _scan(words: Words, index: Index) -> dict[str, list]:
     """Per text: places of base phrases, labels, and the best share of a standing proposal."""
     n = len(words.counts)
     base, first, last, score = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n)
     labels: list[dict[str, bool]] = [{} for _ in range(n)]
-    # Postings: the places of each template word in this batch, by one sort.
-    place = np.flatnonzero(words.ids >= 0)
-    by_word = place[np.argsort(words.ids[place], kind="stable")]
-    bound = np.concatenate(([0], np.cumsum(np.bincount(words.ids[place], minlength=len(number)))))
-    padded = np.concatenate((np.full(SLACK, -1, np.int32), words.ids, np.full(SLACK, -1, np.int32)))
-    for t in templates:
-        # What stands holds the key phrases, so their rarest word leads to every proposal that can stand.
-        rare = max((j for a, b in t.keys for j in range(a, b)), key=lambda j: (idf[t.words[j]], -j))
-        w = number[t.words[rare]]
-        at = by_word[bound[w] : bound[w + 1]] - rare
-        owner = np.searchsorted(words.first, at + rare, side="right") - 1
-        fits = (at >= words.first[owner]) & (at + len(t.words) <= words.first[owner + 1])
-        at, owner = at[fits], owner[fits]
-        if not len(at):
-            continue
-        exact = np.stack([words.ids[at + j] == number[x] for j, x in enumerate(t.words)])
-        stands = np.logical_and.reduce([exact[a:b].all(axis=0) for a, b in t.keys])
-        if not stands.any():
-            continue
-        at, owner, exact = at[stands], owner[stands], exact[:, stands]
-        near = exact if t.base else np.stack([np.logical_or.reduce([padded[at + j + SLACK + d] == number[x] for d in range(-SLACK, SLACK + 1)]) for j, x in enumerate(t.words)])
-        weight = np.array([idf[x] for x in t.words])
-        share = np.minimum(weight @ near / weight.sum(), 1.0)
-        good = share >= ACCEPT
-        at, owner, share = at[good], owner[good], share[good]
-        np.maximum.at(score, owner, share)
-        for i in np.unique(owner):
-            labels[i][t.label] = labels[i].get(t.label, False) or t.base
-        if t.base:
-            inside = at - words.first[owner]
-            np.add.at(base, owner, 1)
-            np.minimum.at(first, owner, inside)
-            np.maximum.at(last, owner, inside)
+    for which, starts, owners in index.proposals(words):
+        for k in np.unique(which):
+            t = index.templates[k]
+            mine = which == k
+            at, owner = starts[mine], owners[mine]
+            share = index.share(k, words, at, owner)
+            good = share >= ACCEPT
+            at, owner, share = at[good], owner[good], share[good]
+            np.maximum.at(score, owner, share)
+            for i in np.unique(owner):
+                labels[i][t.label] = labels[i].get(t.label, False) or t.base
+            if t.base:
+                inside = at - words.first[owner]
+                np.add.at(base, owner, 1)
+                np.minimum.at(first, owner, inside)
+                np.maximum.at(last, owner, inside)
     some = base > 0
     return {
         "n_words": words.counts.astype(np.int64), "n_base": base, "first_word": [int(x) if y else None for x, y in zip(first, some)], "last_word": [int(x) if y else None for x, y in zip(last, some)],
@@ -221,9 +321,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(templates)
+        index = Index(templates, vocabulary, idf)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                found = _scan(Words(part.column("text"), vocabulary), templates, vocabulary.number, idf)
+                found = _scan(Words(part.column("text"), vocabulary), index)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(found[n], arrow[k]) for n, k in kinds.items())], names=["id", *kinds])
 
     shape = f"id {kept.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in kinds.items())

@@ -159,6 +159,61 @@ def test_license_bodies_need_their_key_phrases(spark):
     assert got[1] == ("mit", 1.0) and got[2][0] == "" and got[3][0] == "mit" and got[3][1] < 1 and got[4][0] == "cc-by,cc-by-sa"
 
 
+def test_license_results_do_not_depend_on_other_rows(spark):
+    cut = "zzz to use copy modify and or distribute this software for any purpose"
+    rows = [(1, "foo permission", "s"), (2, cut, "s"), (3, "permission", "s"), (4, "foo", "s"), (5, cut + " with", "s")]
+    pick = lambda order: {r["doc_id"]: tuple(r) for r in licenses.scan_licenses(table(spark, [rows[i] for i in order]).coalesce(1)).collect()}
+    first = pick([0, 1, 2, 3, 4])
+    assert 0 < first[2][-1] < 1
+    for order in ([3, 1, 0, 2, 4], [4, 2, 1, 0, 3], [1, 0, 4, 3, 2], [2, 1, 4, 0, 3]):
+        assert pick(order) == first
+
+
+def test_whole_licenses_and_long_words(spark):
+    whole = next(t for t in licenses.OWN if len(t.words) > 150)
+    text = "Copyright 2020 Somebody. " + " ".join(whole.words).upper().replace(" TORT ", " WRONG ") + " the end"
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(table(spark, [(1, text, "s"), (2, " ".join(whole.words[:100]), "s"), (3, "a verylongwordofalicence b", "s"), (4, "verylongwordofalicencf", "s")]), own=(whole, licenses.template("long", "verylongwordofalicence"))).collect()}
+    assert got[1]["labels"] == whole.label and 0.9 < got[1]["score"] < 1 and [got[i]["labels"] for i in (2, 3, 4)] == ["", "long", ""]
+
+
+def test_many_license_templates_against_brute_force(spark):
+    """500 templates over shared words: exactly those stand whose key phrases are in place and whose words hold the share."""
+    rng = random.Random(9)
+    words = [f"l{i}" for i in range(400)]
+    made = []
+    for k in range(500):
+        body = rng.choices(words, k=rng.randint(4, 30))
+        a = rng.randrange(len(body) - 2)
+        made.append(licenses.Template(f"t{k}", tuple(body), ((a, a + 2),)))
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            body = list(rng.choice(made).words)
+            for _ in range(rng.randint(0, 3)):
+                body[rng.randrange(len(body))] = "other"
+            parts += [*body, *rng.choices(["x", "y", *words[:20]], k=rng.randint(0, 5))]
+        rows.append((i, " ".join(parts), "s"))
+    docs = table(spark, rows)
+    total, df = licenses.document_frequencies(docs, "text", tuple(made))
+    idf = {w: np.log((total + 1) / (df.get(w, 0) + 1)) + 1 for w in words}
+    assert total == 60 and all(df.get(w, 0) == sum(w in r[1].split() for r in rows) for w in words)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs, own=tuple(made)).collect()}
+    found = 0
+    for i, text, _ in rows:
+        w, best, labels = text.split(), 0.0, set()
+        for t in made:
+            (a, b), n = t.keys[0], len(t.words)
+            for s in range(len(w) - n + 1):
+                if tuple(w[s + a : s + b]) == t.words[a:b]:
+                    share = sum(idf[x] for j, x in enumerate(t.words) if x in w[max(0, s + j - 1) : s + j + 2]) / sum(idf[x] for x in t.words)
+                    if share >= licenses.ACCEPT:
+                        best, labels = max(best, share), labels | {t.label}
+        found += len(labels)
+        assert got[i]["labels"] == ",".join(sorted(labels)) and got[i]["score"] == pytest.approx(best)
+    assert found > 60
+
+
 # --- exact and approximate search
 
 
