@@ -6,8 +6,10 @@ residuals, then rounds of beam-search encoding and least squares. Every vector i
 indexed: beam search keeps the ``BEAM`` best partial sums, and the norms of the vector
 and of its reconstruction are stored with its codes. A query's products with all
 entries make lookup tables; a candidate's estimate is the sum of its entries' products
-times the ratio of the stored norms. The best ``RERANK`` distinct vectors of each shard
-are scored exactly on the original vectors. Equal vectors share one entry of the index
+times the ratio of the stored norms. A task scores a candidate exactly, on the original
+vectors, only while its estimate is among the best ``RERANK`` of the query in the shards
+seen so far, so what is reranked grows with the logarithm of the shards of a task, and
+holds the best ``RERANK`` estimates over all shards. Equal vectors share one entry of the index
 and are all expanded again, so ties go to the smaller ids however many copies there are.
 
 Rows that take no part: null or non-finite vectors or components, zero vectors, null ids.
@@ -23,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollsmith.llm.common import materialize
-from rollsmith.llm.vectors import same_width, search, sharded, unpack
+from rollsmith.llm.vectors import Held, same_width, search, sharded, unpack
 
-#: Bound of the training sample; codebooks and their size; beam width; vectors of a shard that are scored exactly.
+#: Bound of the training sample; codebooks and their size; beam width; best estimates of a query that are scored exactly.
 SAMPLE, BOOKS, ENTRIES, BEAM, RERANK = 8192, 16, 128, 4, 256
 ROUNDS, LLOYD, SEED = 2, 8, 3
 
@@ -126,29 +128,41 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
     fitted = fit_codebooks(np.array([v + [0.0] * (width - len(v)) for v in sample])) if sample else np.zeros((1, 1, 1))
     index = materialize(packed.mapInArrow(_indexed(fitted), "shard int, ids binary, vectors binary, width int, codes binary, ratio binary, ends binary"))
 
-    def run(row: dict, q_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
+    def run(row: dict, held: Held) -> Iterator[tuple]:
         ends = np.frombuffer(row["ends"], np.int64)
         ids = np.frombuffer(row["ids"], np.int64)
         x = np.frombuffer(row["vectors"], np.float64).reshape(len(ends), row["width"])
-        x, q = same_width(x, q)
-        flat, asked = same_width(fitted.reshape(-1, fitted.shape[2]), q)
-        tables = (asked @ flat.T).astype(np.float32).reshape(len(q), fitted.shape[0], fitted.shape[1])
+        if not len(x) or not len(held.ids):
+            return
+        x, q = same_width(x, held.vectors)
+        if "tables" not in held.state:
+            flat, asked = same_width(fitted.reshape(-1, fitted.shape[2]), held.vectors)
+            held.state["tables"] = (asked @ flat.T).astype(np.float32).reshape(len(asked), fitted.shape[0], fitted.shape[1])
+            held.state["estimates"] = np.full((len(asked), max(rerank, k + 1)), -np.inf, np.float32)
+        tables, before = held.state["tables"], held.state["estimates"]
         codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ends), -1)
         estimate = np.zeros((len(q), len(x)), np.float32)
         for m in range(codes.shape[1]):
             estimate += np.take(tables[:, m, :], codes[:, m], axis=1)
         estimate *= np.frombuffer(row["ratio"], np.float64).astype(np.float32)
-        wanted = min(max(rerank, k + 1), len(x))
-        picked = np.argpartition(estimate, len(x) - wanted, axis=1)[:, len(x) - wanted :]
+        # Only what is among the best estimates of this task so far is scored exactly.
+        wanted = before.shape[1]
+        both = np.concatenate((before, estimate), axis=1)
+        before[:] = np.partition(both, both.shape[1] - wanted, axis=1)[:, both.shape[1] - wanted :]
+        good = estimate >= before.min(axis=1)[:, None]
         begins = np.concatenate(([0], ends[:-1]))
-        counts = np.minimum(ends - begins, k + 1)  # of equal vectors only the smallest ids can be among the first k
         out: list[list] = [[], [], []]
-        for number, rows_, vector in zip(q_ids, picked, q):
+        for i, (number, vector) in enumerate(zip(held.ids, q)):
+            rows_ = np.flatnonzero(good[i])
             s = products(x[rows_], vector)
+            near = s >= held.floor[i]
+            rows_, s = rows_[near], s[near]
             if len(s) > k + 1:
                 near = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
                 rows_, s = rows_[near], s[near]
-            n = counts[rows_]
+            if not len(s):
+                continue
+            n = np.minimum(ends - begins, k + 1)[rows_]  # of equal vectors only the smallest ids can be among the first k
             place = np.repeat(begins[rows_], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found, s = ids[place], np.repeat(s, n)
             other = found != number

@@ -6,11 +6,16 @@ can add in the shard. Terms are sorted by that range: those whose ranges togethe
 cannot lift a candidate over the threshold are non-essential. The essential postings
 are traversed for all candidates; the others are probed, widest range first, only for
 candidates whose bound still reaches the threshold. The threshold starts from the
-exact scores of promising candidates and never exceeds the k-th best, so results are
-exact; ties go to the smaller id. Shards are merged to the best k for each query.
+exact scores of promising candidates, and from the k-th best of the shards before, and
+never exceeds the k-th best, so results are exact; ties go to the smaller id. Shards are
+merged to the best k for each query.
 
-Integer products are computed in doubles while they are exact there, else in
-unbounded integers, held at the limits of a long.
+Integer products are computed in doubles where they are exact there. Vectors with a
+larger component are set apart, in a shard and among the queries; pairs that have one
+go through the same search in scaled doubles, whose error widens every comparison, and
+what it leaves is scored in unbounded integers, held at the limits of a long.
+
+Defined results: see ``vectors``; components of any finite size take part.
 """
 
 from __future__ import annotations
@@ -20,14 +25,22 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from rollsmith.llm.vectors import same_width, search, sharded, unpack
+from rollsmith.llm.vectors import Held, same_width, search, sharded, unpack
 
 SCALE, SEED_TERMS, SEEDS, PROBES = 1024, 8, 64, 8
 _EXACT = float(1 << 53)
 
 
-def top_k(candidates: np.ndarray, query: np.ndarray, k: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``candidates`` (term-major, integers held exactly in doubles) that may be among the k best, and their scores."""
+def top_k(candidates: np.ndarray, query: np.ndarray, k: int, low: np.ndarray, high: np.ndarray, floor: float = -np.inf, error: float = 0.0, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``candidates`` (term-major) that may be among the k best and reach ``floor``, and their scores.
+
+    ``error`` bounds the rounding of a score; it is 0 for integers held exactly in doubles.
+    Scores beyond ``limit``, or below its negative, count as equal.
+    """
+
+    def held(threshold: float) -> float:
+        return min(threshold, limit) if threshold > -limit else -np.inf
+
     below, above = query * low, query * high
     lower, upper = np.minimum(below, above), np.maximum(below, above)
     order = np.argsort(lower - upper, kind="stable")
@@ -35,11 +48,11 @@ def top_k(candidates: np.ndarray, query: np.ndarray, k: int, low: np.ndarray, hi
     n = candidates.shape[1]
     seeded = min(SEED_TERMS, len(order))
     partial = weight[:seeded] @ candidates[order[:seeded]]
-    threshold = -np.inf
+    threshold = held(floor - error)
     if n > max(SEEDS, k):
         picked = np.argpartition(partial, n - max(SEEDS, k))[n - max(SEEDS, k) :]
         exact = weight @ candidates[np.ix_(order, picked)]
-        threshold = np.partition(exact, len(exact) - k)[len(exact) - k]
+        threshold = max(threshold, held(np.partition(exact, len(exact) - k)[len(exact) - k] - 2 * error))
     # Terms from `split` on cannot alone lift a candidate from the least score to the threshold.
     suffix = np.concatenate((np.cumsum((upper - lower)[::-1])[::-1], [0.0]))
     rest = np.concatenate((np.cumsum(upper[::-1])[::-1], [0.0]))
@@ -54,8 +67,8 @@ def top_k(candidates: np.ndarray, query: np.ndarray, k: int, low: np.ndarray, hi
         alive, partial = alive[keep], partial[keep]
         if len(partial) > 4 * k and b < len(order):
             # A candidate's least possible score is a floor for the k-th best.
-            floor = np.partition(partial, len(partial) - k)[len(partial) - k] + lower[b:].sum()
-            threshold = max(threshold, floor)
+            least = np.partition(partial, len(partial) - k)[len(partial) - k] + lower[b:].sum()
+            threshold = max(threshold, held(least - 2 * error))
     return alive, partial
 
 
@@ -67,37 +80,60 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
+def scaled(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) / scale, which no component overflows; from 2**60 on a double is an integer."""
+    with np.errstate(over="ignore"):
+        return np.where(np.abs(x) < 2.0**60, np.floor(scale * x) / scale, x)
+
+
+def _whole(row: np.ndarray, scale: int) -> list[int]:
+    """The integers of a row of ``scaled`` values."""
+    return [int(scale * v) if abs(v) < 2.0**60 else scale * int(v) for v in row.tolist()]
+
+
 def exact_search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = SCALE) -> DataFrame:
     """For each row for which ``queries`` holds, its ``k`` highest integer inner products with other rows."""
     index, shards, rows = sharded(vectors, id_col, vec_col)
     asked = rows.where(queries)
 
-    def run(row: dict, q_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
+    def run(row: dict, held: Held) -> Iterator[tuple]:
         ids, x = unpack(row["ids"], row["vectors"], row["width"])
-        x, q = same_width(np.floor(scale * x), np.floor(scale * q))
-        if not len(ids) or not len(q_ids):
-            return
-        if x.shape[1] and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= _EXACT:
-            yield from _unbounded(ids, x, q_ids, q, k)
+        x, q = same_width(scaled(x, scale), scaled(held.vectors, scale))
+        if not len(ids) or not len(held.ids):
             return
-        columns = np.ascontiguousarray(x.T)
-        low, high = columns.min(axis=1, initial=np.inf), columns.max(axis=1, initial=-np.inf)
+        most = np.sqrt(_EXACT / max(x.shape[1], 1)) / scale
+        wide, wide_q = np.abs(x).max(axis=1, initial=0) >= most, np.abs(q).max(axis=1, initial=0) >= most
         out: list[list] = [[], [], []]
-        for number, vector in zip(q_ids, q):
-            alive, scores = top_k(columns, vector, k + 1, low, high)
-            other = ids[alive] != number
-            found, scores = ids[alive][other], scores[other]
-            best = _best(found, scores, k)
-            for column, values in zip(out, (np.full(len(best), number), found[best], scores[best].astype(np.int64))):
-                column.append(values)
+        groups = [(ids[part], x[part], one) for part, one in ((~wide, False), (wide, True)) if part.any()]
+        for own, part, large in groups:
+            columns = np.ascontiguousarray(part.T)
+            low, high = columns.min(axis=1, initial=np.inf), columns.max(axis=1, initial=-np.inf)
+            size = max(float(np.abs(columns).max(initial=0)), 1e-300)
+            small = (columns / size, low / size, high / size) if large or wide_q.any() else None
+            if not large:
+                columns, low, high = columns * scale, low * scale, high * scale
+            for i, (number, vector) in enumerate(zip(held.ids, q)):
+                if large or wide_q[i]:
+                    found, scores = _rounded(own, part, *small, vector, number, k, scale)
+                else:
+                    alive, scores = top_k(columns, vector * scale, k + 1, low, high, held.floor[i])
+                    other = own[alive] != number
+                    found, scores = own[alive][other], scores[other].astype(np.int64)
+                best = _best(found, scores, k)
+                for column, values in zip(out, (np.full(len(best), number), found[best], scores[best])):
+                    column.append(values)
         yield tuple(map(np.concatenate, out))
 
     return search(index, shards, asked, run, k, "long")
 
 
-def _unbounded(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
-    whole = [[int(v) for v in r] for r in x]
-    for number, vector in zip(q_ids, q):
-        terms = [int(v) for v in vector]
-        scored = sorted((-sum(a * b for a, b in zip(terms, r)), int(i)) for i, r in zip(ids, whole) if i != number)[:k]
-        yield [int(number)] * len(scored), [i for _, i in scored], [max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in scored]
+def _rounded(ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndarray, query: np.ndarray, number: int, k: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those among the k best by rounded products of ``columns``, scored in unbounded integers and held at the limits of a long."""
+    size = max(float(np.abs(query).max(initial=0)), 1e-300)
+    limit = 0.999 * 2.0**63 / scale / scale / size / max(float(np.abs(rows).max(initial=0)), 1e-300)
+    alive, _ = top_k(columns, query / size, k + 1, low, high, error=max(len(query), 8) ** 2 * 2.0**-50, limit=limit)
+    alive = alive[ids[alive] != number]
+    terms = _whole(query, scale)
+    exact = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(terms, _whole(rows[i], scale))))) for i in alive]
+    order = sorted(range(len(alive)), key=lambda i: (-exact[i], ids[alive[i]]))[:k]
+    return ids[alive[order]], np.array([exact[i] for i in order], np.int64)

@@ -1,14 +1,18 @@
-"""Vector tables in shards: packed matrices, and query blocks that meet every shard.
+"""Vector tables in shards: packed matrices, searched by blocks of queries on a grid of tasks.
 
 Candidates are dealt by hash of their id to shards of about ``SHARD`` rows, each
-packed as one row of a written table. Queries are packed in blocks of ``BLOCK``.
-Each block is sent to each shard number, and an equality join on that number brings
-them together; a search runs on one shard and one block at a time, and what it finds
-is merged to the best ``k`` for each query. Nothing is collected to the driver.
+packed as one row of a written table; queries are packed in blocks of ``BLOCK``. The
+grid has a column for each group of blocks that a task can hold (``HELD`` bytes) and so
+many rows, groups of shards, that there is work for every partition: a shard is sent to
+each column and a block to each row, not every block to every shard. A task holds its
+blocks, streams its shards, and merges what it finds to the best ``k`` of each query,
+whose least is the floor for the shards after it; the merge over the rows of the grid
+follows. Nothing is collected to the driver.
 
 Rows take no part whose id is null or whose vector is null or holds a null or
 non-finite component. Of rows that repeat an id, the least vector stands. A vector
-shorter than others counts as followed by zeros.
+shorter than others counts as followed by zeros. With fewer candidates than ``k`` all
+are returned; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import materialize
+from rollsmith.llm.common import frugal, materialize
 
-SHARD, BLOCK, HELD = 2048, 512, 1_000_000
+#: Rows of a shard and of a block of queries; bytes of blocks that a task holds; tasks of the grid for each partition.
+SHARD, BLOCK, HELD, SPREAD = 2048, 512, 32 << 20, 3
 _PACKED = "shard int, ids binary, vectors binary, width int"
 
 
@@ -112,41 +117,75 @@ def best_of(parts: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [x[order[place < k]] for x in parts]
 
 
+class Held:
+    """A block of queries in a task, and the best found for each so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, kind: np.dtype):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)]
+        self.floor = np.full(len(ids), -np.inf)  # the k-th best score; what is below it cannot be among the first k
+        self.state: dict = {}
+
+    def add(self, found: tuple) -> None:
+        self.best = best_of([np.concatenate((a, b)) for a, b in zip(self.best, found)], self.k)
+        query = self.best[0]
+        last = np.flatnonzero(np.concatenate((query[1:] != query[:-1], [True])))
+        full = last[np.diff(np.concatenate(([-1], last))) == self.k]
+        at = np.searchsorted(query[full], self.ids)
+        known = np.flatnonzero(np.append(query[full], 0)[at] == self.ids) if len(full) else []
+        self.floor[known] = self.best[2][full[at[known]]]
+
+
 def search(index: DataFrame, shards: int, queries: DataFrame, run: Callable, k: int, score: str) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` over all shards, ties to the smaller id.
 
-    ``run(shard_row, query_ids, query_matrix)`` yields (query ids, vec ids, scores) of one shard.
+    ``run(shard_row, held)`` yields (query ids, vec ids, scores) of one shard for a block of queries.
     """
+    spark = index.sparkSession
     blocks = packed(queries, max(1, -(-queries.count() // BLOCK)), BLOCK)
-    sent = blocks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("q_shard"))
-    met = index.join(sent, index["shard"] == sent["q_shard"])
-
-    kind = pa.int64() if score == "long" else pa.float64()
+    n, width = blocks.agg(F.count("*"), F.max("width")).first()
+    together = max(1, HELD // (BLOCK * 8 * max(width or 1, 64)))
+    columns = max(1, -(-n // together))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(1, min(shards, -(-SPREAD * partitions // columns)))
+    send = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)).alias("cell")
+    part = F.xxhash64("ids") if columns > 1 else F.lit(0)
+    held = blocks.select(F.lit(0).alias("kind"), "shard", "ids", "vectors", "width", F.pmod(part, F.lit(columns)).alias("column"))
+    held = held.select("kind", "shard", "ids", "vectors", "width", send(rows, lambda r: F.col("column") * rows + r)).drop("column")
+    streamed = index.withColumn("kind", F.lit(1)).select("*", send(columns, lambda c: c * rows + F.col("shard") % rows))
+    streamed = streamed.withColumn("cell", F.col("cell").cast("long"))
+    met = streamed.unionByName(held.withColumn("cell", F.col("cell").cast("long")), allowMissingColumns=True)
+    met = met.repartition(min(columns * rows, SPREAD * partitions), "cell").sortWithinPartitions("cell", "kind", "shard")
+
+    kind, dtype = (pa.int64(), np.int64) if score == "long" else (pa.float64(), np.float64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # What shards of this task found for a block of queries is merged here; beyond HELD rows it is sent on.
-        held: dict[bytes, list[np.ndarray]] = {}
-        rows = 0
+        cell, mine = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for parts in held.values():
-                yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], kind)], names=["query_id", "vec_id", "score"])
+            for block in mine:
+                if len(block.best[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(block.best, (pa.int64(), pa.int64(), kind))], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
+            names = batch.schema.names
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                q_ids, q = unpack(row["q_ids"], row["q_vectors"], row["q_width"])
-                for found in run(row, q_ids, q):
-                    before = held.get(row["q_ids"])
-                    parts = [np.asarray(x) for x in found] if before is None else best_of([np.concatenate(x) for x in zip(before, found)], k)
-                    rows += len(parts[0]) - (0 if before is None else len(before[0]))
-                    held[row["q_ids"]] = parts
-                if rows > HELD:
+                row = {}
+                for n in names:
+                    value = batch.column(n)[i]
+                    row[n] = (value.as_buffer() if value.is_valid else None) if pa.types.is_binary(value.type) else value.as_py()
+                if row["cell"] != cell:
                     yield from out()
-                    held, rows = {}, 0
+                    cell, mine = row["cell"], []
+                if row["kind"] == 0:
+                    mine.append(Held(*(x.copy() for x in unpack(row["ids"], row["vectors"], row["width"])), k, dtype))
+                    continue
+                for block in mine:
+                    for found in run(row, block):
+                        block.add(found)
         yield from out()
 
-    found = met.mapInArrow(each, f"query_id long, vec_id long, score {score}")
+    found = met.mapInArrow(frugal(each), f"query_id long, vec_id long, score {score}")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import subprocess
@@ -255,6 +256,44 @@ def test_exact_search_of_huge_components(spark):
     assert got == [(1, (1 << 63) - 1), (3, got[1][1]), (2, -(1 << 63))]
 
 
+def test_exact_search_with_outliers(spark, monkeypatch):
+    """Vectors with huge components in a shard and among the queries, against Python's integers."""
+    monkeypatch.setattr(vectors, "SHARD", 64)
+    rng = np.random.default_rng(3)
+    x = [[float(v) for v in r] for r in rng.normal(size=(400, 6))]
+    x[17], x[40], x[101], x[200] = [1e306, 1.0, 0.0, 0.0, 0.0, 0.0], [3e14, *[0.25] * 5], [-1e306, *[-0.5] * 5], [1e5, -1e7, 1e6, 3.0, 0.1, 2e12]
+    x[300] = [-1e306, 1.0]
+    whole = [[int(math.floor(1024 * v)) if abs(v) < 1e300 else 1024 * int(v) for v in r] for r in x]
+    got = defaultdict(list)
+    for r in maxscore.exact_search(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), vectors.every("id", 20)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 400, 20))
+    hold = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for q, found in got.items():
+        exact = [(hold(sum(a * b for a, b in zip(whole[q], r))), i) for i, r in enumerate(whole) if i != q]
+        assert found == [(i, s) for s, i in sorted(exact, key=lambda e: (-e[0], e[1]))[:10]]
+
+
+def test_nearest_over_many_shards(spark, monkeypatch):
+    """At least 40 shards in a grid of tasks: recall where a query's best estimates over all are reranked."""
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "HELD", 2 * 32 * 8 * 64)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(50, 32))
+    x = centres[rng.integers(0, 50, 4000)] + 0.6 * rng.normal(size=(4000, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in additive.nearest(df, vectors.every("id", 20), rerank=100).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(found) & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 200 and hits / (20 * len(got)) >= 0.9
+
+
 def test_nearest_recall_and_scores(points, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", 256)
     known = valid(points, drop_zero=True)
