@@ -4,6 +4,11 @@
 docs is what the stage before it kept, and returns a DataFrame. All but the last keep
 the columns of documents. ``run`` writes each stage's result to the shared folder and
 reads it back for the next one.
+
+Defined results: rows of null id or text pass through every stage by its own rules (a
+null text has no language, so it goes in the first); repeated rows count each until
+near_dedup keeps one; texts of any length are read whole; other columns are kept by all
+stages but the last, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import id_remainder, materialize, release, table
+from rollsmith.llm.common import id_remainder, release, table, tidy
 from rollsmith.llm.language import fit_language_model, keep_identified
 from rollsmith.llm.mixing import mixed_rows
 from rollsmith.llm.packing import pack_documents
@@ -54,11 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs, written = table(spark, sf_dir, "documents"), None
-    for _, stage in STAGES[:-1]:
-        found = materialize(stage(spark, docs, sf_dir))
-        if written is not None:
-            release(written)
-        docs = written = found
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents of ``sf_dir``. Only the table of the result stays in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        found = tidy(stage)(spark, docs, sf_dir)
+        release(docs)
+        docs = found
+    return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import materialize
+from rollsmith.llm.common import materialize, tidy
 from rollsmith.llm.vectors import Held, same_width, search, sharded, unpack
 
 #: Bound of the training sample; codebooks and their size; beam width; best estimates of a query that are scored exactly.
@@ -120,6 +120,7 @@ def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.einsum("rd,d->r", np.ascontiguousarray(rows), query)
 
 
+@tidy
 def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, rerank: int = RERANK) -> DataFrame:
     """For each row for which ``queries`` holds, the ``k`` rows found nearest by inner product."""
     packed, shards, rows = sharded(vectors, id_col, vec_col, drop_zero=True)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,15 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine a temporary folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='rollsmith-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = _own_dir(spark.sparkContext.applicationId)
     return named.rstrip("/")
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='rollsmith-')}"
+
+
+#: Tables written so far by each call of a ``tidy`` function that is under way, innermost last.
+_under_way = threading.local()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
@@ -39,20 +52,43 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rollsmith-{uuid.uuid4().hex}"
+    if calls := getattr(_under_way, "calls", None):
+        calls[-1].append((spark, path))
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._rollsmith_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(df: DataFrame) -> None:
-    """Delete the table behind a DataFrame that ``materialize`` returned."""
-    path = getattr(df, "_rollsmith_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete the table behind a DataFrame that ``materialize`` or a ``tidy`` function returned."""
+    if path := getattr(df, "_rollsmith_path", None):
+        _delete(df.sparkSession, path)
+
+
+def tidy(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``function`` with its result written, and whatever it has written on the way deleted, also if it fails."""
+
+    @functools.wraps(function)
+    def run(*arguments, **options) -> DataFrame:
+        calls = _under_way.__dict__.setdefault("calls", [])
+        calls.append([])
+        try:
+            found, mine = function(*arguments, **options), calls.pop()
+            try:
+                return materialize(found)
+            finally:
+                calls.append(mine)
+        finally:
+            for spark, path in calls.pop():
+                _delete(spark, path)
+
+    return run
 
 
 def id_remainder(column: str, modulus: int) -> Column:

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
+from rollsmith.llm.common import tidy
 from rollsmith.llm.vectors import Held, same_width, search, sharded, unpack
 
 SCALE, SEED_TERMS, SEEDS, PROBES = 1024, 8, 64, 8
@@ -91,6 +92,7 @@ def _whole(row: np.ndarray, scale: int) -> list[int]:
     return [int(scale * v) if abs(v) < 2.0**60 else scale * int(v) for v in row.tolist()]
 
 
+@tidy
 def exact_search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = SCALE) -> DataFrame:
     """For each row for which ``queries`` holds, its ``k`` highest integer inner products with other rows."""
     index, shards, rows = sharded(vectors, id_col, vec_col)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import TextBuffer, frugal, materialize, slices
+from rollsmith.llm.common import TextBuffer, frugal, materialize, release, slices, tidy
 
 WEIGHTS, MOST_COPIES = (1.0, 2.0, 3.0), 3.0
 #: Documents of a chunk, and residuals of chunks that meet in one chunk of the next level.
@@ -164,6 +164,7 @@ def _draw(seed: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+@tidy
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 1) -> DataFrame:
     """``id, text_hash, source, size, source_size, target, copies`` for every document."""
     sizes = materialize(sized(docs, id_col=id_col, text_col=text_col, source_col=source_col))
@@ -220,8 +221,13 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Rows that share id, text and source stand for one another.
     """
     mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = mixed.groupBy("id", "text_hash", "source").agg(F.sum("copies").alias("copies")).where("copies > 0").withColumnRenamed("source", "mix_source")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash"), F.col(source_col).alias("row_source"))
-    same = keyed["row_id"].eqNullSafe(copies["id"]) & (keyed["row_hash"] == copies["text_hash"]) & keyed["row_source"].eqNullSafe(copies["mix_source"])
-    taken = keyed.join(copies, same).dropDuplicates(["row_id", "row_hash", "row_source"])
+    key = F.struct(F.col("id").alias("id"), F.col("text_hash").alias("text_hash"), F.col("source").alias("source")).alias("key")
+    copies = materialize(mixed.groupBy(key).agg(F.sum("copies").alias("copies"), (F.count("*") > 1).alias("many")).where("copies > 0"))
+    release(mixed)
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).alias("source")).alias("row_key"))
+    # Texts are exchanged once: only rows that repeat a key are then told apart, where they lie.
+    met = lambda x: keyed.join(x.hint("shuffle_hash"), keyed["row_key"] == x["key"])
+    taken = met(copies.where("not many")).select("row", "copies")
+    if not copies.where("many").isEmpty():
+        taken = taken.union(met(copies.where("many")).dropDuplicates(["row_key"]).select("row", "copies"))
     return taken.select("row", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import LOWER, TextBuffer, frugal, materialize, slices
+from rollsmith.llm.common import LOWER, TextBuffer, frugal, materialize, slices, tidy
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 #: Pieces that one packing task takes, bins of earlier tasks that a merging task takes, and words whose ids a worker remembers.
@@ -398,6 +398,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
     return found.withColumnRenamed("bin", "sequence_id")
 
 
+@tidy
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, added_tokens: bool = False) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
     found = materialize(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, added_tokens=added_tokens))

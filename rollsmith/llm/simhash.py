@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollsmith.llm.common import LOWER, TextBuffer, frugal, materialize, slices
+from rollsmith.llm.common import LOWER, TextBuffer, frugal, materialize, slices, tidy
 from rollsmith.llm.components import connected_components
 
 MAX_BITS, SEED = 3, 42
@@ -76,15 +76,23 @@ def digests(text: bytes, width: int) -> Iterator[np.ndarray]:
         yield np.array(values, dtype="<u8")
 
 
+def bit_counts(values: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of ``n`` hashes."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """The fingerprint of UTF-8 bytes, unsigned."""
     counts, n = np.zeros(64, np.int64), 0
     for values in digests(text, width):
-        hashes = values.view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bit_counts(values)
         n += len(values)
-    bits = np.packbits(2 * counts > n, bitorder="little") if n else np.zeros(8, np.uint8)
-    return int(bits.view("<u8")[0])
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -185,6 +193,7 @@ def components(rows: DataFrame) -> DataFrame:
     return distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row per document: its id, ``fingerprint`` in hex, and ``component_id``."""
     rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
@@ -196,17 +205,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@tidy
+def _kept(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
+    return kept_firsts(rows, "fp", components(rows).select(F.col("fp").alias("node"), "label"))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The rows, with all their columns, of one document a component: the smallest id (known ids first)."""
-    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash")).alias("first"))
-    kept = first.join(components(rows), "fp").groupBy("label").agg(F.min("first").alias("first"))
-    return first_rows(docs, kept, id_col=id_col, text_col=text_col)
+    return first_rows(docs, _kept(docs, id_col, text_col, width), id_col=id_col, text_col=text_col)
+
+
+def kept_firsts(rows: DataFrame, node: str, labels: DataFrame) -> DataFrame:
+    """``key, many``: the id and text hash of the row that stays of each label, and whether rows repeat them.
+
+    ``rows`` has ``id, text_hash`` and the column ``node``; what ``labels`` (``node, label``) lacks is alone.
+    """
+    counted = rows.groupBy(node, "id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash", (F.col("n") > 1).alias("many"))
+    first = counted.groupBy(F.col(node).alias("at")).agg(F.min(order).alias("first"))
+    kept = first.join(labels, first["at"] == labels["node"], "left").groupBy(F.coalesce("label", "at").alias("label")).agg(F.min("first").alias("first"))
+    return kept.select(F.struct(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")).alias("key"), F.col("first.many").alias("many"))
 
 
 def first_rows(docs: DataFrame, kept: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """The rows that column ``first`` of ``kept`` names by ``id`` and ``text_hash``, each once."""
-    kept = kept.select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    hashed = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("row_hash"), F.col(id_col).alias("row_id"))
-    stays = hashed.join(kept, hashed["row_id"].eqNullSafe(kept["kept_id"]) & (hashed["row_hash"] == kept["kept_hash"]), "left_semi")
-    return stays.dropDuplicates(["row_id", "row_hash"]).select("row.*")
+    """The rows whose id and text hash are a ``key`` of ``kept``, each key once; texts are exchanged once."""
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("row_key"))
+    met = lambda x: keyed.join(x.hint("shuffle_hash"), keyed["row_key"] == x["key"])
+    if kept.where("many").isEmpty():
+        return met(kept).select("row.*")
+    return met(kept.where("not many")).select("row.*").union(met(kept.where("many")).dropDuplicates(["row_key"]).select("row.*"))

@@ -78,3 +78,57 @@ def test_pairs_at_the_limit_share_a_key():
         total += 1
         found += bool((keys[0] == keys[1]).any() and resemblance.differing(sketch[0], sketch[1]) <= resemblance.DIFFER)
     assert found >= 0.99 * total
+
+
+def test_groups_come_whole_or_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for slab in (3, 8, 1000):
+        monkeypatch.setattr(resemblance, "SLAB", slab)
+        for _ in range(60):
+            keys = np.sort(np.array([rng.choice([-5, 0, 1, 2, 3, 9, 9, 9, 9, *range(20, 60)]) for _ in range(rng.randrange(80))], np.int64))
+            cuts = sorted(rng.randrange(len(keys) + 1) for _ in range(rng.randrange(8)))
+            parts = zip([0, *cuts], [*cuts, len(keys)])
+            batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.arange(a, b))], names=["key", "x"]) for a, b in parts]
+            got, wanted = {}, {k: np.flatnonzero(keys == k).tolist() for k in set(keys.tolist())}
+            for whole, (k, x) in resemblance._groups(iter(batches), ["key", "x"]):
+                assert len(set(k.tolist())) == 1 and (len(x) > 1 or not whole)
+                got.setdefault(int(k[0]), []).append((whole, x.tolist()))
+            for k, members in wanted.items():
+                if len(members) > 1:
+                    assert sorted(sum((x for _, x in got[k]), [])) == members
+                    assert [w for w, _ in got[k]] == ([True] if len(got[k]) == 1 and got[k][0][0] else [False] * len(got[k]))
+            assert {k for k, m in wanted.items() if len(m) > 1} >= {k for k, parts_ in got.items() if any(w for w, _ in parts_)}
+
+
+@pytest.mark.parametrize("side", [1 << 20, 4000])
+def test_large_group_of_nearly_alike_texts(spark, side, monkeypatch):
+    """Some 300 edited copies of one text, between 0.55 and 0.9 alike to one another, in one block and in many."""
+    monkeypatch.setattr(resemblance, "SIDE", side)
+    monkeypatch.setattr(resemblance, "OTHER", 2 * side)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(140)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 7])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    for _ in range(60):  # far from the base, so that most stay alone
+        words = list(base)
+        for _ in range(9):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join([*words[:-1], "z"])] if rng.random() < 0.5 else [" ".join(words)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["doc_id"] for r in resemblance.keep_one_alike(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(texts) and 1 < len(got) < 200
+
+
+def test_repeated_rows_and_unknown_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a + " c", "y"), (None, a, "z"), (None, b, "u"), (None, b, "u"), (5, None, "v"), (4, "", "w"), (None, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["row"]) for r in resemblance.keep_one_alike(docs).collect())
+    assert got == [(0, b, "u"), (1, a, "x"), (4, "", "w")]
