@@ -123,11 +123,11 @@ def best_assignment(values: np.ndarray) -> float:
     masks = np.arange(1 << n)
     rows = np.bitwise_count(masks)
     for row in range(n):
-        for mask in masks[rows == row]:
-            for column in range(n):
-                if not mask >> column & 1:
-                    wide = mask | 1 << column
-                    best[wide] = max(best[wide], best[mask] + values[row][column])
+        mine = masks[rows == row]
+        for column in range(n):  # a set grows by one column to one other set, so no two of ``wide`` are the same
+            free = mine[mine >> column & 1 == 0]
+            wide = free | 1 << column
+            best[wide] = np.maximum(best[wide], best[free] + values[row][column])
     return float(best[-1])
 
 
@@ -174,7 +174,7 @@ def by_split(split: Column, rule: Column, model: Column, test: str = "test") ->
     return F.when(split == test, rule).otherwise(model)
 
 
-#: Which scorer serves which data source, by exact name or by prefix.
+#: Which scorer serves which data source, by exact name or by prefix.
 ROUTES: list[tuple[str, bool, Score]] = [
     ("openai/gsm8k", False, hash_answer), ("lighteval/MATH", False, boxed_math), ("DigitalLearningGmbH/MATH-lighteval", False, boxed_math), ("HuggingFaceH4/MATH-500", False, boxed_math),
     ("math_dapo", False, named_answer), ("aime", True, named_answer), ("numina_", True, graded_math), ("hiyouga/geometry3k", False, geometry),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollsmith.functions.text import words
-from rollsmith.operators.ranking import quantiles
+from rollsmith.operators.ranking import quantiles, running_total
 
 
 #: The default tokenizer: runs without white space, none for a blank text.
@@ -88,10 +88,8 @@ def accuracy_band(df: DataFrame, score: str, length: str, uid: str, low: float,
     ok = F.col("_m").between(low, high) & (F.col("_l") < max_length - 1)
     kept = int(df.count() // oversample)
     # One row a group: as many groups as fill the rows wanted, those that pass first.
-    least = max(1, groups.agg(F.min("_n")).first()[0] or 1)
-    first = groups.withColumn("passed", ok).orderBy(F.col("passed").desc(), uid).limit(-(-kept // least))
-    order = Window.orderBy(F.col("passed").desc(), uid).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.join(first.withColumn("_upto", F.sum("_n").over(order)).where(F.col("_upto") <= kept).select(uid, "passed"), uid)
+    upto = running_total(groups.withColumn("passed", ok).select(uid, "passed", "_n"), [F.col("passed").desc(), F.col(uid)], "_n", "_upto")
+    return df.join(upto.where(F.col("_upto") <= kept).select(uid, "passed"), uid)
 
 
 def long_enough(df: DataFrame, text: str, least: int = 20, window: int = 150, needle: str | None = None) -> DataFrame:

@@ -10,18 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollsmith.functions.tokens import let
+from rollsmith.operators.ranking import group_quantiles
 
 
 def reward_summary(df: DataFrame, reward: str, by: list[str] = ()) -> DataFrame:
     """Count, mean, population deviation, ends, deciles of interest, and the zeros and perfect ones."""
     r = F.col(reward)
-    q = F.percentile(r, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     names = ["p10", "p25", "p50", "p75", "p90"]
     found = df.groupBy(*by).agg(
-        F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.min(r).alias("least"), F.max(r).alias("most"), q.alias("_q"),
+        F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.min(r).alias("least"), F.max(r).alias("most"),
         F.count_if(r == 0).alias("zeros"), F.avg((r == 0).cast("double")).alias("zero_ratio"), F.avg((r == 1).cast("double")).alias("perfect_ratio"),
     )
-    return found.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(names)}).drop("_q")
+    q = group_quantiles(df, list(by), reward, [0.1, 0.25, 0.5, 0.75, 0.9], "_q")
+    q = q.select(*[F.col(b).alias(f"_by_{b}") for b in by], "_q")
+    same = F.lit(True)
+    for b in by:
+        same = same & found[b].eqNullSafe(q[f"_by_{b}"])
+    both = found.join(q, same, "left")
+    return both.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(names)}).drop("_q", *[f"_by_{b}" for b in by])
 
 
 def round_record(df: DataFrame, reward: str, weight: str, length: str, kept: str, by: list[str]) -> DataFrame:
@@ -141,8 +147,12 @@ def best_worst(df: DataFrame, group: list[str], value: str, n: Column | str) ->
     return found.withColumn("best_std", std("best_mean", "_b2")).withColumn("worst_std", std("worst_mean", "_w2")).drop("_b2", "_w2")
 
 
-def validation_metrics(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
-    """``source, metric, score``: mean@N, std@N, best@n and worst@n of each prompt, averaged over prompts."""
+def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, *, vote: str | None = None, order: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """``source, metric, score``: mean@N, std@N, best@n and worst@n of each prompt, averaged over prompts.
+
+    With a column ``vote``, the majority's value in n draws as well (maj@n): it has no
+    closed form and is drawn ``draws`` times, seeded; ``order`` tells answers apart.
+    """
     group = [source, prompt]
     base = df.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     sizes = F.concat(F.expr("filter(transform(sequence(1, 20), k -> cast(pow(2, k) as bigint)), k -> k < n)"), F.array("n"))
@@ -150,8 +160,42 @@ def validation_metrics(df: DataFrame, source: str, prompt: str, value: str) -> D
     drawn = best_worst(spread, [*group, "k"], value, "k")
     name = lambda kind, k, stat: F.concat(F.lit(kind + "@"), k.cast("string"), F.lit(stat))
     simple = base.select(*group, F.explode(F.array(F.struct(name("mean", F.col("n"), "").alias("metric"), F.col("mean").alias("score")), F.struct(name("std", F.col("n"), "").alias("metric"), F.when(F.col("n") > 1, F.col("std")).alias("score")))).alias("m"))
-    extra = drawn.select(*group, F.explode(F.array(*[F.struct(name(a, F.col("k"), f"/{b}").alias("metric"), F.col(f"{a}_{b}").alias("score")) for a in ("best", "worst") for b in ("mean", "std")])).alias("m"))
-    return simple.union(extra).select(source, "m.*").where("score is not null").groupBy(source, "metric").agg(F.avg("score").alias("score"))
+    of = lambda rows, kinds: rows.select(*group, F.explode(F.array(*[F.struct(name(a, F.col("k"), f"/{b}").alias("metric"), F.col(f"{a}_{b}").alias("score")) for a in kinds for b in ("mean", "std")])).alias("m"))
+    found = simple.union(of(drawn, ("best", "worst")))
+    if vote:
+        found = found.union(of(majority_draws(df, group, value, vote, order or value, draws=draws, seed=seed), ("maj",)))
+    return found.select(source, "m.*").where("score is not null").groupBy(source, "metric").agg(F.avg("score").alias("score"))
+
+
+def _resampled(values: np.ndarray, votes: np.ndarray | None, n: int, draws: int, seed: int) -> np.ndarray:
+    """Best, worst and majority's value of each draw of ``n`` answers, in numpy's own sequence; a tied vote goes to the one drawn first."""
+    np.random.seed(seed)
+    out = np.full((draws, 3), np.nan)
+    for row in out:
+        at = np.random.choice(len(values), size=n, replace=True)
+        row[:2] = values[at].max(), values[at].min()
+        if votes is not None:
+            _, first, counts = np.unique(votes[at], return_index=True, return_counts=True)
+            row[2] = values[at[first[counts == counts.max()].min()]]
+    return out
+
+
+def majority_draws(df: DataFrame, group: list[str], value: str, vote: str, order: str, *, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """``group, k, maj_mean, maj_std`` for k = 2, 4, 8, ... below each group's number of answers, and that number.
+
+    A group is the answers to one prompt and is resampled whole.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        x, votes = rows[value].to_numpy(float), rows[vote].astype(str).to_numpy(str)
+        sizes = [2**e for e in range(1, 21) if 2**e < len(x)] + [len(x)] * (len(x) > 1)
+        stats = [(k, d.mean(), d.std()) for k in sizes for d in [_resampled(x, votes, k, draws, seed)[:, 2]]]
+        return pd.DataFrame([(*(rows[g].iloc[0] for g in group), *s) for s in stats], columns=[*group, "k", "maj_mean", "maj_std"])
+
+    kinds = dict(df.dtypes)
+    shape = ", ".join(f"{g} {kinds[g]}" for g in group) + ", k long, maj_mean double, maj_std double"
+    return df.select(*dict.fromkeys([*group, value, vote, order])).groupBy(*group).applyInPandas(one, shape)
 
 
 def bootstrap(df: DataFrame, group: str, value: str, n: int, *, draws: int = 1000, seed: int = 42, vote: str | None = None, order: str | None = None) -> DataFrame:
@@ -159,28 +203,17 @@ def bootstrap(df: DataFrame, group: str, value: str, n: int, *, draws: int = 100
 
     A group is the answers to one prompt; it is resampled whole, in numpy's own sequence.
     """
+    names = [f"{a}_{b}" for a in ("best", "worst", "maj") for b in ("mean", "std")]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order or value, kind="stable")
-        x = rows[value].to_numpy(float)
-        np.random.seed(seed)
-        best, worst, major = [], [], []
-        for _ in range(draws):
-            at = np.random.choice(len(x), size=n, replace=True)
-            best.append(x[at].max())
-            worst.append(x[at].min())
-            if vote:
-                votes = rows[vote].to_numpy(object)[at]
-                kinds, first, counts = np.unique(votes.astype(str), return_index=True, return_counts=True)
-                top = min((i for i in range(len(kinds)) if counts[i] == counts.max()), key=lambda i: first[i])
-                major.append(x[at[first[top]]])
-        out = {group: rows[group].iloc[0], "best_mean": np.mean(best), "best_std": np.std(best), "worst_mean": np.mean(worst), "worst_std": np.std(worst), "maj_mean": np.mean(major) if major else None, "maj_std": np.std(major) if major else None}
-        return pd.DataFrame([out])
+        found = _resampled(rows[value].to_numpy(float), rows[vote].astype(str).to_numpy(str) if vote else None, n, draws, seed)
+        stats = [f(found[:, i]) if vote or i < 2 else None for i in range(3) for f in (np.mean, np.std)]
+        return pd.DataFrame([(rows[group].iloc[0], *stats)], columns=[group, *names])
 
     kind = dict(df.dtypes)[group]
-    shape = f"{group} {kind}, " + ", ".join(f"{a}_{b} double" for a in ("best", "worst", "maj") for b in ("mean", "std"))
     columns = list(dict.fromkeys([group, value, *([vote] if vote else []), *([order] if order else [])]))
-    return df.select(*columns).groupBy(group).applyInPandas(one, shape)
+    return df.select(*columns).groupBy(group).applyInPandas(one, f"{group} {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def majority_value(df: DataFrame, group: list[str], vote: str, value: str, order: str) -> DataFrame:
@@ -262,13 +295,18 @@ def distinct_n(df: DataFrame, by: list[str], words: str, n: int) -> DataFrame:
 def self_bleu(df: DataFrame, by: list[str], key: str, words: str, n: int = 2) -> DataFrame:
     """Mean over texts of their n-gram precision, each gram clipped by its most frequent use in another text.
 
-    Only the text that uses a gram most is clipped, to the second most frequent use: two
-    numbers a gram, side by side in one ordering, replace comparing texts.
+    Only the text that uses a gram most is clipped, to the second most frequent use. So
+    each task passes on the two most frequent uses it has seen of a gram, however many
+    texts hold it, and what is cut is taken off the texts' numbers of grams.
     """
-    grams = df.select(*by, key, F.explode(ngrams(F.col(words), n)).alias("_gram")).groupBy(*by, key, "_gram").agg(F.count("*").alias("_uses"))
-    use = Window.partitionBy(*by, "_gram").orderBy(F.col("_uses").desc(), key)
-    clipped = F.when(F.row_number().over(use) == 1, F.least("_uses", F.coalesce(F.lead("_uses").over(use), F.lit(0)))).otherwise(F.col("_uses"))
-    per = grams.withColumn("_kept", clipped).groupBy(*by, key).agg((F.sum("_kept") / F.sum("_uses")).alias("_p"))
+    texts = df.select(*by, key, ngrams(F.col(words), n).alias("_grams"))
+    total = texts.groupBy(*by, key).agg(F.sum(F.size("_grams")).alias("_total")).where("_total > 0")
+    uses = texts.select(*by, key, F.explode("_grams").alias("_gram")).groupBy(*by, key, "_gram").agg(F.count("*").alias("_uses"))
+    order = Window.partitionBy(*by, "_gram").orderBy(F.col("_uses").desc(), key)
+    two = uses.withColumn("_place", F.row_number().over(order)).where("_place <= 2")
+    top = two.groupBy(*by, "_gram").agg(F.max(F.when(F.col("_place") == 1, F.struct(key, "_uses"))).alias("_top"), F.max(F.when(F.col("_place") == 2, F.col("_uses"))).alias("_second"))
+    cut = top.groupBy(*by, F.col("_top")[key].alias(key)).agg(F.sum(F.greatest(F.col("_top._uses") - F.coalesce("_second", F.lit(0)), F.lit(0))).alias("_cut"))
+    per = total.join(cut, [*by, key], "left").withColumn("_p", (F.col("_total") - F.coalesce("_cut", F.lit(0))) / F.col("_total"))
     return per.groupBy(*by).agg(F.avg("_p").alias("self_bleu"), F.count("*").alias("texts"))
 
 

@@ -36,6 +36,25 @@ def indexed(df: DataFrame, order: list, out: str = "index") -> DataFrame:
     return placed.withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_range", "_bucket", "_start", "_within")
 
 
+def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """Add the sum of ``value`` up to and with each row, in an explicit order.
+
+    Ranges of the order are summed each for itself; their sums, one for each range, are added up on the driver.
+    """
+    keys = [c if isinstance(c, Column) else F.col(c) for c in order]
+    path = scratch(df.sparkSession, "totals")
+    df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id().cast("long")).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    rows, total = [], 0
+    for part, s in sorted((r[0], r[1]) for r in dealt.groupBy("_range").agg(F.sum(value)).collect()):
+        rows.append((part, total))
+        total += s or 0
+    kind = dealt.agg(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    starts = df.sparkSession.createDataFrame(rows, f"_bucket bigint, _start {kind}")
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("_within", within).join(F.broadcast(starts), F.col("_range") == F.col("_bucket")).withColumn(out, F.col("_start") + F.col("_within")).drop("_range", "_bucket", "_start", "_within")
+
+
 def hash_ranked(df: DataFrame, order: Column, key: list[str], out: str = "_rank") -> tuple[DataFrame, int]:
     """Add each row's position in the order of a hash, ties by key; also the row count.
 
@@ -76,3 +95,27 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[fl
     found = numbered.join(F.broadcast(targets), (F.col("_range") == F.col("_part")) & (F.col("_row_of") == F.col("_row"))).select("rank", "v").collect()
     values = {r["rank"]: r["v"] for r in found}
     return [values[int(x)] + (values[min(int(x) + 1, n - 1)] - values[int(x)]) * (x - int(x)) for x in places]
+
+
+def group_quantiles(df: DataFrame, by: list[str], column: str, probabilities: list[float], out: str = "quantiles") -> DataFrame:
+    """``by`` and an array of exact quantiles of each group's values, linearly interpolated; a group may be a whole table.
+
+    Values are dealt by ranges of group and value and written once. The counts of a
+    group's ranges tell in which range and row each quantile lies; only those rows meet again.
+    """
+    path = scratch(df.sparkSession, "group-quantiles")
+    value = df.select(*by, F.col(column).cast("double").alias("v")).where("v is not null")
+    value.repartitionByRange(*by, "v").withColumn("_range", F.spark_partition_id().cast("long")).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    group = F.struct(F.lit(0).alias("_one"), *by).alias("g")
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("c"))
+    ahead = Window.partitionBy("g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.withColumn("start", F.coalesce(F.sum("c").over(ahead), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy("g")))
+    places = F.transform(F.array(*map(F.lit, probabilities)), lambda p: p * (F.col("n") - 1))
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    targets = parts.withColumn("rank", F.explode(ranks)).where("rank >= start and rank < start + c").select("g", "_range", "n", "rank", (F.col("rank") - F.col("start") + 1).alias("_row"))
+    numbered = dealt.select(group, "_range", "v").withColumn("_row", F.row_number().over(Window.partitionBy("_range", "g").orderBy("v")))
+    found = numbered.join(targets, ["g", "_range", "_row"]).groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    at = lambda k: F.element_at("at", k)
+    q = F.transform(F.array(*map(F.lit, probabilities)), lambda p: at(F.floor(p * (F.col("n") - 1))) + (at(F.ceil(p * (F.col("n") - 1))) - at(F.floor(p * (F.col("n") - 1)))) * (p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1))))
+    return found.select(*[F.col("g")[b].alias(b) for b in by], q.alias(out))

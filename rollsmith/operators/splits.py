@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollsmith.operators.ranking import BUCKETS, hash_ranked
+from rollsmith.operators.ranking import hash_ranked, indexed
 from rollsmith.operators.windows import hashed_order
 
+#: Copies that a piece of a row may expect in resampling.
+PIECE = 16
+
 
 def split_exact(df: DataFrame, fraction: float, key: list[str], seed: int = 42, rounding: str = "floor") -> DataFrame:
     """Tag rows ``train`` or ``val`` with an exact count, in an order fixed by seeded hash.
@@ -50,24 +55,49 @@ def weighted(df: DataFrame, score: str, method: str = "pow", power: float = 2.0)
     return scored.crossJoin(F.broadcast(total)).withColumn("probability", F.col("weight") / F.col("_sum")).drop("_sum")
 
 
+def _poisson(mean: Column, uniform: Column) -> Column:
+    """The number whose share of a Poisson distribution a uniform number falls into (means of at most ``PIECE``)."""
+
+    @F.pandas_udf("long")
+    def draw(means: pd.Series, numbers: pd.Series) -> pd.Series:
+        m, u = means.to_numpy(float), numbers.to_numpy(float)
+        found, term = np.zeros(len(m), np.int64), np.exp(-m)
+        total = term.copy()
+        for k in range(1, 8 * PIECE):
+            above = u >= total
+            if not above.any():
+                break
+            found[above] = k
+            term = term * m / k
+            total += term
+        return pd.Series(found)
+
+    return draw(mean, uniform)
+
+
 def resample(df: DataFrame, score: str, key: str, *, method: str = "pow", power: float = 2.0, seed: int = 42) -> DataFrame:
-    """As many rows as there are, drawn with replacement by weight (systematic positions, seeded).
+    """As many rows as there are, each drawn with replacement by weight, independently (seeded).
 
-    Each row's copies follow from where its stretch of the cumulative weight lies on a
-    grid of n points, so no draw is joined to a range: one pass of cumulative sums over
-    buckets of the key's hash.
+    Numbers of copies that are Poisson by weight are, given their sum, those of that many
+    independent draws, and of these any fixed number chosen at random is again such a
+    sample. So every row draws its own number, a little too high in all, and the draws of
+    lowest hash stay: no draw is joined to a range, and no task sees all rows. A row that
+    expects many copies draws in pieces. Rows that repeat a key and all else draw alike.
     """
-    drawn = weighted(df, score, method, power).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BUCKETS)))
-    starts, n, at = [], 0, 0.0
-    for b, total, count in sorted(map(tuple, drawn.groupBy("_b").agg(F.sum("probability"), F.count("*")).collect())):
-        starts.append((b, at))
-        at += total
-        n += count
-    offset = ((seed * 2654435761) % 1000003) / 1000003
-    placed = drawn.join(F.broadcast(df.sparkSession.createDataFrame(starts, "_bucket bigint, _start double")), F.col("_b") == F.col("_bucket"))
-    end = F.col("_start") + F.sum("probability").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    copies = F.floor(end * n + offset) - F.floor((end - F.col("probability")) * n + offset)
-    return placed.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("_b", "_bucket", "_start", "copies")
+    drawn = weighted(df, score, method, power)
+    n = drawn.count()
+    if not n:
+        return drawn.withColumn("copy", F.lit(1).cast("long"))
+    wanted = n + 8 * math.sqrt(n) + 16
+    while True:
+        mean = F.col("probability") * wanted
+        pieces = drawn.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(mean / PIECE), F.lit(1)) - 1)))
+        number = _poisson(mean / F.greatest(F.ceil(mean / PIECE), F.lit(1)), F.pmod(F.xxhash64(key, "_piece", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52)))
+        copies = pieces.withColumn("_copies", number).where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).drop("_copies")
+        ranked, total = hash_ranked(copies, F.xxhash64(key, "_piece", "_copy", F.lit(seed + 1)), [key, "_piece", "_copy"])
+        if total >= n:
+            return ranked.where(F.col("_rank") < n).withColumn("copy", F.row_number().over(Window.partitionBy(key).orderBy("_piece", "_copy")).cast("long")).drop("_piece", "_copy", "_rank")
+        wanted *= 1.1  # eight standard deviations below the mean: draw more
 
 
 def sampler_order(df: DataFrame, kind: str, key: list[str], *, seed: int = 0, difficulty: str | None = None) -> DataFrame:
@@ -82,6 +112,6 @@ def sampler_order(df: DataFrame, kind: str, key: list[str], *, seed: int = 0, di
 
 
 def top_up(existing: DataFrame, more: DataFrame, target: int, order: list) -> DataFrame:
-    """Existing rows, filled up from ``more`` to the target number."""
+    """Existing rows, filled up from ``more`` to the target number, in an explicit order that no one task sorts."""
     lack = max(0, target - existing.count())
-    return existing.unionByName(more.orderBy(*order).limit(lack))
+    return existing.unionByName(indexed(more, order, "_index").where(F.col("_index") < lack).drop("_index"))

@@ -53,15 +53,8 @@ def p17(t: Tables) -> DataFrame:
     return B.fold(one, ["r_regionkey", "r_name"], 1 << 30).select(F.array_join(F.col("r_regionkey").cast("array<string>"), ",").alias("r_regionkey"), F.array_join("r_name", ",").alias("r_name"))
 
 
-@query("u1_concat", """SELECT event_id AS pos, value FROM events WHERE event_id < 300
-UNION ALL SELECT 300 + row_number() OVER (ORDER BY event_id) - 1, value FROM events WHERE event_id >= 500 AND event_id < 700""")
+@query("u1_concat", "SELECT event_id AS pos, value FROM events UNION ALL SELECT (SELECT count(*) FROM events) + event_id, value FROM events")
 def u1(t: Tables) -> DataFrame:
-    rows = t.events.select(F.col("event_id").alias("pos"), "value")
-    return B.concat([rows.where("pos < 300"), rows.where("pos >= 500 and pos < 700").withColumn("pos", F.col("pos") - 500)])
-
-
-@query("u1_concat_whole", "SELECT event_id AS pos, value FROM events UNION ALL SELECT (SELECT count(*) FROM events) + event_id, value FROM events")
-def u1_whole(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("event_id").alias("pos"), "value")
     return B.concat([rows, rows])
 
@@ -129,13 +122,8 @@ def u9b(t: Tables) -> DataFrame:
     return B.unpad(B.pad_to_divisor(t.events.select(F.col("event_id").alias("pos"), "value"), 64))
 
 
-@query("u10_mini_batches", "SELECT epoch::INT AS epoch, event_id // 50 AS batch, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT * FROM events WHERE event_id < 1000), (SELECT unnest(range(3)) AS epoch) GROUP BY ALL")
+@query("u10_mini_batches", "SELECT epoch::INT AS epoch, event_id // 50 AS batch, count(*) AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest(range(3)) AS epoch) GROUP BY ALL")
 def u10(t: Tables) -> DataFrame:
-    return B.mini_batches(_batch(t).where("pos < 1000"), 50, 3).groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
-@query("u10_mini_batches_whole", "SELECT epoch::INT AS epoch, event_id // 50 AS batch, count(*) AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest(range(3)) AS epoch) GROUP BY ALL")
-def u10_whole(t: Tables) -> DataFrame:
     return B.mini_batches(_batch(t), 50, 3).groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -181,9 +169,10 @@ def u14(t: Tables) -> DataFrame:
     return S.weighted(t.events.select("event_id", "value"), "value").select("event_id", F.round("probability", 12).alias("probability"))
 
 
-@query("u14_resample", "SELECT count(*) AS n FROM events")
+@query("u14_resample")
 def u14b(t: Tables) -> DataFrame:
-    return S.resample(t.events.select("event_id", "value"), "value", "event_id").agg(F.count("*").alias("n"))
+    drawn = S.resample(t.events.select("event_id", "value"), "value", "event_id")
+    return drawn.groupBy("event_id").agg(F.count("*").alias("copies"), F.round(F.first("probability"), 12).alias("probability"))
 
 
 @query("u20_curriculum_sampler", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)::INT AS place FROM orders")
@@ -194,15 +183,9 @@ def u20(t: Tables) -> DataFrame:
     return keyed.select("o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("order_key")).alias("place"))
 
 
-@query("t7_top_up", "SELECT event_id, value FROM events WHERE event_id < 40 UNION ALL (SELECT event_id, value FROM events WHERE event_id >= 40 ORDER BY value DESC, event_id LIMIT 60)")
-def t7(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", "value")
-    return S.top_up(rows.where("event_id < 40"), rows.where("event_id >= 40"), 100, [F.col("value").desc(), "event_id"])
-
-
-@query("t7_top_up_whole", """SELECT event_id, value FROM events WHERE event_id % 3 = 0 UNION ALL (SELECT event_id, value FROM events WHERE event_id % 3 <> 0
+@query("t7_top_up", """SELECT event_id, value FROM events WHERE event_id % 3 = 0 UNION ALL (SELECT event_id, value FROM events WHERE event_id % 3 <> 0
 QUALIFY row_number() OVER (ORDER BY value DESC, event_id) <= (SELECT count(*) // 2 - count(*) FILTER (event_id % 3 = 0) FROM events))""")
-def t7_whole(t: Tables) -> DataFrame:
+def t7(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "value")
     return S.top_up(rows.where("event_id % 3 = 0"), rows.where("event_id % 3 <> 0"), rows.count() // 2, [F.col("value").desc(), "event_id"])
 
@@ -211,9 +194,9 @@ def _lengths(t: Tables) -> DataFrame:
     return t.orders.select(F.expr("o_orderkey div 512").alias("batch"), F.col("o_orderkey").alias("pos"), F.floor(F.col("o_totalprice") / 100).alias("length"))
 
 
-@query("u15_balanced_parts", "SELECT o_orderkey // 512 AS batch, sum(floor(o_totalprice / 100))::BIGINT AS tokens, count(*) AS n FROM orders GROUP BY 1")
+@query("u15_balanced_parts")
 def u15(t: Tables) -> DataFrame:
-    return L.partition(_lengths(t), "batch", "pos", "length", 8).groupBy("batch").agg(F.sum("length").alias("tokens"), F.count("*").alias("n"))
+    return L.partition(_lengths(t), "batch", "pos", "length", 8).groupBy("batch", "part").agg(F.sum("length").alias("tokens"), F.count("*").alias("n"))
 
 
 @query("u16_greedy_parts")

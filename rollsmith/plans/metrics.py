@@ -120,6 +120,12 @@ def a14(t: Tables) -> DataFrame:
     return rounded(M.validation_metrics(rows, "source", "prompt", "v"), 5)
 
 
+@query("a14_majority_metrics")
+def a14_majority(t: Tables) -> DataFrame:
+    rows = t.conversations.select("conv_id", "turn", "role", F.length("text").cast("double").alias("v"), (F.col("conv_id") % 3).alias("source"))
+    return rounded(M.validation_metrics(rows, "source", "conv_id", "v", vote="role", order="turn", draws=100), 5)
+
+
 @query("a15_bootstrap")
 def a15(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", "role", F.length("text").cast("double").alias("v"))

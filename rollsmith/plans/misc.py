@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from rollsmith.functions import registry as G
 from rollsmith.functions import scorers as R
 from rollsmith.functions import text as X
 from rollsmith.functions import tokens as T
+from rollsmith.operators import advantage as A
+from rollsmith.operators import managers
 from rollsmith.operators import misc as M
 from rollsmith.operators import windows as W
+from rollsmith.operators.losses import gpg_loss
+from rollsmith.operators.ranking import indexed
 from rollsmith.plans.advantage import token_arrays, token_rows
 from rollsmith.plans.metrics import rounded
 from rollsmith.plans.registry import TOKENS_SQL, Tables, query
@@ -134,6 +140,21 @@ def e1(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(mine.get("shifted", by=0.25)(F.col("value")), 9).alias("score"))
 
 
+@query("e2_reward_managers", """SELECT 'naive' AS manager, count(*) AS n, sum((event_id % 3 = 0)::INT)::DOUBLE AS total FROM events UNION ALL SELECT 'batch', count(*), sum(length(event_type))::DOUBLE FROM events
+UNION ALL SELECT 'prime', count(*), sum(CASE WHEN event_id % 3 = 0 THEN user_id ELSE 0 END)::DOUBLE FROM events
+UNION ALL SELECT 'dapo', count(*), round(sum(1 + least(-(event_id % 100 - 80) / 20.0 * 0.5, 0)), 6) FROM events""")
+def e2(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("answer", F.concat(F.lit("#### "), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).otherwise(-1))).withColumn("length", F.col("event_id") % 100).withColumn("source", F.lit("openai/gsm8k")).withColumn("truth", F.col("user_id").cast("string"))
+    number = F.when(F.col("event_id") % 3 == 0, F.col("truth")).otherwise("no number")
+    found = {
+        "naive": managers.managed("naive", rows, source="source", solution="answer", truth="truth"),
+        "batch": managers.managed("batch", rows, solution="event_type", truth="truth", score=lambda a, b: [float(len(x)) for x in a]),
+        "prime": managers.managed("prime", rows.withColumn("truth", number), solution="answer", truth="truth", score=lambda a, b: float(b)),
+        "dapo": managers.managed("dapo", rows, score=F.lit(1.0), length="length", most=100, buffer=20, factor=0.5),
+    }
+    return reduce(DataFrame.union, [rows.agg(F.lit(name).alias("manager"), F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total")) for name, rows in found.items()])
+
+
 @query("e3_struct_scores", "SELECT event_id, (user_id % 2)::DOUBLE AS score, event_type || '!' AS note FROM events")
 def e3(t: Tables) -> DataFrame:
     score = G.guarded(lambda a, b: {"score": float(int(b) % 2), "note": a + "!"}, {"score": "double", "note": "string"})
@@ -151,6 +172,34 @@ def e5(t: Tables) -> DataFrame:
     return t.events.select("event_id", G.batched(lambda a, b: [float(len(x)) for x in a])(F.col("event_type"), F.lit("")).alias("score"))
 
 
+def _refused(register, *arguments) -> bool:
+    try:
+        register(*arguments)
+    except ValueError:
+        return True
+    return False
+
+
+@query("e6_loss_and_estimator_registries", f"""WITH {TOKENS_SQL} SELECT 'gpg' AS name, round(sum(-lp * (reward - 0.5) * mask) / (sum(mask) + 1e-8), 9) AS loss, false AS same_refused, true AS other_refused FROM tok
+UNION ALL SELECT 'twice', round(2 * sum(-lp * (reward - 0.5) * mask) / (sum(mask) + 1e-8), 9), false, true FROM tok""")
+def e6(t: Tables) -> DataFrame:
+    rows, mine = token_rows(t).withColumn("advantage", F.col("reward") - 0.5), G.Registry("loss")
+    twice = mine.register("twice", lambda tokens, by: gpg_loss(tokens).withColumn("loss", F.col("loss") * by))
+    mine.register("gpg", gpg_loss)
+    found = [("gpg", gpg_loss, mine.get("gpg")(rows)), ("twice", twice, mine.get("twice", by=2)(rows))]
+    estimators = _refused(A.register("grpo"), A.grpo), _refused(A.register("grpo"), A.rloo)
+    refused = lambda name, own: (F.lit(_refused(mine.register, name, own) or estimators[0]).alias("same_refused"), F.lit(_refused(mine.register, name, rounded) and estimators[1]).alias("other_refused"))
+    return rounded(reduce(DataFrame.union, [loss.select(F.lit(name).alias("name"), "loss", *refused(name, own)) for name, own, loss in found]), 9)
+
+
+@query("e7_custom_source_and_sampler", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O'")
+def e7(t: Tables) -> DataFrame:
+    sources, samplers = G.Registry("source"), G.Registry("sampler")
+    sources.register("orders_by_status", lambda tables, status: tables.orders.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_totalprice"))
+    samplers.register("cheap_first", lambda rows: indexed(rows, ["o_totalprice", "o_orderkey"], "place").withColumn("place", F.col("place") + 1))
+    return samplers.get("cheap_first")(sources.get("orders_by_status", status="O")(t)).select("o_orderkey", "place")
+
+
 @query("t3_sorted_steps", "SELECT n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS place FROM nation")
 def t3(t: Tables) -> DataFrame:
     from rollsmith.operators.ranking import indexed
@@ -208,14 +257,8 @@ def s13(t: Tables) -> DataFrame:
     return g.groupBy(F.floor(F.col("game_id") / 4).alias("grp")).agg(F.count_distinct(F.to_json("table")).alias("states"), F.count("*").alias("n"))
 
 
-@query("r17_library_verifier", "SELECT event_id, CASE WHEN false THEN 1.0 END::DOUBLE AS score FROM events WHERE event_id < 50")
+@query("r17_library_verifier", "SELECT event_id, CASE WHEN false THEN 1.0 END::DOUBLE AS score FROM events")
 def r17(t: Tables) -> DataFrame:
-    rows = t.events.where("event_id < 50")
-    return rows.select("event_id", R.library_verified(F.col("event_type"), F.col("event_type")).alias("score"))
-
-
-@query("r17_library_verifier_whole", "SELECT event_id, CASE WHEN false THEN 1.0 END::DOUBLE AS score FROM events")
-def r17_whole(t: Tables) -> DataFrame:
     return t.events.select("event_id", R.library_verified(F.col("event_type"), F.col("event_type")).alias("score"))
 
 

@@ -41,27 +41,15 @@ def p8(t: Tables) -> DataFrame:
     return rows.select("n_nationkey", F.size("choices").alias("choices"), (F.element_at("choices", at) == F.col("n_name")).alias("found"))
 
 
-@query("p9_search_records", "SELECT 'searchR1_' || source AS data_source, 'Q: ' || left(text, 40) AS content, doc_id AS index, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS truth FROM documents")
+@query("p9_search_records", "SELECT 'searchR1_' || source AS data_source, 'Q: ' || text AS content, doc_id AS index, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS truth FROM documents")
 def p9(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "source", F.left("text", F.lit(40)).alias("q"), F.when(F.col("doc_id") % 2 == 0, F.array("lang")).alias("truth"), F.array("source").alias("golds"))
-    found = R.search_records(rows, question="q", truth=F.col("truth"), golds=F.col("golds"), source="source", index="doc_id", split="test", system="s", prefix="Q: ")
-    return found.select("data_source", F.col("prompt")[1]["content"].alias("content"), F.col("extra_info.index").alias("index"), F.col("extra_info.tools_kwargs.search.create_kwargs.ground_truth")[0].alias("truth"))
-
-
-@query("p9_search_records_whole", "SELECT 'searchR1_' || source AS data_source, 'Q: ' || text AS content, doc_id AS index, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS truth FROM documents")
-def p9_whole(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "source", F.col("text").alias("q"), F.when(F.col("doc_id") % 2 == 0, F.array("lang")).alias("truth"), F.array("source").alias("golds"))
     found = R.search_records(rows, question="q", truth=F.col("truth"), golds=F.col("golds"), source="source", index="doc_id", split="test", system="s", prefix="Q: ")
     return found.select("data_source", F.col("prompt")[1]["content"].alias("content"), F.col("extra_info.index").alias("index"), F.col("extra_info.tools_kwargs.search.create_kwargs.ground_truth")[0].alias("truth"))
 
 
-@query("p10_cleaned", "SELECT item_id, replace(regexp_replace(replace(trim('  ' || left(text, 30) || ' [title] x [note] y  z '), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS text FROM benchmark")
+@query("p10_cleaned", "SELECT item_id, replace(regexp_replace(replace(trim('  ' || text || ' [title] x [note] y  z '), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS text FROM benchmark")
 def p10(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", X.cleaned(F.concat(F.lit("  "), F.left("text", F.lit(30)), F.lit(" [title] x [note] y  z "))).alias("text"))
-
-
-@query("p10_cleaned_whole", "SELECT item_id, replace(regexp_replace(replace(trim('  ' || text || ' [title] x [note] y  z '), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS text FROM benchmark")
-def p10_whole(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.cleaned(F.concat(F.lit("  "), "text", F.lit(" [title] x [note] y  z "))).alias("text"))
 
 
@@ -103,10 +91,11 @@ def p16(t: Tables) -> DataFrame:
     return R.game_prompts(tables.withColumn("best", F.lit(0.0)), "n_regionkey", "table", "best").select("n_regionkey", F.col("prompt")[0]["content"].alias("content"))
 
 
-@query("p19_table_view", "SELECT vec_id, ',A,B;r1,' || CASE WHEN embedding[1] > 0 THEN trunc(embedding[1]::DOUBLE * 250)::INT::VARCHAR ELSE '' END || ',' || CASE WHEN embedding[2] > 0 THEN trunc(embedding[2]::DOUBLE * 250)::INT::VARCHAR ELSE '' END AS view FROM embeddings")
+@query("p19_table_view", """SELECT vec_id, ',A,B,C,D,E,F,G,H' || array_to_string(list_transform(range(8), lambda r: ';r' || (r + 1) || ',' || array_to_string(
+list_transform(embedding[r * 8 + 1 : r * 8 + 8], lambda x: CASE WHEN x > 0 THEN trunc(x::DOUBLE * 250)::INT::VARCHAR ELSE '' END), ',')), '') AS view FROM embeddings""")
 def p19(t: Tables) -> DataFrame:
-    cells = F.array(F.slice(F.col("embedding").cast("array<double>"), 1, 2))
-    view = R.table_view(cells, F.transform(cells, lambda r: F.transform(r, lambda v: (v > 0).cast("int"))), F.lit(250.0), ["A", "B"], ["r1"])
+    cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(F.col("embedding").cast("array<double>"), r * 8 + 1, F.lit(8)))
+    view = R.table_view(cells, F.transform(cells, lambda r: F.transform(r, lambda v: (v > 0).cast("int"))), F.lit(250.0), list("ABCDEFGH"), [f"r{i}" for i in range(1, 9)])
     return t.embeddings.select("vec_id", F.array_join(F.transform(view, lambda r: F.array_join(r, ",")), ";").alias("view"))
 
 

@@ -6,7 +6,7 @@ them they are put together from table columns, by the same rule on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollsmith.functions import scorers as R
@@ -111,10 +111,23 @@ def x14(t: Tables) -> DataFrame:
     return s.select("conv_id", "turn", X.last_tagged("s").alias("answer"), X.count_of("s", "<answer>").alias("opened"))
 
 
-@query("x15_last_boxed", "SELECT event_id, '\\frac{' || event_id || '}{' || user_id || '}' AS boxed FROM events")
+def _by_shape(shapes: list) -> Column:
+    """One of several texts, by the event's number."""
+    return F.element_at(F.array(*shapes), (F.col("event_id") % len(shapes) + 1).cast("int"))
+
+
+@query("x15_last_boxed", r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '\frac{' || event_id || '}{' || user_id || '}' WHEN 1 THEN '{a}{' || event_id || '}' WHEN 2 THEN NULL WHEN 3 THEN event_id::VARCHAR WHEN 4 THEN event_type WHEN 5 THEN NULL END AS boxed FROM events""")
 def x15(t: Tables) -> DataFrame:
-    s = F.concat(F.lit("first \\boxed{1}, then $\\boxed{\\frac{"), "event_id", F.lit("}{"), "user_id", F.lit("}}$ {unbalanced"))
-    return t.events.select("event_id", X.last_boxed(s).alias("boxed"))
+    e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    shapes = [
+        F.concat(F.lit("first \\boxed{1}, then $\\boxed{\\frac{"), e, F.lit("}{"), u, F.lit("}}$ {unbalanced")),
+        F.concat(F.lit("\\boxed{{a}{"), e, F.lit("}} and }} more")),
+        F.concat(F.lit("never closed \\boxed{{"), e, F.lit("}")),
+        F.concat(F.lit("$\\boxed "), e, F.lit("$ is all")),
+        F.concat(F.lit("framed \\fbox{"), F.col("event_type"), F.lit("}.")),
+        F.concat(F.lit("no box, "), e),
+    ]
+    return t.events.select("event_id", X.last_boxed(_by_shape(shapes)).alias("boxed"))
 
 
 @query("x16_final_answer", "SELECT event_id, 'frac{1}{2}+' || event_id AS answer FROM events")
@@ -127,70 +140,37 @@ def x16b(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.latex_form(F.concat(F.lit("k="), "event_id", F.lit("/"), "user_id")).alias("form"))
 
 
-@query("x17_tool_calls", "SELECT event_id, 1 AS calls, 'search' AS name, user_id::VARCHAR AS argument, 'go  on' AS content FROM events")
+@query("x17_tool_calls", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS calls, CASE event_id % 4 WHEN 0 THEN 'search' WHEN 1 THEN event_type END AS name,
+CASE event_id % 4 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN event_id::VARCHAR END AS argument, CASE event_id % 4 WHEN 0 THEN 'go  on' WHEN 1 THEN event_type || chr(10) WHEN 2 THEN 'plain ' || user_id ELSE '<tool_call>open ' || event_id END AS content FROM events""")
 def x17(t: Tables) -> DataFrame:
-    s = F.concat(F.lit('go <tool_call>{"name": "search", "arguments": {"q": '), "user_id", F.lit("}}</tool_call><tool_call>{broken</tool_call> on"))
-    calls, rest = X.tool_calls(s)
+    e, u, kind = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")
+    shapes = [
+        F.concat(F.lit('go <tool_call>{"name": "search", "arguments": {"q": '), u, F.lit("}}</tool_call><tool_call>{broken</tool_call> on")),
+        F.concat(F.lit('<tool_call>\n{"name": "'), kind, F.lit('", "arguments": {"q": "'), e, F.lit('"}}\n</tool_call>'), kind, F.lit('\n<tool_call>{"arguments": {}, "name": "b"}</tool_call>')),
+        F.concat(F.lit('<tool_call>{"name": "no arguments"}</tool_call>plain '), u),
+        F.concat(F.lit("<tool_call>open "), e),
+    ]
+    calls, rest = X.tool_calls(_by_shape(shapes))
     return t.events.select("event_id", F.size(calls).alias("calls"), F.get(calls, F.lit(0))["name"].alias("name"), F.get_json_object(F.get(calls, F.lit(0))["arguments"], "$.q").alias("argument"), rest.alias("content"))
 
 
-@query("x18_fenced_code", "SELECT event_id, 'print(' || event_id || ')' AS code FROM events")
+@query("x18_fenced_code", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'print(' || event_id || ')' WHEN 1 THEN chr(10) || 'x = ' || user_id || chr(10) WHEN 2 THEN 'only ' || event_type ELSE chr(10) || 'y = ' || event_id END AS code FROM events")
 def x18(t: Tables) -> DataFrame:
-    return t.events.select("event_id", X.fenced_code(F.concat(F.lit("see ```python\nx``` and ```python"), F.lit("print("), "event_id", F.lit(")``` done"))).alias("code"))
-
-
-@query("x19_first_choice", "SELECT event_id, (['A', 'B', 'C', 'D', NULL])[1 + event_id % 5] AS choice FROM events")
-def x19(t: Tables) -> DataFrame:
-    letter = F.element_at(F.array(*map(F.lit, "ABCDx")), (F.col("event_id") % 5 + 1).cast("int"))
-    return t.events.select("event_id", X.first_choice(F.concat(F.lit("So\nanswer: $"), letter, F.lit("$ not Answer: E"))).alias("choice"))
-
-
-@query("x20_turns_by_marks", "SELECT conv_id, greatest(count(*) FILTER (role = 'assistant'), count(*) FILTER (role = 'user')) AS turns FROM conversations GROUP BY conv_id")
-def x20(t: Tables) -> DataFrame:
-    roles = t.conversations.groupBy("conv_id").agg(F.array_join(F.collect_list("role"), " ").alias("s"))
-    return roles.select("conv_id", X.turns_by_marks("s").alias("turns"))
-
-
-@query("x21_ngrams", "SELECT conv_id, turn, greatest(len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) - 2, 0)::INT AS n FROM conversations")
-def x21(t: Tables) -> DataFrame:
-    from rollsmith.operators.metrics import ngrams
-
-    return t.conversations.select("conv_id", "turn", F.size(ngrams(X.words("text"), 3)).alias("n"))
-
-
-@query("r1_routed_score", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 ELSE (event_id % 2 = 0)::INT::DOUBLE END AS score FROM events")
-def r1(t: Tables) -> DataFrame:
-    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("event_id") % 4 + 1).cast("int"))
-    n = F.col("event_id").cast("string")
-    solution = F.concat(pick("#### ", "so \\boxed{", "Answer: no", "\\boxed{x"), F.when(F.col("event_id") % 4 == 2, F.lit("")).otherwise(n), pick("", "}", "", "}"))
-    return t.events.select("event_id", R.routed(pick("openai/gsm8k", "lighteval/MATH", "aime_2024", "HuggingFaceH4/MATH-500"), solution, n).alias("score"))
-
-
-@query("r2_hash_score", f"SELECT event_id, CASE WHEN replace(list_extract(regexp_extract_all(s, '#### (-?[0-9.,]+)', 1), -1), ',', '') = (user_id * 49)::VARCHAR THEN 1.0 ELSE 0.1 END AS score FROM (SELECT event_id, user_id, {SOLVED_SQL} AS s FROM events)")
-def r2(t: Tables) -> DataFrame:
-    return _events(t, s=SOLVED, truth="cast(user_id * 49 as string)").select("event_id", R.hash_answer(F.col("s"), F.col("truth"), format_score=0.1).alias("score"))
-
-
-@query("r3_boxed_score", "SELECT event_id, (event_id % 3 = 0)::INT::DOUBLE AS score FROM events")
-def r3(t: Tables) -> DataFrame:
-    solution = F.concat(F.lit("thus $\\boxed{\\dfrac12 + \\left("), (F.col("event_id") % 3).cast("string"), F.lit("\\right)}$"))
-    return t.events.select("event_id", R.boxed_math(solution, F.lit("\\frac{1}{2}+(0)")).alias("score"))
-
-
-@query("r4_named_answer", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE -1.0 END AS score, CASE WHEN event_id % 4 = 1 THEN 1.0 ELSE -1.0 END AS strict FROM events")
-def r4(t: Tables) -> DataFrame:
-    n = (F.col("event_id") % 4).cast("string")
-    return t.events.select("event_id", R.named_answer(F.concat(F.lit("answer: 7\nAnswer: $1,00"), n, F.lit("$ dollars")), F.lit("1000")).alias("score"), R.strict_box(F.concat(F.lit("\\boxed{"), n, F.lit("}")), F.lit("1")).alias("strict"))
-
-
-QA_SQL = """SELECT doc_id, {0} AS score FROM (SELECT doc_id, {1} AS a, (SELECT list({2}) FROM benchmark WHERE item_id < 3) AS g FROM documents)"""
+    e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    shapes = [
+        F.concat(F.lit("see ```python\nx``` and ```python"), F.lit("print("), e, F.lit(")``` done")),
+        F.concat(F.lit("```sh\nls\n``` then ```python\nx = "), u, F.lit("\n```")),
+        F.concat(F.lit("only "), F.col("event_type")),
+        F.concat(F.lit("```python\ny = "), e),
+    ]
+    return t.events.select("event_id", X.fenced_code(_by_shape(shapes)).alias("code"))
 
 
-@query("r5_exact_match", "SELECT item_id, (item_id < 3)::INT::DOUBLE AS score FROM benchmark")
+@query("r5_exact_match", "SELECT item_id, (item_id % 2 = 0)::INT::DOUBLE AS score FROM benchmark")
 def r5(t: Tables) -> DataFrame:
-    golds = t.benchmark.where("item_id < 3").agg(F.collect_list("text").alias("golds"))
-    rows = t.benchmark.crossJoin(F.broadcast(golds)).withColumn("s", F.concat(F.lit("<answer>no</answer><answer>The "), "text", F.lit("</answer>")))
-    return rows.select("item_id", R.exact_match(F.col("s"), F.col("golds")).alias("score"))
+    golds = F.array(F.lit("another"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" more"))))
+    s = F.concat(F.lit("<answer>no</answer><answer>The "), "text", F.lit("</answer>"))
+    return t.benchmark.select("item_id", R.exact_match(s, golds).alias("score"))
 
 
 @query("r6_contains_match", f"SELECT doc_id, (contains({NORMAL_SQL.format('text')}, 'and of') OR contains({NORMAL_SQL.format('text')}, 'de la'))::INT::DOUBLE AS score FROM documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -9,9 +11,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the session's spark.checkpoint.dir; a temporary folder only where none is set."""
+    """A new path below the session's spark.checkpoint.dir; a temporary folder only where none is set on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='rollsmith-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _own(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/rollsmith-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@functools.cache
+def _own(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='rollsmith-')}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -291,3 +292,129 @@ def test_ranks_and_quantiles_of_whole_tables(spark):
     known = [v for _, v in rows if v is not None]
     assert quantiles(df, "v", [0.0, 0.1, 0.5, 0.99, 1.0]) == pytest.approx(np.quantile(known, [0.0, 0.1, 0.5, 0.99, 1.0]).tolist())
     assert quantiles(df.where("k < 0"), "v", [0.5]) == [None] and indexed(df.where("k < 0"), ["k"]).count() == 0
+
+
+def test_majority_metrics(spark):
+    rows = [(1, "p", i, 0.8 + i / 10, v) for i, v in enumerate("ABA")] + [(1, "q", 0, 0.5, "A")]
+    df = spark.createDataFrame(rows, "source int, prompt string, pos int, v double, pred string")
+    got = {r["metric"]: r["score"] for r in M.validation_metrics(df, "source", "prompt", "v", vote="pred", order="pos", draws=2000).collect()}
+    assert {"maj@2/mean", "maj@2/std", "maj@3/mean", "best@2/mean"} <= set(got) and "maj@1/mean" not in got
+    # All 27 equally likely draws of three, a tied vote to the one drawn first.
+    exact = []
+    for at in itertools.product(range(3), repeat=3):
+        votes = ["ABA"[i] for i in at]
+        top = max(votes.count(v) for v in votes)
+        exact.append(0.8 + next(i for i, v in zip(at, votes) if votes.count(v) == top) / 10)
+    assert got["maj@3/mean"] == pytest.approx(np.mean(exact), abs=0.01) and got["maj@3/std"] == pytest.approx(np.std(exact), abs=0.01)
+
+
+def test_bootstrap_follows_its_seed(spark):
+    values = [3.0, 1.0, 2.0, 5.0]
+    df = spark.createDataFrame([(7, i, v) for i, v in enumerate(values)], "g int, pos int, v double")
+    r = M.bootstrap(df, "g", "v", 2, draws=50, seed=42, order="pos").first()
+    np.random.seed(42)
+    drawn = [np.array(values)[np.random.choice(4, size=2, replace=True)] for _ in range(50)]
+    assert r["best_mean"] == pytest.approx(np.mean([d.max() for d in drawn])) and r["worst_std"] == pytest.approx(np.std([d.min() for d in drawn])) and r["maj_mean"] is None
+
+
+def test_resample_draws_independently(spark):
+    n = 3000
+    df = spark.createDataFrame([(i, 40.0 if i == 0 else 0.0 if i % 2 else 1.0) for i in range(n)], "k int, v double")
+    copies = np.zeros((6, n), int)
+    for seed in range(6):
+        for r in S.resample(df.repartition(seed + 1), "v", "k", seed=seed).groupBy("k").agg(F.count("*").alias("c"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")).collect():
+            copies[seed, r["k"]] = r["c"]
+            assert r["c"] == r["d"] == r["m"]
+    assert (copies.sum(axis=1) == n).all() and not copies[:, 1::2].any()
+    weight = 1600 / (1600 + n / 2 - 1)
+    assert abs(copies[:, 0].mean() - n * weight) < 5 * np.sqrt(n * weight * (1 - weight) / 6)
+    rest = copies[:, 2::2]  # each of these expects about one copy: as often none as in independent draws
+    mean = n * (1 - weight) / (n / 2 - 1)
+    assert rest.mean() == pytest.approx(mean, abs=0.05) and rest.var() == pytest.approx(mean, rel=0.15)
+    assert sorted(r["k"] for r in S.resample(df, "v", "k", seed=3).collect()) == sorted(r["k"] for r in S.resample(df.repartition(9), "v", "k", seed=3).collect())
+    assert S.resample(df.where("k < 0"), "v", "k").count() == 0
+
+
+def plain_differencing(lengths, k):
+    """The same rule on lists: the two states of widest spread are joined, largest set to smallest."""
+    states = [[(n, ((i, n),)), *[(0, ())] * (k - 1)] for i, n in sorted(enumerate(lengths), key=lambda x: (x[1], x[0]))]
+    rank = lambda s: (s[0], len(s[1]), s[1])
+    serial = list(range(len(states)))
+    while len(states) > 1:
+        best = sorted(range(len(states)), key=lambda i: (states[i][0][0] - states[i][-1][0], rank(states[i][0])), reverse=True)[:2]
+        a, b = (states[i] for i in best)
+        joined = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=rank, reverse=True)
+        states = [s for i, s in enumerate(states) if i not in best] + [joined]
+        serial = [s for i, s in enumerate(serial) if i not in best] + [max(serial) + 1]
+    return [s[0] for s in states[0]]
+
+
+def test_balanced_parts_follow_the_rule(spark):
+    rng = random.Random(8)
+    rows, wanted = [], {}
+    for b in range(3):
+        lengths = [rng.choice([5, 5, 9, rng.randint(1, 500)]) for _ in range(60)]
+        rows += [(b, i, n) for i, n in enumerate(lengths)]
+        wanted[b] = sorted(plain_differencing(lengths, 5))
+    df = spark.createDataFrame(rows, "batch int, pos int, length int")
+    for b, sums in wanted.items():
+        got = L.partition(df, "batch", "pos", "length", 5).where(F.col("batch") == b).groupBy("part").agg(F.sum("length").alias("s")).collect()
+        assert sorted(r["s"] for r in got) == sums
+    greedy = {r["pos"]: r["part"] for r in L.partition(df, "batch", "pos", "length", 5, method="greedy").where("batch = 0").collect()}
+    sums = [0] * 5
+    for _, i, n in rows[:60]:
+        assert sums[greedy[i]] == min(sums)
+        sums[greedy[i]] += n
+
+
+def test_best_assignments_by_brute_force():
+    from rollsmith.functions.scorers import best_assignment
+    from rollsmith.sources.games import game
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 6):
+        v = rng.normal(size=(n, n)) * 50
+        assert best_assignment(v) == pytest.approx(max(sum(v[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(n))))
+    g = game(11)
+    known = np.where((np.array(g["mask1"]) | np.array(g["mask2"])) > 0, np.array(g["table"]), 50.0)
+    assert g["best"] == pytest.approx(max(sum(known[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(5))))
+    assert best_assignment(rng.normal(size=(14, 14))) > 0
+
+
+def test_seeded_choices(spark):
+    from rollsmith.operators import losses
+    from rollsmith.operators import windows as W
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(200)], "k int, v double")
+    pick = lambda seed: {r["k"] for r in W.sample_band(df.repartition(seed), "v", 20.0, 80.0, 15, ["k"], seed).collect()}
+    assert len(pick(1)) == 15 and pick(1) == pick(1) != pick(2) and all(20 <= k <= 80 for k in pick(1) | pick(2))
+    places = {seed: [r["k"] for r in df.orderBy(W.hashed_order(["k"], seed), "k").collect()] for seed in (1, 2)}
+    assert places[1] != places[2] and sorted(places[1]) == list(range(200)) and places[1] != list(range(200))
+    rng = np.random.default_rng(1)
+    adv, lp = rng.normal(size=400) * 2, rng.normal(size=400)
+    old = lp + rng.normal(size=400) * 0.05
+    tokens = spark.createDataFrame([(i, float(a), float(x), float(o), 1) for i, (a, x, o) in enumerate(zip(adv, lp, old))], "t int, advantage double, lp double, old_lp double, mask int")
+    got = sorted(losses.clip_cov(tokens, ["t"], ratio=0.02).collect(), key=lambda r: r["t"])
+    cov = (adv - adv.mean()) * (lp - lp.mean())
+    out = [r["t"] for r in got if r["corr"] == 0]
+    ratio = np.exp(lp - old)
+    plain = np.maximum(-adv * ratio, -adv * np.clip(ratio, 0.8, 1.2))
+    assert len(out) == 8 and all(1 < cov[i] < 5 for i in out)
+    assert [r["loss"] for r in got] == pytest.approx([0.0 if i in out else plain[i] for i in range(400)])
+
+
+def test_group_quantiles_and_running_totals(spark):
+    from rollsmith.operators.ranking import group_quantiles, running_total
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), rng.choice([None, float("nan"), 0.5, rng.random()]), i) for i in range(600)] + [("none", None, 600)]
+    df = spark.createDataFrame([(g, None if v is None or v != v else v, i) for g, v, i in rows], "g string, v double, i int").repartition(9)
+    got = {r["g"]: r["q"] for r in group_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 1.0], "q").collect()}
+    for g in {"a", "b", None, "hot"}:
+        values = [v for h, v, _ in rows if h == g and v is not None and v == v]
+        assert got[g] == pytest.approx(np.quantile(values, [0.0, 0.1, 0.5, 1.0]).tolist())
+    assert "none" not in got and group_quantiles(df, [], "v", [0.5], "q").count() == 1
+    total = {r["i"]: r["s"] for r in running_total(df.select("i"), [F.col("i").desc()], "i", "s").collect()}
+    assert all(total[i] == sum(range(i, 601)) for i in (0, 5, 300, 600))
+    summary = {r["g"]: r["p50"] for r in M.reward_summary(df, "v", ["g"]).collect()}
+    assert summary["none"] is None and summary[None] == pytest.approx(got[None][2])
