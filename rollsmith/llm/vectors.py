@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from rollsmith.llm.common import frugal, materialize
 
-#: Rows of a shard and of a block of queries; bytes of blocks that a task holds; tasks of the grid for each partition.
-SHARD, BLOCK, HELD, SPREAD = 2048, 512, 32 << 20, 3
+#: Rows of a shard and of a block of queries; bytes of blocks that a task holds.
+SHARD, BLOCK, HELD = 2048, 512, 32 << 20
 _PACKED = "shard int, ids binary, vectors binary, width int"
 
 
@@ -147,15 +147,14 @@ def search(index: DataFrame, shards: int, queries: DataFrame, run: Callable, k:
     together = max(1, HELD // (BLOCK * 8 * max(width or 1, 64)))
     columns = max(1, -(-n // together))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = max(1, min(shards, -(-SPREAD * partitions // columns)))
+    rows = max(1, min(shards, -(-partitions // columns)))
     send = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)).alias("cell")
     part = F.xxhash64("ids") if columns > 1 else F.lit(0)
     held = blocks.select(F.lit(0).alias("kind"), "shard", "ids", "vectors", "width", F.pmod(part, F.lit(columns)).alias("column"))
     held = held.select("kind", "shard", "ids", "vectors", "width", send(rows, lambda r: F.col("column") * rows + r)).drop("column")
     streamed = index.withColumn("kind", F.lit(1)).select("*", send(columns, lambda c: c * rows + F.col("shard") % rows))
-    streamed = streamed.withColumn("cell", F.col("cell").cast("long"))
-    met = streamed.unionByName(held.withColumn("cell", F.col("cell").cast("long")), allowMissingColumns=True)
-    met = met.repartition(min(columns * rows, SPREAD * partitions), "cell").sortWithinPartitions("cell", "kind", "shard")
+    met = streamed.withColumn("cell", F.col("cell").cast("int")).unionByName(held.withColumn("cell", F.col("cell").cast("int")), allowMissingColumns=True)
+    met = met.repartitionById(columns * rows, F.col("cell")).sortWithinPartitions("kind", "shard")
 
     kind, dtype = (pa.int64(), np.int64) if score == "long" else (pa.float64(), np.float64)
 
