@@ -13,6 +13,7 @@ from rollsmith.llm.common import id_remainder, table
 from rollsmith.llm.html import extract_text
 from rollsmith.llm.language import fit_language_model, predict_language
 from rollsmith.llm.licenses import scan_licenses
+from rollsmith.llm.manifest import audit
 from rollsmith.llm.maxscore import exact_search
 from rollsmith.llm.mixing import mix_report
 from rollsmith.llm.packing import pack_documents
@@ -108,6 +109,58 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(id_remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return audit(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], {"text": tampered})
+
+
+def _crc32_is_even(text: str) -> str:
+    """DuckDB SQL: 2 divides the CRC-32 of an ASCII text; four bits a step by the table of the reversed polynomial."""
+    steps = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(f"{value}::UBIGINT")
+    step = lambda c, b: f"xor({c} >> 4, [{', '.join(steps)}][((xor({c}, {b}) & 15) + 1)::BIGINT])"
+    digits = f"list_transform(str_split({text}, ''), lambda d: ascii(d)::UBIGINT)"
+    return f"list_reduce(list_prepend(4294967295::UBIGINT, {digits}), lambda c, b: {step('(' + step('c', 'b') + ')', '(b >> 4)')}) & 1 = 1"
+
+
+def _op11_sql(levels: int = 16) -> str:
+    """The tree level by level: a part of one node stays as it is; ``levels`` are enough for 3 ** levels rows a source."""
+    told = lambda x: f"coalesce(strlen(({x})::VARCHAR)::VARCHAR || ':' || ({x})::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(told, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def tree(name: str) -> list[str]:
+        made = []
+        for k in range(1, levels + 1):
+            made.append(f"{name}{k} AS (SELECT part, pos // 3 AS pos, CASE WHEN first(n) = 1 THEN first(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, (first(n) + 2) // 3 AS n FROM {name}{k - 1} GROUP BY part, pos // 3)")
+        side = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY part, pos // 3 ORDER BY pos ROWS BETWEEN {frame}), '')"
+        steps = [f"SELECT {k} AS level, part, pos, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{k} WHERE n > 1" for k in range(levels)]
+        return [*made, f"{name}_steps AS ({' UNION ALL '.join(steps)})"]
+
+    even = _crc32_is_even("doc_id::VARCHAR")
+    return f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS part, {leaf("text")} AS h, CASE WHEN {even} THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS found FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaves
+), t0 AS (SELECT part, pos, h, count(*) OVER (PARTITION BY part) AS n FROM placed), {", ".join(tree("t"))},
+u0 AS (SELECT '' AS part, row_number() OVER (ORDER BY part) - 1 AS pos, h, count(*) OVER () AS n, part AS name FROM t{levels}), {", ".join(tree("u"))},
+steps AS (
+  SELECT r.part, r.pos, s.level, s.l, s.r FROM placed r JOIN t_steps s ON s.part = r.part AND s.pos = r.pos // (3 ** s.level)::BIGINT
+  UNION ALL SELECT r.part, r.pos, 1000 + s.level, s.l, s.r FROM placed r JOIN u0 ON u0.name = r.part JOIN u_steps s ON s.pos = u0.pos // (3 ** s.level)::BIGINT
+), proofs AS (
+  SELECT r.part, r.pos, coalesce(list({{'l': s.l, 'r': s.r}} ORDER BY s.level) FILTER (s.level IS NOT NULL), []) AS proof FROM placed r LEFT JOIN steps s ON s.part = r.part AND s.pos = r.pos GROUP BY r.part, r.pos
+), folded AS (
+  SELECT r.doc_id, r.h AS leaf, t.h AS subroot, u.h AS root, sha256(array_to_string(list_transform(proof, lambda s: s.l || s.r), '')) AS proof_sha256,
+    list_reduce(list_prepend({{'l': r.found, 'r': ''}}, proof), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root
+  FROM placed r JOIN proofs p ON p.part = r.part AND p.pos = r.pos JOIN t{levels} t ON t.part = r.part CROSS JOIN u{levels} u
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scan": op2_license_scan,
@@ -119,9 +172,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op3_exact_search": OP3_SQL,
+    "op11_merkle_manifest": _op11_sql(),
 }
