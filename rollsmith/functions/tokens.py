@@ -140,30 +140,67 @@ def place_terminal(reward: Name, mask: Name) -> Column:
     return let(n, lambda k: F.transform(_c(mask), lambda _, i: F.when(i == k - 1, _c(reward).cast("double")).otherwise(0.0)))
 
 
+def affine_tails(cells: Column) -> Column:
+    """For cells ``f, a`` of x[t] = a[t] + f[t] * x[t + 1], each cell joined with all behind it.
+
+    Two cells join to (f * f', a + f * a'), which is associative, so the reach of every cell
+    doubles in each pass: n log n steps for n cells, and no array grows by appending. Behind
+    the end x is 0, so ``a`` of the result is x; ``f`` is what a value behind the end counts.
+    """
+    shifts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda d: d < F.size(cells))
+
+    def doubled(reach: Column, d: Column) -> Column:
+        joined = lambda c, o: F.struct((c["f"] * F.coalesce(o["f"], F.lit(1.0))).alias("f"), (c["a"] + c["f"] * F.coalesce(o["a"], F.lit(0.0))).alias("a"))
+        return F.transform(reach, lambda c, i: joined(c, F.get(reach, i + d)))
+
+    return F.aggregate(shifts, cells, doubled)
+
+
+def _cells(factor: Column, addend: Column) -> Column:
+    return F.struct(factor.cast("double").alias("f"), addend.cast("double").alias("a"))
+
+
+def affine_scan(cells: Column) -> Column:
+    """x[t] = a[t] + f[t] * x[t + 1] for cells ``f, a``, from the end of a sequence."""
+    return F.transform(let(cells, affine_tails), lambda c: c["a"])
+
+
+def affine_scan_segments(segments: DataFrame, cells: str, seq: str = "seq", segment: str = "segment", out: str = "x") -> DataFrame:
+    """``affine_scan`` of sequences that lie in several rows, in order of ``segment``: a sequence may be longer than a row holds.
+
+    Every segment is scanned for itself; only its joined cell, two numbers, meets those of the
+    other segments of its sequence, whose scan gives what each segment's end goes on with.
+    """
+    scanned = segments.withColumn("_tails", let(F.col(cells), affine_tails))
+    first = scanned.select(seq, F.struct(segment, F.coalesce(F.get("_tails", F.lit(0))["f"], F.lit(1.0)).alias("f"), F.coalesce(F.get("_tails", F.lit(0))["a"], F.lit(0.0)).alias("a")).alias("c"))
+    whole = first.groupBy(seq).agg(F.sort_array(F.collect_list("c")).alias("_s"))
+    starts = affine_scan(F.transform("_s", lambda c: _cells(c["f"], c["a"])))
+    behind = whole.select(seq, "_s", starts.alias("_x")).select(seq, F.posexplode("_s").alias("_i", "_c"), "_x").select(seq, F.col("_c")[segment].alias(segment), F.coalesce(F.get("_x", F.col("_i") + 1), F.lit(0.0)).alias("_behind"))
+    return scanned.join(behind, [seq, segment]).withColumn(out, F.transform("_tails", lambda c: c["a"] + c["f"] * F.col("_behind"))).drop("_tails", "_behind")
+
+
 def reverse_scan(values: Name, mask: Name, gamma: float, reset: bool) -> Column:
     """Discounted sums from each token to the end; with ``reset`` a masked-out token ends what follows it."""
-    pairs = F.reverse(F.arrays_zip(_c(values).alias("x"), _c(mask).alias("m")))
-    zero = F.struct(F.lit(0.0).alias("run"), F.expr("cast(array() as array<double>)").alias("out"))
+    kept = lambda i: F.lit(gamma) * F.coalesce(F.get(_c(mask), i + 1).cast("double"), F.lit(0.0)) if reset else F.lit(gamma)
+    return affine_scan(F.transform(_c(values), lambda x, i: _cells(kept(i), x)))
 
-    def step(a: Column, p: Column) -> Column:
-        run = p["x"].cast("double") + gamma * a["run"]
-        return F.struct((run * p["m"].cast("double") if reset else run).alias("run"), F.concat(a["out"], F.array(run)).alias("out"))
 
-    return F.reverse(F.aggregate(pairs, zero, step, lambda a: a["out"]))
+def gae(rewards: Name, values: Name, mask: Name, gamma: float, lam: float) -> Column:
+    """Generalised advantage estimates; a masked-out token passes on what follows it unchanged.
 
+    Two scans: the value of the next token that counts, and the estimates.
+    """
+    following = affine_scan(F.zip_with(_c(values), _c(mask), lambda v, m: F.when(m == 0, _cells(F.lit(1.0), F.lit(0.0))).otherwise(_cells(1 - m, v * m))))
 
-def gae(rewards: Name, values: Name, mask: Name, gamma: float, lam: float) -> Column:
-    """Generalised advantage estimates; a masked-out token passes on what follows it unchanged."""
-    cells = F.reverse(F.arrays_zip(_c(rewards).alias("r"), _c(values).alias("v"), _c(mask).alias("m")))
-    zero = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.expr("cast(array() as array<double>)").alias("out"))
+    def estimates(known: Column) -> Column:
+        def cell(c: Column, i: Column) -> Column:
+            m = c["m"].cast("double")
+            delta = c["r"] + gamma * F.coalesce(F.get(known, i + 1), F.lit(0.0)) - c["v"]
+            return F.when(m == 0, _cells(F.lit(1.0), F.lit(0.0))).otherwise(_cells(m * gamma * lam + 1 - m, m * delta))
 
-    def step(a: Column, p: Column) -> Column:
-        m = p["m"].cast("double")
-        now = p["r"] + gamma * a["next"] - p["v"] + gamma * lam * a["last"]
-        last = now * m + (1 - m) * a["last"]
-        return F.struct((p["v"] * m + (1 - m) * a["next"]).alias("next"), last.alias("last"), F.concat(a["out"], F.array(last)).alias("out"))
+        return affine_scan(F.transform(F.arrays_zip(_c(rewards).alias("r"), _c(values).alias("v"), _c(mask).alias("m")), cell))
 
-    return F.reverse(F.aggregate(cells, zero, step, lambda a: a["out"]))
+    return let(following, estimates)
 
 
 def logsumexp(logits: Name) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rollsmith.functions.tokens import let
 from rollsmith.operators.ranking import group_quantiles
+from rollsmith.operators.votes import majority_expected
 
 
 def reward_summary(df: DataFrame, reward: str, by: list[str] = ()) -> DataFrame:
@@ -147,11 +148,11 @@ def best_worst(df: DataFrame, group: list[str], value: str, n: Column | str) ->
     return found.withColumn("best_std", std("best_mean", "_b2")).withColumn("worst_std", std("worst_mean", "_w2")).drop("_b2", "_w2")
 
 
-def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, *, vote: str | None = None, order: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, *, vote: str | None = None, order: str | None = None, draws: int | None = None, seed: int = 42) -> DataFrame:
     """``source, metric, score``: mean@N, std@N, best@n and worst@n of each prompt, averaged over prompts.
 
-    With a column ``vote``, the majority's value in n draws as well (maj@n): it has no
-    closed form and is drawn ``draws`` times, seeded; ``order`` tells answers apart.
+    With a column ``vote``, the majority's value in n draws as well (maj@n), exactly from the
+    counts of votes; or drawn ``draws`` times, seeded, where ``order`` tells answers apart.
     """
     group = [source, prompt]
     base = df.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
@@ -163,7 +164,8 @@ def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, *, v
     of = lambda rows, kinds: rows.select(*group, F.explode(F.array(*[F.struct(name(a, F.col("k"), f"/{b}").alias("metric"), F.col(f"{a}_{b}").alias("score")) for a in kinds for b in ("mean", "std")])).alias("m"))
     found = simple.union(of(drawn, ("best", "worst")))
     if vote:
-        found = found.union(of(majority_draws(df, group, value, vote, order or value, draws=draws, seed=seed), ("maj",)))
+        majority = majority_draws(df, group, value, vote, order or value, draws=draws, seed=seed) if draws else majority_expected(df, group, value, vote)
+        found = found.union(of(majority, ("maj",)))
     return found.select(source, "m.*").where("score is not null").groupBy(source, "metric").agg(F.avg("score").alias("score"))
 
 

@@ -228,3 +228,11 @@ def a33(t: Tables) -> DataFrame:
 @query("t6_micro_batch_order", f"SELECT batch, part, work, first, row_number() OVER (PARTITION BY batch ORDER BY work DESC, first DESC)::INT AS place FROM (SELECT batch, part, sum(length * length)::BIGINT AS work, min(pos) AS first FROM ({SERPENTINE_SQL}) GROUP BY ALL)")
 def t6(t: Tables) -> DataFrame:
     return L.micro_batch_order(L.serpentine(_lengths(t), "batch", "pos", "length", 8), ["batch"], "part", "length", "pos")
+
+
+@query("u15_tree_parts", "SELECT count(*) AS n, sum(floor(o_totalprice / 100))::BIGINT AS tokens, 8::BIGINT AS parts, true AS close FROM orders")
+def u15_tree(t: Tables) -> DataFrame:
+    """All orders as one batch in eight parts, whose sums differ by less than the largest length."""
+    rows = t.orders.select(F.lit(0).alias("batch"), F.col("o_orderkey").alias("pos"), F.floor(F.col("o_totalprice") / 100).alias("length"))
+    parts = L.partition_tree(rows, "batch", "pos", "length", 8, chunk=1024, fan_in=4).groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.max("length").alias("most"))
+    return parts.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.count("*").alias("parts"), (F.max("tokens") - F.min("tokens") < F.max("most")).alias("close"))

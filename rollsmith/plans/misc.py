@@ -22,6 +22,7 @@ from rollsmith.plans.metrics import rounded
 from rollsmith.plans.registry import TOKENS_SQL, Tables, query
 from rollsmith.sources import games
 from rollsmith.sources.scratch import scratch
+from rollsmith.streaming import commits
 from rollsmith.streaming import streams as Z
 
 
@@ -225,7 +226,7 @@ def z3(t: Tables) -> DataFrame:
     path, rows = scratch(t.spark, "arrivals"), t.events.select("event_id", "value")
     rows.repartitionByRange(3, "event_id").write.parquet(path)
     done = scratch(t.spark, "consumed")
-    Z.pipelined(Z.source(t.spark, path, rows.schema, 1), "steps", lambda b: b.where("value is not null"), lambda b, n: b.write.mode("append").parquet(done))
+    commits.one_ahead(Z.source(t.spark, path, rows.schema, 1), "steps", lambda b: b.where("value is not null"), lambda b, n: commits.write_number(b, done, n))
     return t.spark.read.parquet(done).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -16,6 +16,8 @@ from rollsmith.sources import readers as S
 from rollsmith.sources import sinks as K
 from rollsmith.sources.scratch import scratch
 from rollsmith.streaming import streams as Z
+from rollsmith.streaming.commits import step_log
+from rollsmith.streaming.groups import closing_state, gather_closing
 
 
 def _messages(t: Tables) -> DataFrame:
@@ -344,7 +346,20 @@ def z4(t: Tables) -> DataFrame:
     return Z.drain(Z.gather_groups(stream, "user_id", "value", 8), "groups").select("user_id", "group", F.size("values").alias("n"))
 
 
+@query("z4_closed_groups", """WITH e AS (SELECT user_id, event_id, epoch_ms(ts::TIMESTAMP) AS t, value FROM events), w AS (SELECT max(t) - 600000 AS mark FROM e),
+b AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 28800000, true)::INT AS first FROM e), l AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY t, event_id) AS life FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id, life ORDER BY t, event_id) - 1 AS i, min(t) OVER (PARTITION BY user_id, life) AS start, max(t) OVER (PARTITION BY user_id, life) AS last FROM l)
+SELECT user_id, start, i // 4 AS "group", count(*)::INTEGER AS n, round(sum(value), 4) AS total, count(*) = 4 AS complete FROM p, w GROUP BY user_id, life, start, last, i // 4, mark
+HAVING last + 28800000 <= mark OR count(*) = 4 AND max(t) <= mark""")
+def z4_closed(t: Tables) -> DataFrame:
+    stream = _stream(t).select("user_id", "event_id", "value", "ts")
+    with closing_state(t.spark):
+        found = Z.drain(gather_closing(stream, "user_id", "value", "event_id", "ts", size=4, gap="8 hours"), "closed")
+    total = F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4)
+    return found.select("user_id", F.unix_millis("start").alias("start"), "group", F.size("values").alias("n"), total.alias("total"), "complete")
+
+
 @query("z5_rolling_log", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def z5(t: Tables) -> DataFrame:
-    log = Z.rolling_log(_stream(t), "episodes", lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+    log = step_log(_stream(t), "episodes", lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
     return log.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))

@@ -1,8 +1,8 @@
-"""Structured streaming: arrival rates, groups gathered across batches, rolling logs, pipelined steps.
+"""Structured streaming: arrival rates, sessions, groups gathered across batches.
 
 ``drain`` runs a stream over what is there and stops; sinks and checkpoints lie in the
-shared folder. The rates and sessions below a watermark are extensions; the others are
-streaming forms of batch operators.
+shared folder. The rates and sessions below a watermark are extensions. Step logs and pipelined
+steps are in ``commits``, groups of keys that end in ``groups``.
 """
 
 from __future__ import annotations
@@ -61,31 +61,6 @@ def gather_groups(stream: DataFrame, uid: str, value: str, size: int) -> DataFra
     return stream.groupBy(uid).applyInPandasWithState(update, f"{uid} {kind}, group bigint, values array<double>", "held array<double>, done bigint", "append", "NoTimeout")
 
 
-def rolling_log(stream: DataFrame, name: str, summarize: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A log of what each micro-batch summed up to, with the batch's number."""
-    spark = stream.sparkSession
-    path = scratch(spark, f"{name}-log")
-    drain_batches(stream, name, lambda batch, number: summarize(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path))
-    return spark.read.parquet(path)
-
-
-def pipelined(stream: DataFrame, name: str, prepare: Callable[[DataFrame], DataFrame], consume: Callable[[DataFrame, int], None]) -> None:
-    """One step ahead: a batch is prepared while the one before it is consumed."""
-    waiting: list[tuple[DataFrame, int]] = []
-
-    def each(batch: DataFrame, number: int) -> None:
-        path = scratch(batch.sparkSession, f"{name}-{number}")
-        prepare(batch).write.parquet(path)
-        ready = batch.sparkSession.read.parquet(path)
-        if waiting:
-            consume(*waiting.pop())
-        waiting.append((ready, number))
-
-    drain_batches(stream, name, each)
-    for ready, number in waiting:
-        consume(ready, number)
-
-
 def sessions(stream: DataFrame, time: str, keys: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
     """Sessions of a key: rows closer in time than the gap."""
     found = stream.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
