@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -10,35 +11,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def majority_moments(counts: np.ndarray, means: np.ndarray, squares: np.ndarray, n: int) -> tuple[float, float]:
-    """Mean and deviation of the majority's value in ``n`` draws with replacement.
+@functools.lru_cache(1 << 12)
+def winning_chances(counts: tuple[int, ...], n: int) -> tuple[float, ...]:
+    """For votes of ``counts`` answers, how likely each wins ``n`` draws with replacement.
 
-    Votes have ``counts`` answers each, whose values have ``means`` and mean ``squares``. The winner
-    is the vote drawn most often, of several the one drawn first, and its value that of its first
-    answer drawn: any of the vote's answers alike. Votes drawn equally often are alike to be first.
-
-    For each height m a table runs over the votes: how many draws are used, how many votes
-    stand at m (the others below), with the chance of it and the sums of values of those at
-    m. Draws are taken as independent counts of Poisson's law, held to n in all at the end.
+    The winner is the vote drawn most often, of several the one drawn first; votes drawn equally
+    often are alike to be first. For each height m a table runs over the votes: how many draws are
+    used, how many votes stand at m (the others below), with the chance of it, and how many votes
+    of each count are among those at m. Draws are taken as independent counts of Poisson's law,
+    held to n in all at the end.
     """
-    rate = n * counts / counts.sum()
+    kinds, kind = np.unique(counts, return_inverse=True)
+    rate = n * np.array(counts, float) / sum(counts)
     drawn = np.arange(n + 1)
     factorials = np.concatenate(([0.0], np.cumsum(np.log(np.maximum(drawn[1:], 1)))))
     chance = np.exp(-rate[:, None] + drawn * np.log(rate)[:, None] - factorials)
     gap = drawn[None, :] - drawn[:, None]
-    found = np.zeros(2)
+    found = np.zeros(len(kinds))
     for m in range(1, n + 1):
-        table = np.zeros((3, n // m + 1, n + 1))
+        table = np.zeros((1 + len(kinds), n // m + 1, n + 1))
         table[0, 0, 0] = 1
-        for c, mean, square in zip(chance, means, squares):
-            below = np.where((gap >= 0) & (gap < m), c[np.clip(gap, 0, n)], 0.0)
-            at = np.stack((table[0], table[1] + table[0] * mean, table[2] + table[0] * square))
-            table = table @ below
+        for c, k in zip(chance, kind):
+            at = table.copy()
+            at[1 + k] += table[0]
+            table = table @ np.where((gap >= 0) & (gap < m), c[np.clip(gap, 0, n)], 0.0)
             table[:, 1:, m:] += c[m] * at[:, :-1, : n + 1 - m]
-        ties = np.arange(1, n // m + 1)
-        found += (table[1:, 1:, n] / ties).sum(axis=1)
-    mean, square = found / math.exp(-n + n * math.log(n) - factorials[n])
-    return float(mean), math.sqrt(max(square - mean * mean, 0.0))
+        found += (table[1:, 1:, n] / np.arange(1, n // m + 1)).sum(axis=1)
+    each = found / np.bincount(kind) / math.exp(-n + n * math.log(n) - factorials[n])
+    return tuple(each[kind].tolist())
+
+
+def majority_moments(counts: list[int], means: list[float], squares: list[float], n: int) -> tuple[float, float]:
+    """Mean and deviation of the majority's value in ``n`` draws: that of the winner's first answer drawn, any of the vote's answers alike.
+
+    Votes have ``counts`` answers, in ascending order, whose values have ``means`` and mean ``squares``.
+    """
+    chances = winning_chances(tuple(int(c) for c in counts), n)
+    mean, square = (sum(p * v for p, v in zip(chances, values)) for values in (means, squares))
+    return float(mean), math.sqrt(max(float(square) - float(mean) ** 2, 0.0))
 
 
 def majority_expected(df: DataFrame, group: list[str], value: str, vote: str, sizes: list[int] | None = None) -> DataFrame:
@@ -52,8 +62,8 @@ def majority_expected(df: DataFrame, group: list[str], value: str, vote: str, si
     def moments(cells: pd.Series) -> pd.Series:
         out = []
         for votes in cells:
-            counts, means, squares = (np.array([v[key] for v in votes], float) for key in ("c", "mean", "square"))
-            answers = int(counts.sum())
+            counts, means, squares = ([v[key] for v in votes] for key in ("c", "mean", "square"))
+            answers = int(sum(counts))
             ks = sizes or [2**e for e in range(1, 21) if 2**e < answers] + [answers] * (answers > 1)
             out.append([(k, *majority_moments(counts, means, squares, k)) for k in ks])
         return pd.Series(out)

@@ -82,7 +82,7 @@ NESTED = [
     ("\\left( «a», {\\text{b}}\\right)", "(«a»,{\\text{b}})"),
     ("«a»\\text{ cm}", "«a»"),
     ("«a»/«b»", "\\frac{«a»}{«b»}"),
-    (".«a»\\%", "0.«a»"),
+    (".«a + 10»\\%", "0.«a + 10»"),
     ("2^{\\frac\\pi«a % 9»} ", "2^{\\frac{\\pi}{«a % 9»}}"),
     ("{{«a»}", "{{«a»}"),
     (None, None),

@@ -127,16 +127,16 @@ def a14_majority(t: Tables) -> DataFrame:
     return rounded(M.validation_metrics(rows, "source", "conv_id", "v", vote="role", order="turn", draws=100), 5)
 
 
-@query("a14_majority_exact", """WITH x AS (SELECT l_orderkey AS prompt, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, l_shipmode AS vote, l_quantity AS v FROM lineitem),
+@query("a14_majority_exact", """WITH x AS (SELECT l_orderkey AS prompt, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, l_returnflag AS vote, l_quantity AS v FROM lineitem),
 three AS (SELECT a.prompt, 3 AS k, CASE WHEN b.vote = c.vote AND b.vote <> a.vote THEN b.v ELSE a.v END AS won FROM x a JOIN x b USING (prompt) JOIN x c USING (prompt)),
 four AS (SELECT a.prompt, 4 AS k, CASE greatest((b.vote = a.vote)::INT + (c.vote = a.vote)::INT + (d.vote = a.vote)::INT, (c.vote = b.vote)::INT + (d.vote = b.vote)::INT, (d.vote = c.vote)::INT)
   WHEN (b.vote = a.vote)::INT + (c.vote = a.vote)::INT + (d.vote = a.vote)::INT THEN a.v WHEN (c.vote = b.vote)::INT + (d.vote = b.vote)::INT THEN b.v ELSE c.v END AS won
   FROM x a JOIN x b USING (prompt) JOIN x c USING (prompt) JOIN x d USING (prompt))
-SELECT prompt, k::BIGINT AS k, round(avg(won), 6) AS maj_mean, round(stddev_pop(won), 4) AS maj_std FROM (SELECT * FROM three UNION ALL SELECT * FROM four) GROUP BY ALL""")
+SELECT prompt, k::BIGINT AS k, round(avg(won), 9) AS maj_mean, round(stddev_pop(won), 4) AS maj_std FROM (SELECT * FROM three UNION ALL SELECT * FROM four) GROUP BY ALL""")
 def a14_exact(t: Tables) -> DataFrame:
     """Every sequence of three and four draws from an order's lines is enumerated on the other side."""
-    rows = t.lineitem.select(F.col("l_orderkey").alias("prompt"), "l_shipmode", "l_quantity")
-    return majority_expected(rows, ["prompt"], "l_quantity", "l_shipmode", [3, 4]).select("prompt", "k", F.round("maj_mean", 6).alias("maj_mean"), F.round("maj_std", 4).alias("maj_std"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("prompt"), "l_returnflag", "l_quantity")
+    return majority_expected(rows, ["prompt"], "l_quantity", "l_returnflag", [3, 4]).select("prompt", "k", F.round("maj_mean", 9).alias("maj_mean"), F.round("maj_std", 4).alias("maj_std"))
 
 
 @query("a15_bootstrap")

@@ -346,7 +346,7 @@ def z4(t: Tables) -> DataFrame:
     return Z.drain(Z.gather_groups(stream, "user_id", "value", 8), "groups").select("user_id", "group", F.size("values").alias("n"))
 
 
-@query("z4_closed_groups", """WITH e AS (SELECT user_id, event_id, epoch_ms(ts::TIMESTAMP) AS t, value FROM events), w AS (SELECT max(t) - 600000 AS mark FROM e),
+@query("z4_closed_groups", """WITH e AS (SELECT user_id, event_id, epoch_us(ts::TIMESTAMP) // 1000 AS t, value FROM events), w AS (SELECT max(t) - 600000 AS mark FROM e),
 b AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 28800000, true)::INT AS first FROM e), l AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY t, event_id) AS life FROM b),
 p AS (SELECT *, row_number() OVER (PARTITION BY user_id, life ORDER BY t, event_id) - 1 AS i, min(t) OVER (PARTITION BY user_id, life) AS start, max(t) OVER (PARTITION BY user_id, life) AS last FROM l)
 SELECT user_id, start, i // 4 AS "group", count(*)::INTEGER AS n, round(sum(value), 4) AS total, count(*) = 4 AS complete FROM p, w GROUP BY user_id, life, start, last, i // 4, mark

@@ -32,7 +32,7 @@ class _Gather(StatefulProcessor):
         self.life = handle.getValueState("life", "start long, last long, done long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [r for frame in rows for r in frame[["_t", "_o", "_v"]].itertuples(index=False, name=None)]
+        fresh = [r for frame in rows for r in frame.iloc[:, -3:].itertuples(index=False, name=None)]
         yield self._settle(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -26,9 +26,9 @@ def enumerated(votes, values, n):
 
 
 def moments(votes, values, n):
-    labels = sorted(set(votes))
+    labels = sorted(set(votes), key=votes.count)
     of = lambda f: np.array([np.mean([f(v) for v, w in zip(values, votes) if w == label]) for label in labels])
-    return majority_moments(np.array([votes.count(label) for label in labels], float), of(lambda v: v), of(lambda v: v * v), n)
+    return majority_moments([votes.count(label) for label in labels], of(lambda v: v), of(lambda v: v * v), n)
 
 
 @pytest.mark.parametrize("votes", ["a", "ab", "aab", "abc", "aabb", "aaab", "abcd"])

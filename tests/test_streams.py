@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -112,8 +113,6 @@ def test_keys_that_close_leave_no_state(spark, tmp_path, files):
     for i in range(files):
         part = [(k, base + dt.timedelta(seconds=t), o, v) for k, t, o, v in rows[i * size : (i + 1) * size]] + ([(None, base, 0, 0.0), (3, None, 0, 0.0)] if not i else [])
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        import time
-
         time.sleep(1.1)  # files are taken in order of their time
     stream = source(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
     with closing_state(spark):
@@ -122,5 +121,4 @@ def test_keys_that_close_leave_no_state(spark, tmp_path, files):
     found = sorted((r["k"], int((r["start"] - base).total_seconds()), r["group"], list(r["values"]), r["complete"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert found == groups_of(rows, 4, 3600, 100 * 3600 - 300)
     # Of keys 0 to 4 nothing is left; key 9 still holds two rows (a list's elements, its length, a timer).
-    state = query.lastProgress["stateOperators"][0]
-    assert state["numRowsTotal"] <= 6 and state["customMetrics"]["numRegisteredTimers"] + 0 >= 0
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
