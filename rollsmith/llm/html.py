@@ -5,10 +5,11 @@ implied tags (a paragraph ends where a block begins, a list item where the next
 begins, table parts where their siblings begin, void elements at once; an end tag
 without an open element is dropped), and hands a renderer each element's entry and
 exit. The renderer emits all visible text: scripts, styles, heads, templates, closed
-dialogs and elements hidden by attribute or inline style are left out; white space is
+dialogs and elements hidden by attribute or inline style are left out (what is invisible by
+visibility may hold what is visible again); white space is
 collapsed except in preformatted text; blocks begin on new lines, and paragraphs and
 the like are set apart by an empty line; list items carry bullets or numbers and are
-indented by depth; table cells are aligned in columns, with spans.
+indented by depth, up to ``DEEPEST_INDENT`` spaces; table cells are aligned in columns, with spans.
 
 Style sheets and scripts are not evaluated. Nesting of any depth is handled without
 recursion and without a limit: open elements are found by their names' own places.
@@ -37,7 +38,7 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_STYLE = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)", re.IGNORECASE)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +59,10 @@ SIBLINGS |= {f"h{k}": SIBLINGS["h1"] for k in range(2, 7)}
 _HEAD_PARTS = frozenset("base link meta title style script template noscript head html".split())
 
 
+#: Spaces that a line is indented by at most, however deep its element lies.
+DEEPEST_INDENT = 240
+
+
 class Output:
     """Lines being written: collapsed white space, pending breaks, and the marks that begin the next line."""
 
@@ -65,7 +70,7 @@ class Output:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.space = self.gap = False
-        self.indent = ""
+        self.indent = 0
         self.mark = ""
 
     def text(self, data: str) -> None:
@@ -92,7 +97,7 @@ class Output:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
-            self.lines.append((self.indent + self.mark + "".join(self.line)).rstrip())
+            self.lines.append((" " * min(self.indent, DEEPEST_INDENT) + self.mark + "".join(self.line)).rstrip())
             self.mark = " " * len(self.mark)
         self.line, self.space = [], False
 
@@ -140,14 +145,15 @@ class Table:
             x += widths[c] + 2 if widths.get(c) else 0
         out = []
         for row in self.rows:
-            height = max((len(lines) for lines, _ in row.values()), default=0)
-            for k in range(height):
-                line = ""
-                for c in sorted(row):
-                    lines, _ = row[c]
-                    if k < len(lines) and lines[k]:
-                        line = (line + "  " if len(line) > at[c] - 2 and line else line).ljust(at[c]) + lines[k]
-                out.append(line.rstrip())
+            parts: list[list[str]] = [[] for _ in range(max((len(lines) for lines, _ in row.values()), default=0))]
+            used = [0] * len(parts)
+            for c in sorted(row):
+                for k, text in enumerate(row[c][0]):
+                    if text:
+                        blank = max(at[c] - used[k], 2 if used[k] else 0)
+                        parts[k] += (" " * blank, text)
+                        used[k] += blank + len(text)
+            out += ("".join(p).rstrip() for p in parts)
         return out
 
 
@@ -162,14 +168,20 @@ class Renderer:
         self.lists: list[list] = []
         self.kept = 0
         self.hidden = 0
+        self.unseen = False
+        self.began = False
 
     def enter(self, name: str, attributes: dict[str, str]) -> dict:
         """Begin an element; returns what its exit needs."""
         state: dict = {"name": name}
-        if self.hidden or name in NOT_SHOWN or "hidden" in attributes or "style" in attributes and _HIDING.search(attributes["style"]) or name == "dialog" and "open" not in attributes:
+        self.began = False
+        style = {k.lower(): v.lower() for k, v in _STYLE.findall(attributes["style"])} if "style" in attributes else {}
+        if self.hidden or name in NOT_SHOWN or "hidden" in attributes or style.get("display") == "none" or name == "dialog" and "open" not in attributes:
             state["hidden"] = True
             self.hidden += 1
             return state
+        if (seen := style.get("visibility")) in ("visible", "hidden", "collapse"):  # inherited, and what lies inside may turn it back
+            state["unseen"], self.unseen = self.unseen, seen != "visible"
         out = self.out
         if name in APART and not (name in ("ul", "ol", "menu") and self.lists):
             out.apart()
@@ -184,17 +196,17 @@ class Renderer:
             if numbered and value.lstrip("-").isdigit() and len(value) < 10:
                 self.lists[-1][1] = int(value)
             state["indent"], state["mark"] = out.indent, out.mark
-            out.indent += " " * len(out.mark)
+            out.indent += len(out.mark)
             out.mark = f"{self.lists[-1][1]}. " if numbered else "- "
             if numbered:
                 self.lists[-1][1] += 1
         elif name in ("dd", "blockquote"):
             state["indent"], state["mark"] = out.indent, out.mark
-            out.indent += " " * len(out.mark) + "  "
+            out.indent += len(out.mark) + 2
             out.mark = ""
         elif name in ("pre", "textarea", "xmp", "listing"):
             self.kept += 1
-            state["first"] = True
+            self.began = True  # a line break that follows at once is dropped
         elif name == "table":
             self.tables.append(Table())
             state["lists"], self.lists = self.lists, []
@@ -205,9 +217,11 @@ class Renderer:
             self.cells.append((self.out, span("colspan", 1000), span("rowspan", 65534)))  # HTML's own limits
             self.out = Output()
         elif name == "br":
-            out.new_line(True)
+            if not self.unseen:
+                out.new_line(True)
         elif name == "hr":
-            out.line.append("---")
+            if not self.unseen:
+                out.line.append("---")
             out.apart()
         return state
 
@@ -216,6 +230,7 @@ class Renderer:
         if "hidden" in state:
             self.hidden -= 1
             return
+        self.unseen = state.get("unseen", self.unseen)
         if name in ("td", "th") and self.cells:
             lines = self.out.result()
             self.out, across, down = self.cells.pop()
@@ -242,11 +257,14 @@ class Renderer:
             out.gap = True
 
     def text(self, data: str) -> None:
-        if not self.hidden:
+        if not self.hidden and not self.unseen:
             if self.kept:
+                if self.began:
+                    data = data.removeprefix("\r").removeprefix("\n")
                 self.out.kept(data)
             else:
                 self.out.text(data)
+        self.began = False
 
 
 def _attributes(text: str) -> dict[str, str]:
