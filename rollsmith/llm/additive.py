@@ -6,13 +6,17 @@ residuals, then rounds of beam-search encoding and least squares. Every vector i
 indexed: beam search keeps the ``BEAM`` best partial sums, and the norms of the vector
 and of its reconstruction are stored with its codes. A query's products with all
 entries make lookup tables; a candidate's estimate is the sum of its entries' products
-times the ratio of the stored norms. A task scores a candidate exactly, on the original
-vectors, only while its estimate is among the best ``RERANK`` of the query in the shards
-seen so far, so what is reranked grows with the logarithm of the shards of a task, and
-holds the best ``RERANK`` estimates over all shards. Equal vectors share one entry of the index
-and are all expanded again, so ties go to the smaller ids however many copies there are.
+times the ratio of the stored norms. Of every shard the best estimates of a query are scored
+exactly, on the original vectors: one in ``SHARE``, and ``RERANK`` over all shards at least. How many
+depends on the shards alone, not on how many tasks hold them. Equal vectors share one entry of the
+index and are all expanded again, so ties go to the smaller ids however many copies there are.
 
-Rows that take no part: null or non-finite vectors or components, zero vectors, null ids.
+Components of any finite size take part: the index is in units of the sample's middle size, a query
+in units of its own, and vectors too large for squares and estimates are set apart and always
+scored exactly. A product whose terms overflow is formed in units of both vectors.
+
+Rows that take no part: null or non-finite vectors or components, zero vectors, null ids. An empty
+table gives no rows; other columns are not read, whatever their names. See also ``vectors``.
 """
 
 from __future__ import annotations
@@ -25,10 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollsmith.llm.common import materialize, tidy
-from rollsmith.llm.vectors import Held, same_width, search, sharded, unpack
-
-#: Bound of the training sample; codebooks and their size; beam width; best estimates of a query that are scored exactly.
-SAMPLE, BOOKS, ENTRIES, BEAM, RERANK = 8192, 16, 128, 4, 256
+from rollsmith.llm.vectors import Held, same_width, search, sharded, times, unpack
+
+#: Bound of the training sample; codebooks and their size; beam width.
+SAMPLE, BOOKS, ENTRIES, BEAM = 8192, 16, 128, 4
+#: Best estimates of a query that are scored exactly: at least so many in all, and one in so many of each shard.
+RERANK, SHARE = 256, 64
+#: Units from which on a vector is set apart.
+LARGE = 64.0
 ROUNDS, LLOYD, SEED = 2, 8, 3
 
 
@@ -90,8 +98,8 @@ def fit_codebooks(sample: np.ndarray, books: int = BOOKS, entries: int = ENTRIES
     return result
 
 
-def _indexed(books: np.ndarray):
-    """Add to each packed shard the distinct vectors' codes, norm ratios and members."""
+def _indexed(books: np.ndarray, unit: float):
+    """Add to each packed shard the distinct vectors' codes, norm ratios (NaN for those set apart) and members."""
     names = ["shard", "ids", "vectors", "width", "codes", "ratio", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +110,16 @@ def _indexed(books: np.ndarray):
                 _, first, owner = np.unique(rows, return_index=True, return_inverse=True)
                 order = np.lexsort((ids, owner))
                 distinct = x[first]
-                wide, fitted = same_width(distinct, books.reshape(-1, books.shape[2]))
+                with np.errstate(over="ignore"):
+                    units = distinct / unit
+                apart = ~(np.abs(units).max(axis=1, initial=0) < LARGE)
+                units[apart] = 0
+                wide, fitted = same_width(units, books.reshape(-1, books.shape[2]))
                 fitted = fitted.reshape(books.shape[0], books.shape[1], -1)
                 codes = encode(wide, fitted)
                 near = decode(codes, fitted)
                 ratio = np.linalg.norm(wide, axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-12)
+                ratio[apart] = np.nan
                 ends = np.cumsum(np.bincount(owner, minlength=len(first)))
                 cells = [batch.column("shard")[i].as_py(), ids[order].tobytes(), distinct.tobytes(), x.shape[1], codes.tobytes(), ratio.tobytes(), ends.astype(np.int64).tobytes()]
                 kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -117,17 +130,31 @@ def _indexed(books: np.ndarray):
 
 def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products of rows with one query; each row's sum is formed alike, so equal rows give equal sums."""
-    return np.einsum("rd,d->r", np.ascontiguousarray(rows), query)
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = np.einsum("rd,d->r", np.ascontiguousarray(rows), query)
+        if not (fine := np.isfinite(found)).all():
+            large = rows[~fine]
+            size, own = np.abs(large).max(axis=1), np.abs(query).max()
+            found[~fine] = np.einsum("rd,d->r", large / size[:, None], query / own) * size * own
+    return found
 
 
 @tidy
 def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, rerank: int = RERANK) -> DataFrame:
-    """For each row for which ``queries`` holds, the ``k`` rows found nearest by inner product."""
+    """For each row for which ``queries`` holds, the ``k`` rows found nearest by inner product.
+
+    ``rerank`` estimates at least are scored exactly for each query; more find more.
+    """
     packed, shards, rows = sharded(vectors, id_col, vec_col, drop_zero=True)
     sample = [r[0] for r in rows.select("vector", F.xxhash64("id", F.lit(9)).alias("at"), "id").orderBy("at", "id").limit(SAMPLE).select("vector").collect()]
     width = max(map(len, sample), default=1)
-    fitted = fit_codebooks(np.array([v + [0.0] * (width - len(v)) for v in sample])) if sample else np.zeros((1, 1, 1))
-    index = materialize(packed.mapInArrow(_indexed(fitted), "shard int, ids binary, vectors binary, width int, codes binary, ratio binary, ends binary"))
+    drawn = np.array([v + [0.0] * (width - len(v)) for v in sample]).reshape(len(sample), width)
+    unit = float(np.median(np.abs(drawn).max(axis=1))) if sample else 1.0
+    with np.errstate(over="ignore"):
+        drawn = drawn / unit
+    drawn = drawn[np.abs(drawn).max(axis=1, initial=0) < LARGE]
+    fitted = fit_codebooks(drawn) if len(drawn) else np.zeros((1, 1, 1))
+    index = materialize(packed.mapInArrow(_indexed(fitted, unit), "shard int, ids binary, vectors binary, width int, codes binary, ratio binary, ends binary"))
 
     def run(row: dict, held: Held) -> Iterator[tuple]:
         ends = np.frombuffer(row["ends"], np.int64)
@@ -137,20 +164,19 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
             return
         x, q = same_width(x, held.vectors)
         if "tables" not in held.state:
-            flat, asked = same_width(fitted.reshape(-1, fitted.shape[2]), held.vectors)
+            flat, asked = same_width(fitted.reshape(-1, fitted.shape[2]), held.vectors / np.abs(held.vectors).max(axis=1)[:, None])
             held.state["tables"] = (asked @ flat.T).astype(np.float32).reshape(len(asked), fitted.shape[0], fitted.shape[1])
-            held.state["estimates"] = np.full((len(asked), max(rerank, k + 1)), -np.inf, np.float32)
-        tables, before = held.state["tables"], held.state["estimates"]
+        tables = held.state["tables"]
         codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ends), -1)
         estimate = np.zeros((len(q), len(x)), np.float32)
         for m in range(codes.shape[1]):
             estimate += np.take(tables[:, m, :], codes[:, m], axis=1)
         estimate *= np.frombuffer(row["ratio"], np.float64).astype(np.float32)
-        # Only what is among the best estimates of this task so far is scored exactly.
-        wanted = before.shape[1]
-        both = np.concatenate((before, estimate), axis=1)
-        before[:] = np.partition(both, both.shape[1] - wanted, axis=1)[:, both.shape[1] - wanted :]
-        good = estimate >= before.min(axis=1)[:, None]
+        apart = np.isnan(estimate[0])
+        estimate[:, apart] = -np.inf
+        mine = times(np.sort(ids), held.ids)  # rows of a query's own id, which may be among the best
+        wanted = min(len(x), max(-(-rerank // shards), -(-len(x) // SHARE), k) + int(mine.max()))
+        good = apart | (estimate >= np.partition(estimate, len(x) - wanted, axis=1)[:, len(x) - wanted, None])
         begins = np.concatenate(([0], ends[:-1]))
         out: list[list] = [[], [], []]
         for i, (number, vector) in enumerate(zip(held.ids, q)):
@@ -158,12 +184,13 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
             s = products(x[rows_], vector)
             near = s >= held.floor[i]
             rows_, s = rows_[near], s[near]
-            if len(s) > k + 1:
-                near = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+            most = k + int(mine[i])
+            if len(s) > most:
+                near = s >= np.partition(s, len(s) - most)[len(s) - most]
                 rows_, s = rows_[near], s[near]
             if not len(s):
                 continue
-            n = np.minimum(ends - begins, k + 1)[rows_]  # of equal vectors only the smallest ids can be among the first k
+            n = np.minimum(ends - begins, most)[rows_]  # of equal vectors only the smallest ids can be among the first k
             place = np.repeat(begins[rows_], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found, s = ids[place], np.repeat(s, n)
             other = found != number
@@ -174,4 +201,4 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
         if out[0]:
             yield tuple(map(np.concatenate, out))
 
-    return search(index, shards, rows.where(queries), run, k, "double")
+    return search(index, shards, rows.where(queries), run, k, "double", state=4 * fitted.shape[0] * fitted.shape[1])

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from rollsmith.llm.common import tidy
-from rollsmith.llm.vectors import Held, same_width, search, sharded, unpack
+from rollsmith.llm.vectors import Held, same_width, search, sharded, times, unpack
 
 SCALE, SEED_TERMS, SEEDS, PROBES = 1024, 8, 64, 8
 _EXACT = float(1 << 53)
@@ -114,11 +114,12 @@ def exact_search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id",
             small = (columns / size, low / size, high / size) if large or wide_q.any() else None
             if not large:
                 columns, low, high = columns * scale, low * scale, high * scale
+            mine = times(own, held.ids)  # rows of the query's own id, which may be among the best
             for i, (number, vector) in enumerate(zip(held.ids, q)):
                 if large or wide_q[i]:
-                    found, scores = _rounded(own, part, *small, vector, number, k, scale)
+                    found, scores = _rounded(own, part, *small, vector, number, k, mine[i], scale)
                 else:
-                    alive, scores = top_k(columns, vector * scale, k + 1, low, high, held.floor[i])
+                    alive, scores = top_k(columns, vector * scale, k + mine[i], low, high, held.floor[i])
                     other = own[alive] != number
                     found, scores = own[alive][other], scores[other].astype(np.int64)
                 best = _best(found, scores, k)
@@ -129,11 +130,11 @@ def exact_search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id",
     return search(index, shards, asked, run, k, "long")
 
 
-def _rounded(ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndarray, query: np.ndarray, number: int, k: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+def _rounded(ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndarray, query: np.ndarray, number: int, k: int, mine: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
     """Those among the k best by rounded products of ``columns``, scored in unbounded integers and held at the limits of a long."""
     size = max(float(np.abs(query).max(initial=0)), 1e-300)
     limit = 0.999 * 2.0**63 / scale / scale / size / max(float(np.abs(rows).max(initial=0)), 1e-300)
-    alive, _ = top_k(columns, query / size, k + 1, low, high, error=max(len(query), 8) ** 2 * 2.0**-50, limit=limit)
+    alive, _ = top_k(columns, query / size, k + mine, low, high, error=max(len(query), 8) ** 2 * 2.0**-50, limit=limit)
     alive = alive[ids[alive] != number]
     terms = _whole(query, scale)
     exact = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(terms, _whole(rows[i], scale))))) for i in alive]

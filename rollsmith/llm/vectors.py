@@ -10,9 +10,10 @@ whose least is the floor for the shards after it; the merge over the rows of the
 follows. Nothing is collected to the driver.
 
 Rows take no part whose id is null or whose vector is null or holds a null or
-non-finite component. Of rows that repeat an id, the least vector stands. A vector
-shorter than others counts as followed by zeros. With fewer candidates than ``k`` all
-are returned; an empty table gives an empty result; other columns are not read.
+non-finite component. Rows that repeat an id are candidates each, and each a query: the
+best ``k`` of such a query id are those of all pairs of its rows and rows of other ids. A
+vector shorter than others counts as followed by zeros. With fewer candidates than ``k``
+all are returned; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rollsmith.llm.common import frugal, materialize
 
-#: Rows of a shard and of a block of queries; bytes of blocks that a task holds.
+#: Rows of a shard and of a block of queries; bytes of blocks, and of what is kept for them, that a task holds.
 SHARD, BLOCK, HELD = 2048, 512, 32 << 20
 _PACKED = "shard int, ids binary, vectors binary, width int"
 
@@ -67,12 +68,7 @@ def _pack(limit: int) -> Callable:
                 if now != shard or len(ids) >= limit:
                     if ids:
                         yield out()
-                    last = ids[-1] if ids and now == shard else None
                     shard, ids, rows = now, [], []
-                    if key == last:
-                        continue
-                if ids and ids[-1] == key:
-                    continue
                 ids.append(key)
                 rows.append(values[offsets[i] : offsets[i + 1]])
         if ids:
@@ -108,6 +104,11 @@ def sharded(vectors: DataFrame, id_col: str, vec_col: str, drop_zero: bool = Fal
     return packed(rows, shards, 2 * SHARD), shards, rows
 
 
+def times(ids: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """How often each of ``asked`` is among sorted ids."""
+    return np.searchsorted(ids, asked, "right") - np.searchsorted(ids, asked, "left")
+
+
 def best_of(parts: list[np.ndarray], k: int) -> list[np.ndarray]:
     """Of (query ids, vec ids, scores) the ``k`` best of each query, ties to the smaller id."""
     order = np.lexsort((parts[1], -parts[2] if parts[2].dtype.kind == "f" else ~parts[2], parts[0]))
@@ -136,15 +137,16 @@ class Held:
         self.floor[known] = self.best[2][full[at[known]]]
 
 
-def search(index: DataFrame, shards: int, queries: DataFrame, run: Callable, k: int, score: str) -> DataFrame:
+def search(index: DataFrame, shards: int, queries: DataFrame, run: Callable, k: int, score: str, state: int = 0) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` over all shards, ties to the smaller id.
 
-    ``run(shard_row, held)`` yields (query ids, vec ids, scores) of one shard for a block of queries.
+    ``run(shard_row, held)`` yields (query ids, vec ids, scores) of one shard for a block of queries;
+    it keeps ``state`` bytes for each query.
     """
     spark = index.sparkSession
     blocks = packed(queries, max(1, -(-queries.count() // BLOCK)), BLOCK)
     n, width = blocks.agg(F.count("*"), F.max("width")).first()
-    together = max(1, HELD // (BLOCK * 8 * max(width or 1, 64)))
+    together = max(1, HELD // (BLOCK * (8 * max(width or 1, 64) + state)))
     columns = max(1, -(-n // together))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = max(1, min(shards, -(-partitions // columns)))
