@@ -1,25 +1,24 @@
 """License scans by a positional rare-token index.
 
 Templates are word sequences with a label and mandatory key phrases. How rare a word
-is (IDF) is counted over all documents. The index holds, for each licence word, the
-templates and positions where it is the rarest word of the template's key phrases.
-A file's licence words of highest IDF are looked up in it: every place of one proposes,
-by its postings, where templates would start; proposals are intersected with the places
-of the templates' next rarest key words by relative position, rarest first, so that few
-are left when the key phrases are wholly verified. A proposal stands if all its key
-phrases are in place and the words in place (or ``SLACK`` words beside it, within the
-same text) hold at least ``ACCEPT`` of the template's IDF. As whatever stands holds all
-its key words, no template is missed; a base phrase is a template whose key phrase is
-the whole of it, so every place of it is found. Cost goes by the places of rare words,
-not by templates times texts. Work is done on the bytes of a batch, without an object
-for a word.
+is (IDF) is counted over all documents. The index holds the postings of every template
+word: template, position, and how rare the word is among the template's key words. A
+file's licence words are looked up by falling IDF: a template is a candidate of the file
+if its rarest key words (``DEPTH`` of them) are all in it. Their lists of places in the
+file are then intersected by relative position: the shortest proposes where the template
+would start, and a start is kept if every other list holds the place that it asks for, so
+cost goes by the places of the word that the file has least of, however common the others
+are. What is left is verified: all key phrases have to be in place, and the words in
+place (or ``SLACK`` words beside it, within the same text) to hold at least ``ACCEPT`` of the
+template's IDF. As whatever stands holds all its key words, no template is missed; a base
+phrase is a template whose key phrase is the whole of it, so every place of it is found.
+Work is done on the bytes of a batch, without an object for a word.
 
 Words are runs of characters other than ASCII non-alphanumerics, after lower-casing A-Z.
 
 Defined results: a null text is empty: no words, no labels, score 0, null first and
 last word; a null id is kept as it is; repeated rows are each reported, and a row's
-result does not depend on others but through the IDF; of equally rare key words the
-first leads; an empty table gives an empty result; texts of any length are scanned
+result does not depend on others but through the IDF; an empty table gives an empty result; texts of any length are scanned
 whole; other columns are not read, whatever their names. ``score`` is the largest IDF
 share of a standing proposal.
 """
@@ -39,6 +38,8 @@ from pyspark.sql import functions as F
 from rollsmith.llm.common import LOWER, TextBuffer, slices
 
 ACCEPT, SLACK, SLICE = 0.75, 1, 8 << 20
+#: Key words of a template, the rarest ones, whose lists are intersected.
+DEPTH = 3
 #: Proposals that are worked on at once.
 AT_ONCE = 1 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -200,6 +201,30 @@ class Words:
         self.counts = np.diff(self.first)
 
 
+class Places:
+    """The licence words of each text of a batch, and each one's ascending list of places."""
+
+    def __init__(self, words: Words):
+        place = np.flatnonzero(words.ids >= 0)
+        owner = np.searchsorted(words.first, place, side="right") - 1
+        several = int(words.ids.max(initial=0)) + 1
+        key = owner * several + words.ids[place]
+        order = np.argsort(key, kind="stable")
+        self.place, key = place[order], key[order]
+        self.begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.begin, len(key)))
+        self.owner, self.word = key[self.begin] // several, key[self.begin] % several
+        # Places rise within a list and lists do not mix, so one sorted array answers for all of them.
+        self.span = len(words.ids) + 1
+        self.sorted = np.repeat(np.arange(len(self.begin)), self.size) * self.span + self.place
+
+    def holds(self, which: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether a list holds a place, for each pair; a place before the first word is in none."""
+        wanted = which * self.span + place
+        at = np.minimum(np.searchsorted(self.sorted, wanted), max(len(self.sorted) - 1, 0))
+        return (place >= 0) & (place < self.span) & (self.sorted[at] == wanted)
+
+
 def document_frequencies(docs: DataFrame, text_col: str, templates: tuple[Template, ...]) -> tuple[int, dict[str, int]]:
     """The number of documents, and of those holding each template word, over all documents.
 
@@ -225,7 +250,7 @@ def document_frequencies(docs: DataFrame, text_col: str, templates: tuple[Templa
 
 
 class Index:
-    """Postings of the templates' rarest key words, and each template's key words by falling IDF."""
+    """Postings of all template words by position, with each key word's rank by falling IDF among its template's."""
 
     def __init__(self, templates: tuple[Template, ...], vocabulary: Vocabulary, idf: dict[str, float]):
         self.templates = templates
@@ -237,27 +262,68 @@ class Index:
         most = int(self.n_keys.max(initial=1))
         self.key_place = np.array([k + [0] * (most - len(k)) for k in keys], np.int64).reshape(len(templates), most)
         self.key_word = np.array([[n[j] for j in k] + [0] * (most - len(k)) for n, k in zip(self.numbers, keys)], np.int32).reshape(len(templates), most)
-        rarest = self.key_word[:, 0]
-        self.postings = np.argsort(rarest, kind="stable")
-        self.counts = np.bincount(rarest, minlength=len(vocabulary.words) + 1)  # the last place stands for no licence word
-        self.begin = np.cumsum(self.counts) - self.counts
+        # Word, template, position and rank of every place in a template; words that are no key come last.
+        rows = [(n[j], t, j, ranks.get(n[j], most) if first.get(n[j]) == j else most) for t, (n, k) in enumerate(zip(self.numbers, keys)) for ranks, first in [self._ranked(n, k)] for j in range(len(n))]
+        cells = np.array(sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])), np.int64).reshape(-1, 4)
+        self.word, self.template, self.position, self.rank = cells.T
+        self.asked = np.minimum(np.array([len({n[j] for j in k}) for n, k in zip(self.numbers, keys)], np.int64), DEPTH)
+        numbers = np.arange(len(vocabulary.words))
+        deep = self.word * (most + 1) + self.rank
+        self.begin = np.searchsorted(self.word, numbers)
+        self.leading = np.searchsorted(deep, numbers * (most + 1) + min(DEPTH, most)) - self.begin  # postings among the rarest of a template
+
+    @staticmethod
+    def _ranked(numbers: np.ndarray, keys: list[int]) -> tuple[dict[int, int], dict[int, int]]:
+        """The distinct key words' ranks, and the key position that stands for each."""
+        first: dict[int, int] = {}
+        for j in keys:
+            first.setdefault(numbers[j], j)
+        return {w: r for r, w in enumerate(first)}, first
+
+    def _candidates(self, lists: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text and template of each candidate, and for its ranks the list of the text (-1: none) and the position in the template."""
+        n = self.leading[lists.word]
+        which = np.repeat(np.arange(len(n)), n)
+        row = np.repeat(self.begin[lists.word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        t, rank, pair = self.template[row], self.rank[row], lists.owner[which] * len(self.templates) + self.template[row]
+        found, at, met = np.unique(pair, return_inverse=True, return_counts=True)
+        full = met == self.asked[found % len(self.templates)]
+        place = np.cumsum(full) - 1
+        kept = full[at]
+        which, row, rank, at = which[kept], row[kept], rank[kept], place[at[kept]]
+        held, position = (np.full((int(full.sum()), DEPTH), -1, np.int64) for _ in range(2))
+        held[at, rank], position[at, rank] = which, self.position[row]
+        return found[full] // len(self.templates), found[full] % len(self.templates), held, position
 
     def proposals(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Template, start and text of each proposal whose key phrases are all in place."""
-        places = np.flatnonzero(self.counts[words.ids])
-        if not len(places):
+        lists = Places(words)
+        if not len(lists.word) or not len(self.templates):
+            return
+        owners, templates, held, position = self._candidates(lists)
+        if not len(owners):
             return
-        made = np.cumsum(self.counts[words.ids[places]])
+        sizes = np.where(held >= 0, lists.size[held], np.iinfo(np.int64).max)
+        lead = sizes.argmin(axis=1)
+        row = np.arange(len(lead))
+        made = np.cumsum(sizes[row, lead])
         cuts = np.searchsorted(made, np.arange(AT_ONCE, made[-1] + AT_ONCE, AT_ONCE), side="right")
-        for rare in np.split(places, cuts[:-1]):
-            word = words.ids[rare]
-            n = self.counts[word]
-            t = self.postings[np.repeat(self.begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            at = np.repeat(rare, n) - self.key_place[t, 0]
-            owner = np.repeat(np.searchsorted(words.first, rare, side="right") - 1, n)
+        for part in np.split(row, cuts[:-1]):
+            if not len(part):
+                continue
+            shortest = held[part, lead[part]]
+            n = lists.size[shortest]
+            own = np.repeat(part, n)
+            at = lists.place[np.repeat(lists.begin[shortest] - np.cumsum(n) + n, n) + np.arange(n.sum())] - position[own, lead[own]]
+            t, owner = templates[own], owners[own]
             fits = (at >= words.first[owner]) & (at + self.sizes[t] <= words.first[owner + 1])
-            t, at, owner = t[fits], at[fits], owner[fits]
-            for r in range(1, self.key_place.shape[1]):
+            own, at, t, owner = own[fits], at[fits], t[fits], owner[fits]
+            for r in range(DEPTH):
+                other = np.flatnonzero((held[own, r] >= 0) & (lead[own] != r))
+                met = np.ones(len(own), bool)
+                met[other] = lists.holds(held[own[other], r], at[other] + position[own[other], r])
+                own, at, t, owner = own[met], at[met], t[met], owner[met]
+            for r in range(self.key_place.shape[1]):
                 if not len(t):
                     break
                 place = np.minimum(at + self.key_place[t, r], len(words.ids) - 1)
@@ -286,7 +352,9 @@ def _scan(words: Words, index: Index) -> dict[str, list]:
     """Per text: places of base phrases, labels, and the best share of a standing proposal."""
     n = len(words.counts)
     base, first, last, score = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n)
-    labels: list[dict[str, bool]] = [{} for _ in range(n)]
+    names = sorted({t.label for t in index.templates})
+    number = {name: i for i, name in enumerate(names)}
+    given = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # text and label: of all templates, of base ones
     for which, starts, owners in index.proposals(words):
         for k in np.unique(which):
             t = index.templates[k]
@@ -296,17 +364,25 @@ def _scan(words: Words, index: Index) -> dict[str, list]:
             good = share >= ACCEPT
             at, owner, share = at[good], owner[good], share[good]
             np.maximum.at(score, owner, share)
-            for i in np.unique(owner):
-                labels[i][t.label] = labels[i].get(t.label, False) or t.base
+            for kind in given[: 1 + t.base]:
+                kind.append(np.unique(owner) * len(names) + number[t.label])
             if t.base:
                 inside = at - words.first[owner]
                 np.add.at(base, owner, 1)
                 np.minimum.at(first, owner, inside)
                 np.maximum.at(last, owner, inside)
     some = base > 0
+
+    def joined(kind: list[np.ndarray]) -> list[str]:
+        out = [""] * n
+        for key in np.unique(np.concatenate(kind)).tolist():  # by text, then by label
+            i, name = key // len(names), names[key % len(names)]
+            out[i] = f"{out[i]},{name}" if out[i] else name
+        return out
+
     return {
         "n_words": words.counts.astype(np.int64), "n_base": base, "first_word": [int(x) if y else None for x, y in zip(first, some)], "last_word": [int(x) if y else None for x, y in zip(last, some)],
-        "base_labels": [",".join(sorted(k for k, v in x.items() if v)) for x in labels], "labels": [",".join(sorted(x)) for x in labels], "score": score,
+        "base_labels": joined(given[1]), "labels": joined(given[0]), "score": score,
     }
 
 

@@ -177,6 +177,17 @@ def test_whole_licenses_and_long_words(spark):
     assert got[1]["labels"] == whole.label and 0.9 < got[1]["score"] < 1 and [got[i]["labels"] for i in (2, 3, 4)] == ["", "long", ""]
 
 
+def test_license_cost_goes_by_the_rarest_word_of_a_file():
+    """Common key words, however often they stand in a text, propose nothing where a rarer one is asked for too."""
+    templates = (licenses.template("a", "mit license"), licenses.template("b", "license of the deep"))
+    vocabulary = licenses.Vocabulary(templates)
+    index = licenses.Index(templates, vocabulary, {"mit": 1.0, "license": 9.0, "of": 1.0, "the": 1.0, "deep": 1.0})
+    words = licenses.Words(pa.array(["license " * 200_000 + "mit license", "license " * 50, "of the deep"]), vocabulary)
+    owners, found, held, position = index._candidates(licenses.Places(words))
+    assert (owners.tolist(), found.tolist()) == ([0], [0])
+    assert [tuple(x.tolist() for x in p) for p in index.proposals(words)] == [([0], [200_000], [0])]
+
+
 def test_many_license_templates_against_brute_force(spark):
     """500 templates over shared words: exactly those stand whose key phrases are in place and whose words hold the share."""
     rng = random.Random(9)
