@@ -5,10 +5,15 @@ learned languages, and a document's probabilities are the mean over its position
 Training is backpropagation through time in numpy on a bounded sample of labelled
 windows (``SAMPLE_PER_LANGUAGE`` documents a language, ``SLICES`` windows each);
 scoring covers every byte of every text, in Arrow batches, with no state between rows.
+Both directions begin anew every ``WINDOW`` bytes, also inside a character, so a text of any
+length is read whole in bounded memory.
 
 Defined results: a null text or one without a letter gets ``und`` and score 0; a
 null id never trains and is not held out; an empty table gives an empty result;
-with no labelled row at all every text is ``und``. Repeated rows are scored alike.
+with no labelled row at all every text is ``und``. Repeated rows are scored alike; of
+equally likely languages the first by name is taken. Windows are scored ``BATCH`` at a
+time, of very long texts too. Other columns are not read, whatever their names;
+``keep_identified`` keeps them.
 """
 
 from __future__ import annotations

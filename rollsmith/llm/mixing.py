@@ -13,6 +13,8 @@ the source's first chunk, largest first, whose rounding is turned where it fits.
 Defined results: size is the number of runs of characters other than ASCII white
 space (null: 0); a source of size 0 has target 0; null is a source of its own, last;
 repeated rows are rounded each for itself; an empty table gives an empty result.
+Texts of any length are sized whole; ties of size go by a hash of the row. The report
+reads no other column, whatever its name; ``mixed_rows`` keeps them all.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ in a tree of ever fewer partitions, so that partitioning costs almost nothing.
 
 Defined results: a null or blank text has only the end id; a null id is kept as it
 is; repeated rows are packed each for itself; an empty table gives an empty result.
+Very long texts are tokenized whole and cut into pieces; equal bins are taken by their
+number; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ one-wildcard variants of the other half's 16-bit pieces, which loses no link.
 
 Defined results: a null or blank text has fingerprint zero; fewer words than
 ``width`` make one shingle; a null id is never a component's id, unless no member
-has one (then null); repeated rows share their component; empty gives empty.
+has one (then null); repeated rows share their component; empty gives empty. Very
+long texts are read whole, in runs of words; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
