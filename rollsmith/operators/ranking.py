@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rollsmith.sources.scratch import scratch
 
 #: Into how many buckets a hash order is cut; the driver sees one count for each.
-BUCKETS = 4096
+BUCKETS = 1 << 14
+#: Different values that one aggregation may hold for quantiles.
+DISTINCT = 1 << 18
 
 
 def _starts(tagged: DataFrame, bucket: str) -> tuple[DataFrame, int]:
@@ -100,22 +102,31 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[fl
 def group_quantiles(df: DataFrame, by: list[str], column: str, probabilities: list[float], out: str = "quantiles") -> DataFrame:
     """``by`` and an array of exact quantiles of each group's values, linearly interpolated; a group may be a whole table.
 
-    Values are dealt by ranges of group and value and written once. The counts of a
-    group's ranges tell in which range and row each quantile lies; only those rows meet again.
+    Equal values of a group are counted first, with a partial count where they are read. Up to
+    ``DISTINCT`` different ones in all, one aggregation finishes; beyond, they are dealt by ranges of
+    group and value, the counts of a group's ranges tell in which range each quantile lies, and
+    only those rows meet again. Both ways give the same.
     """
     path = scratch(df.sparkSession, "group-quantiles")
     value = df.select(*by, F.col(column).cast("double").alias("v")).where("v is not null")
-    value.repartitionByRange(*by, "v").withColumn("_range", F.spark_partition_id().cast("long")).write.parquet(path)
-    dealt = df.sparkSession.read.parquet(path)
+    value.groupBy(*by, "v").agg(F.count("*").alias("c")).write.parquet(path)
+    counted = df.sparkSession.read.parquet(path)
+    if counted.count() <= DISTINCT:
+        return counted.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, probabilities)), F.col("c")).alias(out))
+    ranges = scratch(df.sparkSession, "group-ranges")
+    counted.repartitionByRange(*by, "v").withColumn("_range", F.spark_partition_id().cast("long")).write.parquet(ranges)
+    dealt = df.sparkSession.read.parquet(ranges)
     group = F.struct(F.lit(0).alias("_one"), *by).alias("g")
-    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("c"))
+    counts = dealt.groupBy(group, "_range").agg(F.sum("c").alias("c"))
     ahead = Window.partitionBy("g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.withColumn("start", F.coalesce(F.sum("c").over(ahead), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy("g")))
     places = F.transform(F.array(*map(F.lit, probabilities)), lambda p: p * (F.col("n") - 1))
     ranks = F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x)))))
-    targets = parts.withColumn("rank", F.explode(ranks)).where("rank >= start and rank < start + c").select("g", "_range", "n", "rank", (F.col("rank") - F.col("start") + 1).alias("_row"))
-    numbered = dealt.select(group, "_range", "v").withColumn("_row", F.row_number().over(Window.partitionBy("_range", "g").orderBy("v")))
-    found = numbered.join(targets, ["g", "_range", "_row"]).groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    targets = parts.withColumn("rank", F.explode(ranks)).where("rank >= start and rank < start + c").select("g", "_range", "n", "rank", (F.col("rank") - F.col("start")).alias("_at"))
+    within = Window.partitionBy("_range", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = dealt.select(group, "_range", "v", "c").withColumn("_end", F.sum("c").over(within))
+    met = numbered.join(targets, ["g", "_range"]).where("_at < _end and _at >= _end - c")
+    found = met.groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     at = lambda k: F.element_at("at", k)
     q = F.transform(F.array(*map(F.lit, probabilities)), lambda p: at(F.floor(p * (F.col("n") - 1))) + (at(F.ceil(p * (F.col("n") - 1))) - at(F.floor(p * (F.col("n") - 1)))) * (p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1))))
     return found.select(*[F.col("g")[b].alias(b) for b in by], q.alias(out))

@@ -403,9 +403,12 @@ def test_seeded_choices(spark):
     assert [r["loss"] for r in got] == pytest.approx([0.0 if i in out else plain[i] for i in range(400)])
 
 
-def test_group_quantiles_and_running_totals(spark):
+@pytest.mark.parametrize("direct", [1 << 18, 0])
+def test_group_quantiles_and_running_totals(spark, monkeypatch, direct):
+    from rollsmith.operators import ranking
     from rollsmith.operators.ranking import group_quantiles, running_total
 
+    monkeypatch.setattr(ranking, "DISTINCT", direct)
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), rng.choice([None, float("nan"), 0.5, rng.random()]), i) for i in range(600)] + [("none", None, 600)]
     df = spark.createDataFrame([(g, None if v is None or v != v else v, i) for g, v, i in rows], "g string, v double, i int").repartition(9)
