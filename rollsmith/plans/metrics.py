@@ -256,8 +256,10 @@ def a34(t: Tables) -> DataFrame:
 
 @query("a35_first_known", "SELECT l_orderkey, arg_min(l_tax, l_linenumber * 1000000 + l_partkey) FILTER (l_tax > 0.01) AS tax, arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey) AS flag FROM lineitem GROUP BY l_orderkey")
 def a35(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("tax"), F.col("l_returnflag").alias("flag"))
-    return M.first_known(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], ["tax", "flag"])
+    """The order is the SQL's own number; of rows alike in it, the one that comes first in the table's files."""
+    at = F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")
+    rows = t.lineitem.select("l_orderkey", at.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.when(at.isNotNull() & (F.col("l_tax") > 0.01), F.col("l_tax")).alias("tax"), F.when(at.isNotNull(), F.col("l_returnflag")).alias("flag"))
+    return M.first_known(rows, ["l_orderkey"], ["at", "file", "row"], ["tax", "flag"])
 
 
 @query("a36_eval_chunks", f"""WITH {WORDS_SQL}, c AS (SELECT doc_id, k, len(words[k * 128 + 1 : k * 128 + 128]) AS n FROM w, LATERAL (SELECT unnest(range((len(words) + 127) // 128)) AS k))
