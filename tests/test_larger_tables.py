@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rollsmith import plans
+from rollsmith.operators import filters as P
 
 
 def test_first_known_takes_the_first_row_of_equal_keys(spark, tmp_path):
@@ -11,3 +12,8 @@ def test_first_known_takes_the_first_row_of_equal_keys(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in plans.QUERIES["a35_first_known"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0.04, "R"), (2, 0.06, "N"), (3, None, None)}
+
+
+def test_weights_alike_but_for_their_last_digits_stay_together(spark):
+    df = spark.createDataFrame([(i, w) for i, w in enumerate([0.1 + 0.2, 0.3, 0.3, 0.3, 0.1 + 0.2, 0.2, 0.5])], "i int, w double")
+    assert {r["i"] for r in P.weight_percentile(df, "w", 0.7).collect()} == {0, 1, 2, 3, 4, 6}
