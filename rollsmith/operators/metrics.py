@@ -127,25 +127,39 @@ def sample_sizes(n: int) -> list[int]:
     return [*out, n] if n > 1 else []
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The table dealt by keys, about ``rows`` rows a task, so that what a task holds does not grow with the table; up to 200 tasks, which Spark deals without sorting."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(tasks, 200)), *keys)
+
+
+def _placed(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Add each group's size, and of each value how many are below it and up to it: one window, so one sort."""
+    w = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({"_n": F.count("*").over(whole), "_upto": F.count("*").over(upto), "_below": F.rank().over(w) - 1})
+
+
+def _best_worst(placed: DataFrame, group: list[str], value: str, k: Column) -> DataFrame:
+    n, same, v = F.col("_n"), F.col("_upto") - F.col("_below"), F.col(value)
+    upto, below = F.col("_upto") / n, F.col("_below") / n
+    best = (F.pow(upto, k) - F.pow(below, k)) / same
+    worst = (F.pow(1 - below, k) - F.pow(1 - upto, k)) / same
+    found = placed.withColumn("_b", best).withColumn("_w", worst).groupBy(*group).agg(
+        F.sum(v * F.col("_b")).alias("best_mean"), F.sum(v * v * F.col("_b")).alias("_b2"), F.sum(v * F.col("_w")).alias("worst_mean"), F.sum(v * v * F.col("_w")).alias("_w2")
+    )
+    std = lambda m, s: F.sqrt(F.greatest(F.col(s) - F.col(m) * F.col(m), F.lit(0.0)))
+    return found.withColumn("best_std", std("best_mean", "_b2")).withColumn("worst_std", std("worst_mean", "_w2")).drop("_b2", "_w2")
+
+
 def best_worst(df: DataFrame, group: list[str], value: str, n: Column | str) -> DataFrame:
     """Expected best and worst of ``n`` draws with replacement from each group's values, and their deviations.
 
     The distribution of the best of n draws is known from the empirical distribution
     function, so nothing is drawn; a thousand draws converge to these figures.
     """
-    w = Window.partitionBy(*group).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy(*group)
-    k = F.col(n) if isinstance(n, str) else n
-    x = df.withColumn("_n", F.count("*").over(all_)).withColumn("_f", F.count("*").over(w) / F.col("_n")).withColumn("_same", F.count("*").over(Window.partitionBy(*group, value)))
-    below = F.col("_f") - F.col("_same") / F.col("_n")
-    best = (F.pow("_f", k) - F.pow(below, k)) / F.col("_same")
-    worst = (F.pow(1 - below, k) - F.pow(1 - F.col("_f"), k)) / F.col("_same")
-    v = F.col(value)
-    found = x.withColumn("_b", best).withColumn("_w", worst).groupBy(*group).agg(
-        F.sum(v * F.col("_b")).alias("best_mean"), F.sum(v * v * F.col("_b")).alias("_b2"), F.sum(v * F.col("_w")).alias("worst_mean"), F.sum(v * v * F.col("_w")).alias("_w2")
-    )
-    std = lambda m, s: F.sqrt(F.greatest(F.col(s) - F.col(m) * F.col(m), F.lit(0.0)))
-    return found.withColumn("best_std", std("best_mean", "_b2")).withColumn("worst_std", std("worst_mean", "_w2")).drop("_b2", "_w2")
+    return _best_worst(_placed(df, group, value), group, value, F.col(n) if isinstance(n, str) else n)
 
 
 def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, *, vote: str | None = None, order: str | None = None, draws: int | None = None, seed: int = 42) -> DataFrame:
@@ -155,10 +169,10 @@ def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, *, v
     counts of votes; or drawn ``draws`` times, seeded, where ``order`` tells answers apart.
     """
     group = [source, prompt]
-    base = df.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    sizes = F.concat(F.expr("filter(transform(sequence(1, 20), k -> cast(pow(2, k) as bigint)), k -> k < n)"), F.array("n"))
-    spread = df.join(base.where("n > 1").withColumn("k", F.explode(sizes)).select(*group, "k"), group)
-    drawn = best_worst(spread, [*group, "k"], value, "k")
+    rows = dealt(df.select(*group, value), group, 500_000)
+    base = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    sizes = F.concat(F.expr("filter(transform(sequence(1, 20), k -> cast(pow(2, k) as bigint)), k -> k < _n)"), F.array("_n"))
+    drawn = _best_worst(_placed(rows, group, value).where("_n > 1").withColumn("k", F.explode(sizes)), [*group, "k"], value, F.col("k"))
     name = lambda kind, k, stat: F.concat(F.lit(kind + "@"), k.cast("string"), F.lit(stat))
     simple = base.select(*group, F.explode(F.array(F.struct(name("mean", F.col("n"), "").alias("metric"), F.col("mean").alias("score")), F.struct(name("std", F.col("n"), "").alias("metric"), F.when(F.col("n") > 1, F.col("std")).alias("score")))).alias("m"))
     of = lambda rows, kinds: rows.select(*group, F.explode(F.array(*[F.struct(name(a, F.col("k"), f"/{b}").alias("metric"), F.col(f"{a}_{b}").alias("score")) for a in kinds for b in ("mean", "std")])).alias("m"))

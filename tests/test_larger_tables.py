@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rollsmith import plans
 from rollsmith.operators import filters as P
+from rollsmith.operators import metrics as M
 
 
 def test_first_known_takes_the_first_row_of_equal_keys(spark, tmp_path):
@@ -17,3 +18,11 @@ def test_first_known_takes_the_first_row_of_equal_keys(spark, tmp_path):
 def test_weights_alike_but_for_their_last_digits_stay_together(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate([0.1 + 0.2, 0.3, 0.3, 0.3, 0.1 + 0.2, 0.2, 0.5])], "i int, w double")
     assert {r["i"] for r in P.weight_percentile(df, "w", 0.7).collect()} == {0, 1, 2, 3, 4, 6}
+
+
+def test_validation_metrics_sort_a_group_once_and_keep_null_ones(spark):
+    rows = [("s", "p", 0.8), ("s", "p", 0.9), (None, "p", 0.8), (None, "p", 0.9)]
+    found = M.validation_metrics(spark.createDataFrame(rows, "s string, p string, v double"), "s", "p", "v")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    got = {(r["s"], r["metric"]): r["score"] for r in found.collect()}
+    assert abs(got["s", "best@2/mean"] - 0.875) < 1e-12 and got[None, "best@2/mean"] == got["s", "best@2/mean"]
