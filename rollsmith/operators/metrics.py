@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from rollsmith.functions.tokens import let
 from rollsmith.operators.ranking import group_quantiles
@@ -183,35 +186,80 @@ def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, *, v
     return found.select(source, "m.*").where("score is not null").groupBy(source, "metric").agg(F.avg("score").alias("score"))
 
 
+#: Positions drawn at once; draws of up to a sixteenth of it are kept, as groups of a size share them.
+BLOCK = 1 << 20
+
+
+@functools.lru_cache(64)
+def _kept(size: int, n: int, draws: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).randint(0, size, (draws, n))
+
+
+def _positions(size: int, n: int, draws: int, seed: int) -> Iterator[np.ndarray]:
+    """Positions of each draw of ``n`` of ``size`` answers, some draws at a time: the sequence of ``numpy.random.choice``."""
+    if draws * n <= BLOCK // 16:
+        yield _kept(size, n, draws, seed)
+        return
+    state, most = np.random.RandomState(seed), max(1, BLOCK // n)
+    for done in range(0, draws, most):
+        yield state.randint(0, size, (min(most, draws - done), n))
+
+
 def _resampled(values: np.ndarray, votes: np.ndarray | None, n: int, draws: int, seed: int) -> np.ndarray:
-    """Best, worst and majority's value of each draw of ``n`` answers, in numpy's own sequence; a tied vote goes to the one drawn first."""
-    np.random.seed(seed)
-    out = np.full((draws, 3), np.nan)
-    for row in out:
-        at = np.random.choice(len(values), size=n, replace=True)
-        row[:2] = values[at].max(), values[at].min()
+    """Best, worst and majority's value of each draw of ``n`` answers, in numpy's own sequence; a tied vote (numbered from 0) goes to the one drawn first."""
+    out, done = np.full((draws, 3), np.nan), 0
+    for at in _positions(len(values), n, draws, seed):
+        drawn, rows = values[at], out[done : done + len(at)]
+        done += len(at)
+        rows[:, 0], rows[:, 1] = drawn.max(axis=1), drawn.min(axis=1)
         if votes is not None:
-            _, first, counts = np.unique(votes[at], return_index=True, return_counts=True)
-            row[2] = values[at[first[counts == counts.max()].min()]]
+            kinds = int(votes.max()) + 1
+            cells = votes[at] + kinds * np.arange(len(at))[:, None]
+            counts = np.bincount(cells.ravel(), minlength=len(at) * kinds).reshape(-1, kinds)
+            first = np.full(counts.size, n)
+            first[cells[:, ::-1].ravel()] = np.tile(np.arange(n)[::-1], len(at))
+            won = np.where(counts == counts.max(axis=1, keepdims=True), first.reshape(counts.shape), n).min(axis=1)
+            rows[:, 2] = drawn[np.arange(len(at)), won]
     return out
 
 
+def _groups_resampled(df: DataFrame, group: list[str], value: str, vote: str | None, order: str, one: Callable[[np.ndarray, np.ndarray | None], list[tuple]], names: list[str]) -> DataFrame:
+    """What ``one`` gives for each group's values, in order, and their votes' numbers. Drawing is what costs, so rows are dealt by group to all tasks."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    cell = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"), (F.col(vote) if vote else F.lit(None)).cast("string").alias("vote"))
+    columns = list(dict.fromkeys([*group, value, *([vote] if vote else []), order]))
+    cells = dealt(df.select(*columns), group, 20_000).groupBy(*group).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_cells")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            values = flat.field("value").to_numpy(zero_copy_only=False)
+            votes = flat.field("vote").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) if vote else None
+            of, rows = [], []
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                found = one(values[a:b], np.unique(votes[a:b], return_inverse=True)[1] if vote else None)
+                of += [i] * len(found)
+                rows += found
+            keys = [batch.column(g).take(pa.array(of, pa.int64())) for g in group]
+            stats = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.int64() if name == "k" else pa.float64()) for name, c in zip(names, stats))], [*group, *names])
+
+    shape = StructType([StructField(g, kinds[g]) for g in group] + [StructField(n, LongType() if n == "k" else DoubleType()) for n in names])
+    return cells.mapInArrow(run, shape)
+
+
 def majority_draws(df: DataFrame, group: list[str], value: str, vote: str, order: str, *, draws: int = 1000, seed: int = 42) -> DataFrame:
     """``group, k, maj_mean, maj_std`` for k = 2, 4, 8, ... below each group's number of answers, and that number.
 
     A group is the answers to one prompt and is resampled whole.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        x, votes = rows[value].to_numpy(float), rows[vote].astype(str).to_numpy(str)
+    def one(x: np.ndarray, votes: np.ndarray) -> list[tuple]:
         sizes = [2**e for e in range(1, 21) if 2**e < len(x)] + [len(x)] * (len(x) > 1)
-        stats = [(k, d.mean(), d.std()) for k in sizes for d in [_resampled(x, votes, k, draws, seed)[:, 2]]]
-        return pd.DataFrame([(*(rows[g].iloc[0] for g in group), *s) for s in stats], columns=[*group, "k", "maj_mean", "maj_std"])
+        return [(k, d.mean(), d.std()) for k in sizes for d in [_resampled(x, votes, k, draws, seed)[:, 2]]]
 
-    kinds = dict(df.dtypes)
-    shape = ", ".join(f"{g} {kinds[g]}" for g in group) + ", k long, maj_mean double, maj_std double"
-    return df.select(*dict.fromkeys([*group, value, vote, order])).groupBy(*group).applyInPandas(one, shape)
+    return _groups_resampled(df, group, value, vote, order, one, ["k", "maj_mean", "maj_std"])
 
 
 def bootstrap(df: DataFrame, group: str, value: str, n: int, *, draws: int = 1000, seed: int = 42, vote: str | None = None, order: str | None = None) -> DataFrame:
@@ -219,17 +267,12 @@ def bootstrap(df: DataFrame, group: str, value: str, n: int, *, draws: int = 100
 
     A group is the answers to one prompt; it is resampled whole, in numpy's own sequence.
     """
-    names = [f"{a}_{b}" for a in ("best", "worst", "maj") for b in ("mean", "std")]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order or value, kind="stable")
-        found = _resampled(rows[value].to_numpy(float), rows[vote].astype(str).to_numpy(str) if vote else None, n, draws, seed)
-        stats = [f(found[:, i]) if vote or i < 2 else None for i in range(3) for f in (np.mean, np.std)]
-        return pd.DataFrame([(rows[group].iloc[0], *stats)], columns=[group, *names])
+    def one(x: np.ndarray, votes: np.ndarray | None) -> list[tuple]:
+        found = _resampled(x, votes, n, draws, seed)
+        return [tuple(f(found[:, i]) if vote or i < 2 else None for i in range(3) for f in (np.mean, np.std))]
 
-    kind = dict(df.dtypes)[group]
-    columns = list(dict.fromkeys([group, value, *([vote] if vote else []), *([order] if order else [])]))
-    return df.select(*columns).groupBy(group).applyInPandas(one, f"{group} {kind}, " + ", ".join(f"{n} double" for n in names))
+    return _groups_resampled(df, [group], value, vote, order or value, one, [f"{a}_{b}" for a in ("best", "worst", "maj") for b in ("mean", "std")])
 
 
 def majority_value(df: DataFrame, group: list[str], vote: str, value: str, order: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from rollsmith import plans
 from rollsmith.operators import filters as P
 from rollsmith.operators import metrics as M
@@ -26,3 +29,24 @@ def test_validation_metrics_sort_a_group_once_and_keep_null_ones(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     got = {(r["s"], r["metric"]): r["score"] for r in found.collect()}
     assert abs(got["s", "best@2/mean"] - 0.875) < 1e-12 and got[None, "best@2/mean"] == got["s", "best@2/mean"]
+
+
+def test_resampling_a_group_takes_few_calls_of_numpy_and_the_same_draws(monkeypatch):
+    rng = np.random.default_rng(3)
+    for size, n, votes in ((1, 4, 1), (5, 8, 3), (60, 60, 60), (9, 300, 2)):
+        values, named = rng.random(size), rng.integers(0, votes, size)
+        for block in (1 << 20, 700):
+            monkeypatch.setattr(M, "BLOCK", block)
+            got = M._resampled(values, np.unique(named, return_inverse=True)[1], n, 50, 7)
+            np.random.seed(7)
+            for row in got:
+                at = np.random.choice(size, size=n, replace=True)
+                _, first, counts = np.unique(named[at], return_index=True, return_counts=True)
+                assert row.tolist() == [values[at].max(), values[at].min(), values[at[first[counts == counts.max()].min()]]]
+
+
+def test_groups_are_resampled_by_all_tasks(spark):
+    df = spark.range(400).selectExpr("id div 4 AS g", "id AS i", "rand(1) AS v", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'None' ELSE 'b' END AS w")
+    found = M.majority_draws(df, ["g"], "v", "w", "i", draws=5)
+    assert found.count() == 200 and found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert M.bootstrap(df, "g", "v", 4, draws=5, vote="w", order="i").count() == 100
