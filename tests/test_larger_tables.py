@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollsmith import plans
 from rollsmith.operators import filters as P
 from rollsmith.operators import metrics as M
+from rollsmith.operators import records as E
 
 
 def test_first_known_takes_the_first_row_of_equal_keys(spark, tmp_path):
@@ -50,3 +51,10 @@ def test_groups_are_resampled_by_all_tasks(spark):
     found = M.majority_draws(df, ["g"], "v", "w", "i", draws=5)
     assert found.count() == 200 and found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert M.bootstrap(df, "g", "v", 4, draws=5, vote="w", order="i").count() == 100
+
+
+def test_a_proposal_is_parsed_once(spark):
+    df = spark.range(1).select(F.concat(F.lit("Proposal:\n- B: Ann"), F.col("id").cast("string")).alias("m"))
+    found = df.repartition(1).select(E.proposal(F.col("m"), ["Ann0", "Bob"], ["B"]).alias("p")).select("p.status", "p.pairs")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 4
+    assert found.first()["status"] == "ok" and found.first()["pairs"][0]["row"] == 0
