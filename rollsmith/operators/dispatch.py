@@ -1,7 +1,8 @@
 """Work dealt to a number of workers and gathered again in order.
 
 A mode is a pair: how rows are dealt to workers, and which results are kept. A worker is a
-partition, addressed directly (``repartitionById``); rows carry their place, so results come back in
+partition, addressed directly (``repartitionById``), or several of neighbours where its rows are too many
+for one task to sort; rows carry their place, so results come back in
 the order of what was dealt, without the rows that were added to make the shares equal.
 """
 
@@ -20,6 +21,10 @@ Keep = Callable[[DataFrame], DataFrame]
 MODES: dict[str, tuple[Deal, Keep]] = {}
 
 
+#: Rows that one task sorts; a larger table has several tasks for each worker.
+ROWS = 250_000
+
+
 def mode(name: str, deal: Deal, keep: Keep) -> None:
     """Register a mode. ``deal`` adds ``_worker`` and ``_place``; ``keep`` takes the results of all workers."""
     if name in MODES:
@@ -59,14 +64,20 @@ def dispatch(df: DataFrame, how: str, workers: int, order: list, work: Callable[
 
     ``work`` takes the worker's number and its rows in frames, in order of place, and returns as many rows, in
     the same order, of ``schema``. ``order`` has to tell rows apart if results are to be the same in each run. An empty
-    table gives no rows. Every row is held by one task at a time; a worker's rows stream through its task.
+    table gives no rows. Every row is held by one task at a time; a worker's rows stream through its task, or through several, each with
+    runs of ``ROWS`` neighbours.
     """
     if how not in MODES:
         raise ValueError(f"unknown mode {how}; known are {', '.join(sorted(MODES))}")
     deal, keep = MODES[how]
     dealt = deal(df, workers, order)
     marks = ["_worker", "_place", *(["_added"] if "_added" in dealt.columns else [])]
-    sent = dealt.repartitionById(workers, F.col("_worker").cast("int")).sortWithinPartitions("_worker", "_place")
+    runs = -(-df.count() // ROWS)
+    if runs > 1:
+        sent = dealt.repartition(workers * runs, "_worker", F.floor(F.col("_place") / ROWS))
+    else:
+        sent = dealt.repartitionById(workers, F.col("_worker").cast("int"))
+    sent = sent.sortWithinPartitions("_worker", "_place")
     names = [c for c in dealt.columns if c not in marks]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

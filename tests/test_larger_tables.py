@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rollsmith import plans
+from rollsmith.operators import dispatch as D
 from rollsmith.operators import filters as P
 from rollsmith.operators import metrics as M
 from rollsmith.operators import records as E
@@ -58,3 +59,18 @@ def test_a_proposal_is_parsed_once(spark):
     found = df.repartition(1).select(E.proposal(F.col("m"), ["Ann0", "Bob"], ["B"]).alias("p")).select("p.status", "p.pairs")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 4
     assert found.first()["status"] == "ok" and found.first()["pairs"][0]["row"] == 0
+
+
+def test_a_large_worker_has_several_tasks(spark, monkeypatch):
+    def work(worker, frames):
+        from pyspark import TaskContext
+
+        for rows in frames:
+            yield rows.assign(task=TaskContext.get().partitionId())
+
+    monkeypatch.setattr(D, "ROWS", 10)
+    df = spark.range(95).withColumnRenamed("id", "n")
+    for how, copies in (("one_to_all", 3), ("shares", 1)):
+        got = D.dispatch(df, how, 3, ["n"], work, "n long, task long").collect()
+        assert sorted((r["worker"], r["place"]) for r in got if r["place"] == r["n"])[:2] == [(0, 0), (0, 1)] and len(got) == 95 * copies
+        assert len({r["task"] for r in got if r["worker"] == 0}) > 1
