@@ -8,9 +8,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from rollsmith.functions.tokens import let
 from rollsmith.operators.ranking import group_quantiles
@@ -345,10 +346,203 @@ def ngrams(words: Column, n: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= n, shifted(w)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
+#: Words that a task takes up at once, and parts that runs of words are dealt to.
+WORDS, PARTS = 1 << 21, 1 << 10
+
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\f\x0b", dtype=np.uint8))
+_BYTES = np.random.default_rng(0).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+def _packs(batches: Iterator[pa.RecordBatch], words: str, keys: list[str] = (), limit: int = 0) -> Iterator[pa.Table]:
+    """The rows in tables of about ``WORDS`` words, or ``limit``; where ``keys`` are given, neighbours alike in them stay together."""
+    held, size, limit = [], 0, limit or WORDS
+    for batch in batches:
+        ends = np.cumsum(_size(batch.column(words)))
+        start, before = 0, 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit - size, "right")))
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - before
+            start, before = stop, int(ends[stop - 1])
+            if size < limit:
+                continue
+            table, cut = pa.Table.from_batches(held).combine_chunks(), None
+            if keys:
+                last = np.flatnonzero(np.diff(_numbered(table, keys)[0]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+            if cut != 0:
+                yield table.slice(0, cut)
+            held = [] if cut is None else table.slice(cut).to_batches()
+            size = sum(int(_size(b.column(words)).sum()) for b in held) if cut else 0  # one key alone: as much again, then look once more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _size(column: pa.Array) -> np.ndarray:
+    """Words of each list; of texts or packed lengths, about as many."""
+    lists = pa.types.is_list(column.type)
+    return np.asarray(pc.fill_null(pc.list_value_length(column) if lists else pc.binary_length(column), 0), dtype=np.int64) // (1 if lists else 4)
+
+
+def _lists(column: pa.ChunkedArray) -> pa.Array:
+    """Lists of words; texts are cut at white space, as ``functions.text.words`` has it."""
+    lists = _whole(column)
+    if pa.types.is_list(lists.type):
+        return lists
+    texts = lists.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kept = ~_BLANK[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)  # where a word, or a blank after one, begins
+    edge[1:-1] = kept[1:] != kept[:-1]
+    edge[ends] = True  # no word goes on from one text to the next
+    edge = np.flatnonzero(edge)
+    begins = edge[:-1][kept[edge[:-1]]]
+    at = np.append(0, np.cumsum(np.diff(edge)[kept[edge[:-1]]])).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(begins), pa.py_buffer(at), pa.py_buffer(data[kept]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begins, ends).astype(np.int32)), flat)
+
+
+def _numbered(table: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's values of ``by``, and a row of each number."""
+    number = np.zeros(len(table), dtype=np.int64)
+    for b in by:
+        coded = _whole(table[b]).dictionary_encode(null_encoding="encode")
+        number = np.unique(number, return_inverse=True)[1] * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    return number, first
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+class _Runs:
+    """The runs of ``n`` words of lists: the ``row`` and the ``number`` of each, equal for equal words; numbers times ``most`` fit a long."""
+
+    def __init__(self, lists: pa.Array, n: int, most: int):
+        sizes = _size(lists)
+        counts = np.maximum(sizes - n + 1, 0)
+        self.row = np.repeat(np.arange(len(sizes)), counts)
+        self.at = np.arange(len(self.row)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts)
+        coded = pc.list_flatten(lists).dictionary_encode(null_encoding="encode")
+        self.n, self.words, self.ids, self.base = n, coded.dictionary, coded.indices.to_numpy(), max(len(coded.dictionary), 1)
+        self.plain = self.base**n * most < 1 << 62
+        self.number = self.ids[self.at].astype(np.int64)
+        for k in range(1, n):
+            self.number = self.number * self.base + self.ids[self.at + k]
+            if not self.plain:
+                _, self.first, self.number = np.unique(self.number, return_index=True, return_inverse=True)
+
+    def spelled(self, number: np.ndarray) -> list[np.ndarray]:
+        """The numbers of the words of runs."""
+        if self.plain:
+            return [number // self.base ** (self.n - 1 - k) % self.base for k in range(self.n)]
+        return [self.ids[self.at[self.first[number]] + k] for k in range(self.n)]
+
+    def joined(self, spelled: list[np.ndarray]) -> pa.Array:
+        """Runs as strings; null if a word is."""
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(k)) for k in spelled], " ", null_handling="emit_null")
+
+    def part(self, spelled: list[np.ndarray]) -> np.ndarray:
+        """The part of each run, by the bytes of its string: the same in all tasks, however they are cut into words."""
+        words = pc.fill_null(self.words, "").cast(pa.large_binary())
+        ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1]
+        sums = np.append(np.uint64(0), np.cumsum(_BYTES[np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)], dtype=np.uint64))
+        word = sums[ends[1:]] - sums[ends[:-1]]
+        part = (sum(word[k] for k in spelled) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PARTS
+        if self.words.null_count:  # null runs are one
+            missing = np.asarray(self.words.is_null())
+            part[np.logical_or.reduce([missing[k] for k in spelled])] = 0
+        return part
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each different number of an ordered array begins."""
+    return np.flatnonzero(np.append(len(ordered) > 0, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
+def _dealt(table: pa.Table, by: list[str], group: np.ndarray, first: np.ndarray, part: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Columns of one row for each group and part; the order that brings what belongs there together, and where each row begins in it."""
+    number = part * max(len(first), 1) + group
+    order = np.argsort(number)
+    starts = _starts(number[order])
+    lead = order[starts]
+    return {b: table[b].take(pa.array(first[group[lead]])) for b in by} | {"_part": pa.array(part[lead].astype(np.int32))}, order, np.append(starts, len(order))
+
+
+def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Numbers as one binary for each of the stretches that begin at ``starts``."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _packed(strings: pa.Array, starts: np.ndarray) -> dict[str, pa.Array]:
+    """Strings as two binaries for each stretch: their bytes, and their lengths (-1: null)."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(strings), -1), dtype=np.int32)
+    ends = np.append(0, np.cumsum(np.maximum(lengths, 0), dtype=np.int64))
+    whole = pc.fill_null(strings, "")
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(ends[starts].astype(np.int32)), whole.buffers()[2] or pa.py_buffer(b"")])
+    return {"_bytes": data, "_lengths": _blobs(lengths, starts)}
+
+
+def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _unpacked(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The strings of ``_packed`` in one array, and how many each row had."""
+    lengths = _numbers(table["_lengths"], np.int32)
+    ends = np.append(0, np.cumsum(np.maximum(lengths, 0), dtype=np.int64))
+    missing = pa.py_buffer(np.packbits(lengths >= 0, bitorder="little")) if (lengths < 0).any() else None
+    strings = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(b"".join(table["_bytes"].to_pylist())), missing)
+    return strings, np.asarray(pc.binary_length(table["_lengths"]), dtype=np.int64) // 4
+
+
+_PACKED = [StructField("_part", IntegerType()), StructField("_bytes", BinaryType()), StructField("_lengths", BinaryType())]
+
+
+def _kinds(df: DataFrame, names: list[str]) -> list[StructField]:
+    return [StructField(b, df.schema[b].dataType) for b in names]
+
+
+def _batches(columns: dict) -> list[pa.RecordBatch]:
+    return pa.table(columns).combine_chunks().to_batches(max_chunksize=256)
+
+
 def distinct_n(df: DataFrame, by: list[str], words: str, n: int) -> DataFrame:
-    """Distinct runs of ``n`` words over all runs."""
-    grams = df.select(*by, F.explode(ngrams(F.col(words), n)).alias("_gram")).groupBy(*by, "_gram").agg(F.count("*").alias("_uses"))
-    return grams.groupBy(*by).agg(F.count("*").alias("unique"), F.sum("_uses").alias("total")).withColumn("distinct_n", F.col("unique") / F.col("total"))
+    """Distinct runs of ``n`` words over all runs; ``words`` are arrays, or texts to be cut at white space.
+
+    A task numbers the words it meets and so finds the different runs among ``WORDS`` at a time; it passes
+    each of these on once, to one of ``PARTS``, with others in one row, and the strings of a part are counted together.
+    """
+    by = list(by)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _packs(batches, words):
+            group, first = _numbered(table, by)
+            runs = _Runs(_lists(table[words]), n, len(first))
+            number = np.sort(runs.number * len(first) + group[runs.row])
+            starts = _starts(number)
+            uses, (number, group) = np.diff(np.append(starts, len(number))), np.divmod(number[starts], len(first))
+            spelled = runs.spelled(number)
+            columns, order, starts = _dealt(table, by, group, first, runs.part(spelled))
+            totals = np.diff(np.append(0, np.cumsum(uses[order]))[starts])
+            yield from _batches(columns | _packed(runs.joined([k[order] for k in spelled]), starts) | {"_total": pa.array(totals)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _packs(batches, "_lengths", ["_part"], WORDS >> 2):
+            group, first = _numbered(table, by)
+            strings, many = _unpacked(table)
+            number = np.sort(strings.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64) * len(first) + np.repeat(group, many))
+            unique = np.bincount(number[_starts(number)] % len(first), minlength=len(first))
+            totals = np.bincount(group, table["_total"].to_numpy(), len(first)).astype(np.int64)
+            yield from _batches({b: table[b].take(pa.array(first)) for b in by} | {"_unique": pa.array(unique), "_total": pa.array(totals)})
+
+    kinds = _kinds(df, by)
+    parts = df.select(*by, words).mapInArrow(find, StructType([*kinds, *_PACKED, StructField("_total", LongType())]))
+    counts = parts.repartition("_part").sortWithinPartitions("_part").mapInArrow(count, StructType([*kinds, StructField("_unique", LongType()), StructField("_total", LongType())]))
+    return counts.groupBy(*by).agg(F.coalesce(F.sum("_unique"), F.lit(0)).alias("unique"), F.sum("_total").alias("total")).withColumn("distinct_n", F.col("unique") / F.col("total"))
 
 
 def self_bleu(df: DataFrame, by: list[str], key: str, words: str, n: int = 2) -> DataFrame:

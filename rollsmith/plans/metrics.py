@@ -212,7 +212,7 @@ def _words(t: Tables) -> DataFrame:
 
 @query("a25_distinct_n", f"WITH {GRAMS_SQL} SELECT lang, count(DISTINCT g) AS \"unique\", count(*) AS total, round(count(DISTINCT g) / count(*), 9) AS distinct_n FROM g GROUP BY lang")
 def a25(t: Tables) -> DataFrame:
-    return rounded(M.distinct_n(_words(t), ["lang"], "words", 2), 9)
+    return rounded(M.distinct_n(t.documents, ["lang"], "text", 2), 9)
 
 
 @query("a26_self_bleu", f"""WITH {GRAMS_SQL}, c AS (SELECT lang, doc_id, g, count(*) AS c FROM g GROUP BY ALL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rollsmith import plans
@@ -74,3 +75,31 @@ def test_a_large_worker_has_several_tasks(spark, monkeypatch):
         got = D.dispatch(df, how, 3, ["n"], work, "n long, task long").collect()
         assert sorted((r["worker"], r["place"]) for r in got if r["place"] == r["n"])[:2] == [(0, 0), (0, 1)] and len(got) == 95 * copies
         assert len({r["task"] for r in got if r["worker"] == 0}) > 1
+
+
+def test_distinct_runs_are_counted_without_a_row_for_each(spark):
+    lists = [("a", ["x", "y", "x", "y"]), ("a", ["x y", "x"]), ("b", ["x", None, "y", None]), ("b", []), ("b", None), (None, ["x", "y x"]), (None, ["x", "y", "x"])]
+    df = spark.createDataFrame(lists, "g string, w array<string>").repartition(3)
+    for n in (1, 2, 3, 9):
+        for by in ([], ["g"]):
+            found = M.distinct_n(df, by, "w", n)
+            assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+            runs = {}
+            for g, w in lists:
+                for i in range(len(w or []) - n + 1):
+                    runs.setdefault(g if by else 0, []).append(None if None in w[i : i + n] else " ".join(w[i : i + n]))
+            got = {(r["g"] if by else 0): (r["unique"], r["total"]) for r in found.collect() if r["total"]}
+            assert got == {g: (len(set(r)), len(r)) for g, r in runs.items()}
+    texts = spark.createDataFrame([("a", " x\ty\x0bx \n y"), ("a", ""), ("a", None), ("a", " "), ("a", "é\x1cx"), ("a", "y")], "g string, w string")
+    for n, (unique, total) in ((1, (3, 6)), (2, (2, 3))):
+        assert M.distinct_n(texts, ["g"], "w", n).select("unique", "total").first() == (unique, total)
+
+
+def test_packs_keep_neighbours_of_one_key_together(monkeypatch):
+    monkeypatch.setattr(M, "WORDS", 5)
+    rows = [(k, ["w"] * (i % 4)) for k, many in enumerate((1, 7, 2, 1, 9, 3)) for i in range(many)]
+    table = pa.table({"k": [k for k, _ in rows], "w": [w for _, w in rows]})
+    for size in (1, 4, 50):
+        packs = list(M._packs(iter(table.to_batches(max_chunksize=size)), "w", ["k"]))
+        assert pa.concat_tables(packs).equals(table) and sum(len(set(p["k"].to_pylist())) for p in packs) == 6 and len(packs) > 2
+        assert pa.concat_tables(M._packs(iter(table.to_batches(max_chunksize=size)), "w")).equals(table)
