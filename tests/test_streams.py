@@ -10,7 +10,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from rollsmith.streaming import commits
-from rollsmith.streaming.groups import closing_state, gather_closing
+from rollsmith.streaming.groups import BUCKETS, closing_state, gather_closing
 from rollsmith.streaming.streams import source
 
 SCHEMA = "n long"
@@ -122,3 +122,18 @@ def test_keys_that_close_leave_no_state(spark, tmp_path, files):
     assert found == groups_of(rows, 4, 3600, 100 * 3600 - 300)
     # Of keys 0 to 4 nothing is left; key 9 still holds two rows (a list's elements, its length, a timer).
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_keys_share_states_and_timers(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, 60 * i + k % 7, i, float(i)) for k in range(700) for i in range(3 + k % 4)] + [(-1, 3600 * 2, 0, 1.0)]
+    schema = "k long, ts timestamp, o long, v double"
+    spark.createDataFrame([(k, base + dt.timedelta(seconds=t), o, v) for k, t, o, v in rows], schema).write.parquet(str(tmp_path / "in"))
+    stream = source(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 9)
+    with closing_state(spark):
+        query = gather_closing(stream, "k", "v", "o", "ts", size=4, gap="2 hours", late="5 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    found = sorted((r["k"], int((r["start"] - base).total_seconds()), r["group"], list(r["values"]), r["complete"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == groups_of(rows, 4, 7200, 7200 - 300) and len(found) == 525
+    # All lives are open: a value and a timer (kept twice) for each bucket, not for each key.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * BUCKETS < 3 * 701
