@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from rollsmith.functions.tokens import let
 from rollsmith.operators.ranking import group_quantiles
@@ -506,8 +506,8 @@ def _kinds(df: DataFrame, names: list[str]) -> list[StructField]:
     return [StructField(b, df.schema[b].dataType) for b in names]
 
 
-def _batches(columns: dict) -> list[pa.RecordBatch]:
-    return pa.table(columns).combine_chunks().to_batches(max_chunksize=256)
+def _batches(columns: dict, rows: int = 256) -> list[pa.RecordBatch]:
+    return pa.table(columns).combine_chunks().to_batches(max_chunksize=rows)
 
 
 def distinct_n(df: DataFrame, by: list[str], words: str, n: int) -> DataFrame:
@@ -548,21 +548,81 @@ def distinct_n(df: DataFrame, by: list[str], words: str, n: int) -> DataFrame:
 def self_bleu(df: DataFrame, by: list[str], key: str, words: str, n: int = 2) -> DataFrame:
     """Mean over texts of their n-gram precision, each gram clipped by its most frequent use in another text.
 
-    Only the text that uses a gram most is clipped, to the second most frequent use. So
-    each task passes on the two most frequent uses it has seen of a gram, however many
-    texts hold it, and what is cut is taken off the texts' numbers of grams.
+    ``words`` are arrays, or texts to be cut at white space; rows of one ``key`` are one text. Only the text that
+    uses a gram most is clipped, to the second most frequent use. So a task, which has texts whole, passes on the two
+    most frequent uses of each gram among ``WORDS``, however many texts hold it, packed as in ``distinct_n``; what
+    is cut is taken off the texts' numbers of grams.
     """
-    texts = df.select(*by, key, ngrams(F.col(words), n).alias("_grams"))
-    total = texts.groupBy(*by, key).agg(F.sum(F.size("_grams")).alias("_total")).where("_total > 0")
-    uses = texts.select(*by, key, F.explode("_grams").alias("_gram")).groupBy(*by, key, "_gram").agg(F.count("*").alias("_uses"))
-    order = Window.partitionBy(*by, "_gram").orderBy(F.col("_uses").desc(), key)
-    two = uses.withColumn("_place", F.row_number().over(order)).where("_place <= 2")
-    top = two.groupBy(*by, "_gram").agg(F.max(F.when(F.col("_place") == 1, F.struct(key, "_uses"))).alias("_top"), F.max(F.when(F.col("_place") == 2, F.col("_uses"))).alias("_second"))
-    cut = top.groupBy(*by, F.col("_top")[key].alias(key)).agg(F.sum(F.greatest(F.col("_top._uses") - F.coalesce("_second", F.lit(0)), F.lit(0))).alias("_cut"))
-    per = total.join(cut, [*by, key], "left").withColumn("_p", (F.col("_total") - F.coalesce("_cut", F.lit(0))) / F.col("_total"))
+    by = list(by)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _packs(batches, words, [*by, key]):
+            group, first = _numbered(table, by)
+            text, lead = _numbered(table, [*by, key])
+            runs = _Runs(_lists(table[words]), n, len(lead))
+            text_of = text[runs.row]
+            group_of = group[lead]
+            totals = np.bincount(text_of, minlength=len(lead))
+            order = np.argsort(group_of, kind="stable")
+            starts = np.append(_starts(group_of[order]), len(order))
+            row = {b: table[b].take(pa.array(first)) for b in by} | {"_part": pa.array(np.arange(len(first), dtype=np.int32)), "_bytes": pa.nulls(len(first), pa.binary()), "_lengths": pa.nulls(len(first), pa.binary())}
+            yield from _batches(row | {"_keys": _lists_of(table[key], lead[order], starts), "_most": _blobs(totals[order], starts), "_second": pa.nulls(len(first), pa.binary())})
+            number = np.sort(runs.number * len(lead) + text_of)
+            starts = _starts(number)
+            uses, (number, text) = np.diff(np.append(starts, len(number))), np.divmod(number[starts], len(lead))
+            top, second = _two(number, group_of[text], uses)
+            spelled = runs.spelled(number[top])
+            columns, order, starts = _dealt(table, by, group_of[text[top]], first, runs.part(spelled))
+            packed = _packed(runs.joined([k[order] for k in spelled]), starts)
+            top, second = top[order], second[order]
+            yield from _batches(columns | packed | {"_keys": _lists_of(table[key], lead[text[top]], starts), "_most": _blobs(uses[top], starts), "_second": _blobs(second, starts)})
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _packs(batches, "_lengths", ["_part"], WORDS >> 2):
+            whole = table.filter(pc.is_null(table["_second"]))
+            keys = pc.list_flatten(_whole(whole["_keys"]))
+            at = pc.list_parent_indices(_whole(whole["_keys"]))
+            runs = _numbers(whole["_most"], np.int64)
+            yield from _batches({b: whole[b].take(at) for b in by} | {key: keys, "_runs": pa.array(runs), "_cut": pa.array(np.zeros_like(runs))}, 1 << 16)
+            table = table.filter(pc.is_valid(table["_second"]))
+            strings, many = _unpacked(table)
+            most, seconds = _numbers(table["_most"], np.int64), _numbers(table["_second"], np.int64)
+            row = np.repeat(np.arange(len(table)), many)
+            top, second = _two(strings.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64), _numbered(table, by)[0][row], most)
+            cut = most[top] - np.maximum(second, seconds[top])
+            top, cut = top[cut > 0], cut[cut > 0]
+            keys = pc.list_flatten(_whole(table["_keys"])).take(pa.array(top))
+            yield from _batches({b: table[b].take(pa.array(row[top])) for b in by} | {key: keys, "_runs": pa.array(np.zeros_like(cut)), "_cut": pa.array(cut)}, 1 << 16)
+
+    kinds, own = _kinds(df, by), df.schema[key].dataType
+    parts = df.select(*by, key, words).repartition(*by, key).sortWithinPartitions(*by, key).mapInArrow(find, StructType([*kinds, *_PACKED, StructField("_keys", ArrayType(own)), StructField("_most", BinaryType()), StructField("_second", BinaryType())]))
+    cuts = parts.repartition("_part").sortWithinPartitions("_part").mapInArrow(rank, StructType([*kinds, StructField(key, own), StructField("_runs", LongType()), StructField("_cut", LongType())]))
+    per = cuts.groupBy(*by, key).agg(F.sum("_runs").alias("_total"), F.sum("_cut").alias("_cut")).where("_total > 0")
+    per = per.withColumn("_p", (F.col("_total") - F.col("_cut")) / F.col("_total"))
     return per.groupBy(*by).agg(F.avg("_p").alias("self_bleu"), F.count("*").alias("texts"))
 
 
+def _two(number: np.ndarray, group: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each number in each group, where its most uses are, and its second most (0 if there are none)."""
+    groups, most = int(group.max(initial=0)) + 1, int(uses.max(initial=0)) + 1
+    if int(number.max(initial=0)) * groups * most < 1 << 61:
+        key = (number * groups + group) * most + (most - 1 - uses)
+        order = np.argsort(key)
+        starts = _starts(key[order] // most)
+    else:
+        order = np.lexsort((-uses, group, number))
+        a, b = number[order], group[order]
+        starts = np.flatnonzero(np.append(len(a) > 0, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    more = np.diff(np.append(starts, len(order))) > 1
+    second = np.zeros(len(starts), dtype=np.int64)
+    second[more] = uses[order[starts[more] + 1]]
+    return order[starts], second
+
+
+def _lists_of(column: pa.ChunkedArray, rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), _whole(column).take(pa.array(rows)))
+
+
 def vocabulary(df: DataFrame, by: list[str], words: str) -> DataFrame:
     """Type-token ratio and vocabulary size, and mean and population deviation of lengths."""
     lengths = df.groupBy(*by).agg(F.avg(F.size(words)).alias("length_mean"), F.stddev_pop(F.size(words)).alias("length_std"))

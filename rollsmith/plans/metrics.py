@@ -219,7 +219,7 @@ def a25(t: Tables) -> DataFrame:
 m AS (SELECT *, coalesce(max(c) OVER (PARTITION BY lang, g ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, coalesce(max(c) OVER (PARTITION BY lang, g ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS b FROM c)
 SELECT lang, round(avg(p), 6) AS self_bleu, count(*) AS texts FROM (SELECT lang, doc_id, sum(least(c, greatest(a, b))) / sum(c) AS p FROM m GROUP BY ALL) GROUP BY lang""")
 def a26(t: Tables) -> DataFrame:
-    return rounded(M.self_bleu(_words(t), ["lang"], "doc_id", "words"))
+    return rounded(M.self_bleu(t.documents, ["lang"], "doc_id", "text"))
 
 
 @query("a27_vocabulary", f"WITH {WORDS_SQL} SELECT lang, round(length_mean, 6) AS length_mean, round(length_std, 6) AS length_std, vocabulary, tokens, round(vocabulary / tokens, 9) AS type_token_ratio FROM (SELECT lang, avg(len(words)) AS length_mean, stddev_pop(len(words)) AS length_std FROM w GROUP BY lang) JOIN (SELECT lang, count(DISTINCT x) AS vocabulary, count(*) AS tokens FROM (SELECT lang, unnest(words) AS x FROM w) GROUP BY lang) USING (lang)")

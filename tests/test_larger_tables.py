@@ -103,3 +103,28 @@ def test_packs_keep_neighbours_of_one_key_together(monkeypatch):
         packs = list(M._packs(iter(table.to_batches(max_chunksize=size)), "w", ["k"]))
         assert pa.concat_tables(packs).equals(table) and sum(len(set(p["k"].to_pylist())) for p in packs) == 6 and len(packs) > 2
         assert pa.concat_tables(M._packs(iter(table.to_batches(max_chunksize=size)), "w")).equals(table)
+
+
+def test_self_bleu_of_packed_runs(spark):
+    rows = [("a", 1, "x y x y z"), ("a", 2, "x y"), ("a", 1, "y z y"), ("a", 3, "x"), ("b", 1, "x y x y"), ("b", None, "x y x"), (None, 4, "p q p q"), (None, 5, "p q r"), ("c", 6, None), ("a", 7, " \n")]
+    texts = spark.createDataFrame(rows, "g string, i int, w string").repartition(4)
+    uses, scores = {}, {}
+    for g, i, w in rows:
+        w = (w or "").split()
+        uses.setdefault((g, i), []).extend(zip(w, w[1:]))
+    for (g, i), mine in uses.items():
+        if mine:
+            others = [u for (h, j), u in uses.items() if h == g and j != i]
+            scores.setdefault(g, []).append(sum(min(mine.count(x), max((o.count(x) for o in others), default=0)) for x in set(mine)) / len(mine))
+    for df in (texts, texts.withColumn("w", F.split(F.trim(F.translate("w", "\n", " ")), " ")).withColumn("w", F.expr("filter(w, x -> x <> '')"))):
+        found = M.self_bleu(df, ["g"], "i", "w")
+        assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["g"]: (round(r["self_bleu"], 12), r["texts"]) for r in found.collect()}
+        assert got == {g: (round(float(np.mean(s)), 12), len(s)) for g, s in scores.items()}
+
+
+def test_two_most_uses_of_large_numbers():
+    number, group, uses = np.array([5, 5, 5, 1, 1, 5]), np.array([0, 0, 1, 0, 0, 0]), np.array([2, 9, 4, 3, 3, 7])
+    for scale in (1, 1 << 59):
+        top, second = M._two(number * scale, group, uses)
+        assert sorted(zip(group[top], uses[top], second)) == [(0, 3, 3), (0, 9, 7), (1, 4, 0)]
